@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evidara.llm import mixing, ngram_join, quality, sharding
+import corpus_pipeline
+from evidara.llm import embedding_join, html_text, langid, license_scan, mixing, ngram_join, packing, quality, sharding, substring_dedup
 from evidara.llm.session import table
 
 
@@ -12,12 +13,24 @@ def op7_ngram_jaccard(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_line_quality": quality.op2_line_quality,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_html_text": html_text.op4_html_text,
+        "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_sharding": sharding.op8_sharding,
+        "op9_language_id": langid.op9_language_id,
+        "op10_embedding_join": embedding_join.op10_embedding_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_quality": quality.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {
+        "op1_license_scan": license_scan.OP1_SQL,
+        "op2_line_quality": quality.OP2_SQL,
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+    }
