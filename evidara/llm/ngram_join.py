@@ -121,6 +121,22 @@ def _prefixes(k: int, percent: int, shared):
     return run
 
 
+def _flat(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays on end, and where each begins and the last ends."""
+    return np.concatenate([np.zeros(0, dtype=np.uint32), *tails]), np.cumsum([0] + [len(t) for t in tails])
+
+
+def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of x between consecutive bounds."""
+    total = np.zeros(len(x) + 1, dtype=np.int64)
+    np.cumsum(x, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: Subtrees of so few sets are kept flat, as one group of leaves.
+FLAT = 192
+
+
 class Trie:
     """Sorted token arrays as a path-compressed trie; leaves of a node are kept as one flat group."""
 
@@ -143,12 +159,12 @@ class Trie:
         cuts = [lo, *(lo + 1 + np.flatnonzero(self.lcp[lo + 1 : hi] == end)).tolist(), hi]
         inner, leaves = [], []
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if z - a == 1:
-                leaves.append(self.order[a])
+            if z - a <= FLAT:
+                leaves += self.order[a:z]
             else:
                 inner.append((a, z, end))
         tails = [self.sets[i][end:] for i in leaves]
-        group = (np.array(leaves, dtype=np.int64), np.array([len(self.sets[i]) for i in leaves], dtype=np.int64), tails)
+        group = (np.array(leaves, dtype=np.int64), np.array([len(self.sets[i]) for i in leaves], dtype=np.int64), *_flat(tails))
         sizes = [len(self.sets[i]) for i in self.order[lo:hi]]
         return [path, end, min(sizes), max(sizes), inner, group]
 
@@ -194,9 +210,9 @@ def trie_links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int
         stack = [(trie.root, 0)]
         while stack:
             node, overlap = stack.pop()
-            path, depth, least, most, _, (who, lens, tails) = node
+            path, depth, least, most, _, (who, lens, tails, at) = node
             if len(path):
-                overlap += int(mark[path].sum())
+                overlap += int(np.count_nonzero(mark[path]))
                 rest = n - int(np.searchsorted(mine, path[-1], side="right"))
             else:
                 rest = n
@@ -206,19 +222,15 @@ def trie_links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int
             if len(who):
                 able = label[who] != label[x]
                 able &= fits(overlap + np.minimum(rest, lens - depth), n + lens)
-                todo, step = np.flatnonzero(able), 4
-                while len(todo):
-                    now, todo = todo[:step], todo[step:]
-                    cat = [tails[i] for i in now]
-                    size = np.array([len(t) for t in cat])
-                    got = np.zeros(len(now), dtype=np.int64)
-                    full = size > 0
-                    if full.any():
-                        at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-                        got[full] = np.add.reduceat(mark[np.concatenate([c for c in cat if len(c)])].astype(np.int64), at)
-                    for i in now[fits(overlap + got, n + lens[now])]:
+                few = np.flatnonzero(able)
+                if 8 * len(few) >= len(who):
+                    got = _sums(mark[tails], at)
+                    for i in np.flatnonzero(able & fits(overlap + got, n + lens)).tolist():
                         link(x, int(who[i]))
-                    todo, step = todo[label[who[todo]] != label[x]], step * 4
+                else:
+                    for i in few.tolist():
+                        if fits(overlap + int(np.count_nonzero(mark[tails[at[i] : at[i + 1]]])), n + int(lens[i])):
+                            link(x, int(who[i]))
             stack += [(c, overlap) for c in trie.children(node)]
         mark[mine] = False
     return links
