@@ -1,10 +1,10 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length word window.
 
 A window can only repeat if its anchor, the least hash of the 8-word runs inside it, repeats too, as
-equal windows have equal anchors. So anchors are counted first (a few per hundred words), and 128-bit
-window hashes are counted in Spark only where the anchor occurs in two documents or more; no repeated window is lost by
-this. Counting keeps the smallest doc_id of each window, which is summed up before the
-shuffle, so a passage in very many documents is one row per task. Repeated windows then merge into
+equal windows have equal anchors. So anchors are counted first (a few per hundred words), and 64-bit
+window hashes are compared in Spark only where the anchor occurs in two documents or more; no repeated window is lost by
+this, and two different windows pass for equal with a chance of 2**-64. What repeats within a batch is settled there, so a
+passage in very many documents sends a row per batch, not per document. Repeated windows then merge into
 maximal intervals of words, document by document."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm import words as W
@@ -48,13 +48,13 @@ def _anchors(window: int, run: int):
 
 
 def _candidates(window: int, run: int):
-    """Two hashes and the place of each window whose anchor is shared."""
+    """Hash and place of each window whose anchor is shared; of windows that repeat in a batch only the smallest document's go on, the others are found at once and have no hash."""
 
     def go(batches):
-        for b in W.chunks(batches, "text"):
+        for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
             h, anchors, count = _windows(w, window, run)
-            r1, r2 = W.rolling(h, window, 0), W.rolling(h, window, 1)
+            r = W.rolling(h, window)
             ids, shared = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("anchors")
             at, owner, place = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
             for d in np.flatnonzero(count):
@@ -65,13 +65,16 @@ def _candidates(window: int, run: int):
                 at.append(first + hit)
                 owner.append(np.full(len(hit), ids[d], dtype=np.int64))
                 place.append(hit.astype(np.int32))
-            i = np.concatenate(at)
-            for lo in range(0, max(len(i), 1), 1 << 16):
-                hi = lo + (1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r1[i[lo:hi]].view(np.int64)), pa.array(r2[i[lo:hi]].view(np.int64)), pa.array(np.concatenate(owner)[lo:hi]), pa.array(np.concatenate(place)[lo:hi])],
-                    names=["w1", "w2", "doc_id", "place"],
-                )
+            g, o, p = r[np.concatenate(at)], np.concatenate(owner), np.concatenate(place)
+            order = np.lexsort((p, o, g))
+            g, o, p = g[order], o[order], p[order]
+            new = np.ones(len(g), dtype=bool)
+            new[1:] = g[1:] != g[:-1]
+            least = o[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] if len(g) else o
+            known = o > least
+            for lo in range(0, len(g), 1 << 16):
+                i = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(g[i].view(np.int64), mask=known[i]), pa.array(o[i]), pa.array(p[i])], names=["w", "doc_id", "place"])
 
     return go
 
@@ -80,7 +83,7 @@ def _remove(window: int, keep_text: bool):
     """Counts, digest of the kept words, removed intervals as word positions, and the text that is left."""
 
     def go(batches):
-        for b in W.chunks(batches, "text"):
+        for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
             places = b.column("places")
             valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
@@ -125,10 +128,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     anchors = staged(docs.mapInArrow(_anchors(window, run), "anchor long, doc_id long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     held = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    found = docs.join(held, "doc_id").mapInArrow(_candidates(window, run), "w1 long, w2 long, doc_id long, place int")
-    found = staged(found, "windows")
-    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    return found.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    found = W.squeeze(docs).join(held, "doc_id").mapInArrow(_candidates(window, run), "w long, doc_id long, place int")
+    key = F.coalesce("w", F.xxhash64("doc_id", "place"))  # those found already only have to be spread
+    least = F.min(F.when(F.col("w").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("key"))
+    found = found.withColumn("key", key).withColumn("least", least).where("w is null or doc_id > least")
+    return found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -140,7 +144,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fal
     empty table; other columns are ignored."""
     places = repeated_places(docs, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>" + ", kept_text string" * keep_text
-    joined = plain(docs, "doc_id", "text").join(places, "doc_id", "left").select("doc_id", "text", "places")
+    joined = W.squeeze(plain(docs, "doc_id", "text")).join(places, "doc_id", "left").select("doc_id", "z", "places")
     return joined.mapInArrow(_remove(window, keep_text), schema)
 
 

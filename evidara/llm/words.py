@@ -129,3 +129,29 @@ def chunks(batches, column: str):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield b.slice(lo, hi - lo)
+
+
+def squeeze(docs):
+    """``docs`` (doc_id, text) with the text as Zstandard bytes, for shuffles of whole texts."""
+    import zstandard
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = [None if t is None else z.compress(t.encode("utf-8")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "z"])
+
+    return docs.mapInArrow(run, "doc_id long, z binary")
+
+
+def unsqueezed(batches):
+    """Record batches with column ``z`` back as ``text``, a few documents at a time."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        for lo in range(0, b.num_rows, 128):
+            part = b.slice(lo, 128)
+            texts = [None if t is None else z.decompress(t).decode("utf-8") for t in part.column("z").to_pylist()]
+            names = [n for n in part.schema.names if n != "z"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.large_string())], names=[*names, "text"])
