@@ -107,10 +107,14 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _with(n: int, grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+
 def corpus_bleu(predictions: DataFrame, orders: int = 4) -> DataFrame:
     """Corpus BLEU of effective order per run and control, without smoothing."""
     p = predictions.select("run_id", "control", "sample_id", metric_words(F.col("prediction_text")).alias("h"), metric_words(F.col("reference_text")).alias("r"))
-    side = lambda s: F.explode(F.concat(*[F.transform(ngrams(F.col(s), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, orders + 1)])).alias("x")
+    side = lambda s: F.explode(F.concat(*[_with(n, ngrams(F.col(s), n)) for n in range(1, orders + 1)])).alias("x")
     keys = ["run_id", "control", "sample_id", "x"]
     hyp = p.select(*keys[:3], side("h")).withColumn("side", F.lit(1))
     ref = p.select(*keys[:3], side("r")).withColumn("side", F.lit(0))

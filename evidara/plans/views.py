@@ -13,7 +13,7 @@ SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
 
 SPARK = {
     "int_hash": lambda x: f"cast(conv(substring(sha2({x}, 256), 1, 8), 16, 10) as bigint)",
-    "seconds": lambda x: f"(unix_micros({x}) / 1e6)",
+    "seconds": lambda x: f"(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {x}) / 1e6)",
     "div": lambda a, b: f"(({a}) div ({b}))",
     "str": lambda x: f"cast({x} as string)",
     "norm": lambda x: f"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), r'{SPACES}', ' '))",
@@ -99,7 +99,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(names: tuple[str, ...], select: str) -> str:
     """``select`` for DuckDB, after the views it needs."""
     parts = [f"{n} AS ({VIEWS[n][1](DUCK)})" for n in _needed(names)]
-    body = select.strip()
+    body = select.strip().replace("WITH RECURSIVE ", "WITH ", 1) if select.strip().startswith("WITH RECURSIVE ") else select.strip()
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + (",\n" + body[5:] if body[:5].upper() == "WITH " else "\n" + body)
+    return "WITH RECURSIVE " + ",\n".join(parts) + (",\n" + body[5:] if body[:5].upper() == "WITH " else "\n" + body)
