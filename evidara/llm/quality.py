@@ -5,6 +5,8 @@ a document is rejected when a base rule fails or too many of its words were in r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ MAX_LOST_PERCENT = 50
 #: Symbols of [#*$%&|<>] in a line, as a percentage of its words, at which its punctuation fails.
 SYMBOL_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+#: What a line longer than a heading ends with, letters and digits included: only odd marks fail.
+END_MARK = r"[.!?:;,\"'…»”’)\]\p{L}\p{N}]"
 
 
 def let(value: Column, body) -> Column:
@@ -79,24 +83,25 @@ def repeated_window_words(ws: Column, k: int = WINDOW) -> Column:
 
 def line_verdict(line: Column) -> Column:
     """Name of the first rule that a line fails, null if it passes; blank lines pass."""
-    text = F.trim(F.regexp_replace(line, WS, " "))
-    n = F.size(F.split(text, " "))
-    low = F.lower(text)
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    shout = F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
-    return (
-        F.when(text == "", F.lit(None))
-        .when((bars >= 2) & (3 * bars >= n), "navigation")
-        .when(100 * symbols >= SYMBOL_PERCENT * n, "punctuation")
-        .when((n >= 3) & (2 * shout >= n), "punctuation")
-        .when((n > HEADING_WORDS) & ~text.rlike(r"[.!?:;,\"'…»”’)\]\p{L}\p{N}]$"), "punctuation")
-        .when((n <= HEADING_WORDS) & boiler, "boilerplate")
-        .cast("string")
-    )
+    boiler = lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
+
+    def rules(m: Column) -> Column:
+        text, n = m["text"], m["n"]
+        bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+        shout = F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))
+        symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+        return (
+            F.when(text == "", F.lit(None))
+            .when((bars >= 2) & (3 * bars >= n), "navigation")
+            .when(100 * symbols >= SYMBOL_PERCENT * n, "punctuation")
+            .when((n >= 3) & (2 * shout >= n), "punctuation")
+            .when((n > HEADING_WORDS) & ~F.right(text, F.lit(1)).rlike(END_MARK), "punctuation")
+            .when((n <= HEADING_WORDS) & boiler(F.lower(text)), "boilerplate")
+            .cast("string")
+        )
+
+    tidy = F.trim(F.regexp_replace(line, WS, " "))
+    return let(tidy, lambda t: let(F.struct(t.alias("text"), F.size(F.split(t, " ")).alias("n")), rules))
 
 
 def judged(docs: DataFrame) -> DataFrame:
