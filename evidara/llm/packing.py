@@ -14,6 +14,7 @@ import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return module.path(name)
 
 
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?#*$%&()-")] = True
+
+
+def apart(w: W.Words) -> W.Words:
+    """Words cut between an ASCII letter and one of the marks above, as the tokenizer cuts there too; apostrophes and the marks of special tokens stay."""
+    letter, mark = _LETTER[w.data], _MARK[w.data]
+    cut = np.flatnonzero(letter[:-1] & mark[1:] | mark[:-1] & letter[1:]) + 1
+    inner = cut[~np.isin(cut, w.offsets)]
+    start, end = np.sort(np.concatenate([w.start, inner])), np.sort(np.concatenate([w.end, inner]))
+    return W.Words(w.data, w.offsets, start, end, np.searchsorted(start, w.offsets))
+
+
 class WordTokenizer:
     """Token ids of whole texts through a table of words: this tokenizer never joins over ASCII white space, so each word is encoded once."""
 
-    LIMIT = 400_000
+    #: Words kept; beyond it the table starts anew. About 50 bytes each.
+    LIMIT = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,37 +72,45 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.lens, self.starts, self.flat, self.size = [], [], [], 0
+        self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.lens, self.starts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Add words that are not in the table."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lens = np.array([len(i) for i in ids], dtype=np.int64)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.place = np.insert(self.place, at, len(self.lens) + order)
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], dtype=np.int32)])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in the table, -1 where it has none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1)
 
     def encode(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, tokens of each word)."""
-        import pandas as pd
-
         code, uniq = pd.factorize(w.hashes())
-        if len(self.place) > self.LIMIT:
-            self.reset()
-        first = np.zeros(len(uniq), dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        known = [self.place.get(x, -1) for x in uniq.tolist()]
-        new = [i for i, p in enumerate(known) if p < 0]
-        if new:
-            texts = [w.data[w.start[first[i]] : w.end[first[i]]].tobytes().decode("utf-8") for i in new]
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[i] = self.place[int(uniq[i])] = len(self.lens)
-                self.lens.append(len(ids))
-                self.starts.append(self.size)
-                self.flat += ids
-                self.size += len(ids)
-            self.arrays = np.array(self.lens), np.array(self.starts), np.array(self.flat, dtype=np.int32)
         if not len(code):
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        lens, starts, flat = self.arrays
-        at = np.array(known)[code]
-        n = lens[at]
+        if len(self.keys) > self.LIMIT:
+            self.reset()
+        known = self.find(uniq)
+        if (new := np.flatnonzero(known < 0)).size:
+            first = np.zeros(len(uniq), dtype=np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            self.learn(uniq[new], [w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8") for i in first[new].tolist()])
+            known = self.find(uniq)
+        at = known[code]
+        n = self.lens[at]
         begin = np.cumsum(n) - n
-        return flat[np.repeat(starts[at] - begin, n) + np.arange(int(n.sum()))], n
+        return self.flat[np.repeat(self.starts[at] - begin, n) + np.arange(int(n.sum()))], n
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -98,7 +122,7 @@ def _tokens(path: str):
             _TOKENIZERS[path] = WordTokenizer(path)
         t = _TOKENIZERS[path]
         for b in W.chunks(batches, "text"):
-            w = W.layout(b.column("text"))
+            w = apart(W.layout(b.column("text"), lower=True))  # the tokenizer lower-cases anyway
             flat, n = t.encode(w)
             ends = np.concatenate([[0], np.cumsum(n)])[w.first]
             end = np.array([END_ID], dtype=np.int32)
