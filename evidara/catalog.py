@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.queries import corpus, scores, signals, timeline  # noqa: F401  registers itself
+from evidara.queries import corpus, flows, scores, signals, timeline  # noqa: F401  registers itself
 from evidara.queries.registry import REGISTERED
 
 

@@ -55,7 +55,8 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def read_signals(spark: SparkSession, samples: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(signals, findings) of the JSON matrices that ``samples`` (sample_id, uri, checksum_sha256, channel_count) name below ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select(F.regexp_extract("path", ".*?" + root.rstrip("/").split("/")[-1] + "/(.*)$", 1).alias("uri"), F.sha2("content", 256).alias("actual"), F.from_json(F.col("content").cast("string"), "array<array<double>>").alias("values"))
+    below = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    files = files.select(F.substring_index("path", below, -1).alias("uri"), F.sha2("content", 256).alias("actual"), F.from_json(F.col("content").cast("string"), "array<array<double>>").alias("values"))
     j = samples.join(files, "uri", "left")
     code = (
         F.when(F.col("uri").rlike(r"^/|(^|/)\.\.(/|$)") | ~F.col("uri").endswith(".json"), "bad_path")
