@@ -62,7 +62,7 @@ class WordTokenizer:
     """Token ids of whole texts through a table of words: this tokenizer never joins over ASCII white space, so each word is encoded once."""
 
     #: Words kept; beyond it the table starts anew. About 50 bytes each.
-    LIMIT = 2_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

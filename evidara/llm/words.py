@@ -18,7 +18,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Odd multipliers of the polynomial hashes, and their inverses modulo 2**64.
 BYTE_BASE, WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
