@@ -87,11 +87,13 @@ def sample_mixture(docs: DataFrame, **how) -> DataFrame:
     seed = how.pop("seed", SEED)
     m = mixed(docs, seed, **how).select("doc_id", "u", "size", "copies", "extra").distinct()
     key = order_key(seed)
-    d = docs.withColumn("__u", key).join(m.select(F.col("doc_id").alias("__id"), F.col("u").alias("__v"), "size", "copies", "extra"), F.expr("doc_id <=> __id and __u = __v"))
-    whole = F.array_repeat(F.col("size"), F.col("copies").cast("int"))
-    part = F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>"))
+    m = m.select(F.col("doc_id").alias("__id"), F.col("u").alias("__v"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("extra").alias("__extra"))
+    d = docs.withColumn("__u", key)
+    d = d.join(m, d["doc_id"].eqNullSafe(m["__id"]) & (F.col("__u") == F.col("__v")))
+    whole = F.array_repeat("__size", F.col("__copies").cast("int"))
+    part = F.when(F.col("__extra") > 0, F.array("__extra")).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("__take", F.explode(F.concat(whole, part)))
-    text = F.when(F.col("__take") >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__take")))
+    text = F.when(F.col("__take") >= F.col("__size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__take")))
     cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text.alias("text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length(text).cast("long").alias("n_chars")
