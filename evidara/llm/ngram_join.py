@@ -1,10 +1,11 @@
 """N-gram Jaccard join with a prefix filter and, in each block of candidates, a set trie.
 
 1. Every text becomes a set of 64-bit hashes of its 5-word shingles. A set's digest groups equal sets.
-2. Sets are globally ordered: rare shingles first, frequent ones (a list whose length has a
-   proven bound) last, otherwise by hash. Two sets with Jaccard similarity t or more share a
-   shingle among the first ``n - ceil(t n) + 1`` of each, so linking all holders of such a shingle gives blocks
-   that no link leaves.
+2. Only shingles of two documents or more can be in an intersection, so each set is cut down to those, and a set
+   of which less than the threshold is left links with nothing. Sets are globally ordered: unshared shingles first, then
+   shared ones by hash, then frequent ones (a list whose length has a proven bound). Two sets with
+   Jaccard similarity t or more share a shingle among the first ``n - ceil(t n) + 1`` of each, so linking all
+   holders of such a shingle gives blocks that no link leaves.
 3. Inside a block the sets are stored in a trie, most frequent shingle first, so that
    common passages are one path. A probe carries its overlap down the trie and leaves a subtree as soon as the lengths that
    remain cannot reach the threshold. Sets that are linked already are not compared again,
@@ -17,7 +18,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm import words as W
@@ -30,6 +31,9 @@ from evidara.plans.storage import staged
 MAX_FREQUENT = 1 << 19
 #: Sets that one task of a block holds at most (it holds two such chunks).
 CHUNK = 2048
+#: Shingles that a task gathers before it deals them out, and shingles of a bucket: both bound the memory of a task.
+FLUSH, BUCKET = 2_000_000, 1_000_000
+NOBODY = np.iinfo(np.int64).min
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterable[tuple[int, np.ndarray]]:
@@ -84,39 +88,122 @@ def _is_frequent(s: np.ndarray, frequent: np.ndarray, sieve: np.ndarray) -> np.n
     return hit
 
 
+def _sieve(frequent: np.ndarray) -> np.ndarray:
+    sieve = np.zeros(1 << 22, dtype=bool)
+    sieve[(frequent & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+    return sieve
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(k: int, percent: int, shared):
-    """(gram, doc_id) for the prefix of each set; within a batch only a gram's smallest holder goes on, the others are linked to it at once as (null, doc_id, smallest)."""
+def _names(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Shorter names of shingles: bucket and 40 more bits of the hash. Two of a million in a bucket share one with a chance of 2**-20 each."""
+    return (h % np.uint64(buckets)) << np.uint64(40) | W.mix(h) >> np.uint64(24)
+
+
+def _by_bucket(k: int, buckets: int, shared):
+    """Shingles dealt to buckets, many to a row: five bytes of the name and two for the document, by its place in ``docs``.
+
+    Frequent shingles and those that repeat inside a flush are shared for certain; they go with
+    their document at once (as ``grams``), and of the latter one entry without a document tells the other tasks."""
+
+    def rows(names: np.ndarray, owner: np.ndarray, frequent: np.ndarray, sieve: np.ndarray):
+        order = np.argsort(names, kind="stable")
+        g, o = names[order], owner[order]
+        twin = np.zeros(len(g), dtype=bool)
+        twin[1:] = g[1:] == g[:-1]
+        twin[:-1] |= g[:-1] == g[1:]
+        known = twin | _is_frequent(g, frequent, sieve) if len(frequent) else twin
+        tell = np.unique(g[twin])
+        free, whose = np.concatenate([g[~known], tell]), np.concatenate([o[~known], np.full(len(tell), NOBODY)])
+        order = np.argsort(free, kind="stable")
+        free, whose = free[order], whose[order]
+        found, out = (free >> np.uint64(40)).astype(np.int64), []
+        cut = np.flatnonzero(np.diff(found)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(free)], strict=True):
+            if hi > lo:
+                docs, place = np.unique(whose[lo:hi], return_inverse=True)
+                five = np.ascontiguousarray(free[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                out.append((int(found[lo]), docs, five.tobytes() + place.astype("<u2").tobytes(), None, None))
+        by = np.argsort(o[known], kind="stable")
+        mine, whose = g[known][by], o[known][by]
+        cut = np.flatnonzero(np.diff(whose)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(whose)], strict=True):
+            if hi > lo:
+                out.append((int(whose[lo]) % buckets, None, None, int(whose[lo]), mine[lo:hi].tobytes()))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["bucket", "docs", "codes", "doc_id", "grams"])
 
     def run(batches):
         frequent = shared.value
-        sieve = np.zeros(1 << 22, dtype=bool)
-        sieve[(frequent & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+        sieve = _sieve(frequent)
+        names, owner, size, n_docs = [], [], 0, 0
         for b in W.chunks(batches, "text"):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            grams, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for d, (_, s) in enumerate(shingle_sets(b.column("text"), k)):
-                if n := len(s):
-                    p = prefix_size(n, percent)
-                    if len(frequent):
-                        hot = _is_frequent(s, frequent, sieve)
-                        rare = s[~hot]
-                        s = rare if len(rare) >= p else np.concatenate([rare, s[hot]])
-                    grams.append(s[:p])
-                    owner.append(np.full(p, ids[d], dtype=np.int64))
-            g, o = np.concatenate(grams), np.concatenate(owner)
-            order = np.lexsort((o, g))
-            g, o = g[order], o[order]
-            first = np.ones(len(g), dtype=bool)
-            first[1:] = g[1:] != g[:-1]
-            low = o[np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))] if len(g) else o
-            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(o[first]), pa.nulls(int(first.sum()), pa.int64())], names=["gram", "doc_id", "low"])
-            links = np.unique(np.stack([o[~first], low[~first]], 1), axis=0)
-            links = links[links[:, 0] != links[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["gram", "doc_id", "low"])
+            for i, (_, s) in zip(ids, shingle_sets(b.column("text"), k), strict=True):
+                names.append(np.unique(_names(s, buckets)))
+                owner.append(np.full(len(names[-1]), i, dtype=np.int64))
+                size, n_docs = size + len(s), n_docs + 1
+            if size > FLUSH or n_docs > 60_000:
+                yield rows(np.concatenate(names), np.concatenate(owner), frequent, sieve)
+                names, owner, size, n_docs = [], [], 0, 0
+        if size:
+            yield rows(np.concatenate(names), np.concatenate(owner), frequent, sieve)
+
+    return run
+
+
+def _shared_of_bucket(t: pa.Table) -> pa.Table:
+    """(doc_id, grams) of a bucket's shingles with two holders or more; what is known already passes through."""
+    who, what = [], []
+    ids, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for bucket, names, codes, doc, grams in zip(*(t.column(c).to_pylist() for c in ("bucket", "docs", "codes", "doc_id", "grams")), strict=True):
+        if codes is None:
+            who.append(doc)
+            what.append(grams)
+            continue
+        n = len(codes) // 7
+        eight = np.zeros((n, 8), dtype=np.uint8)
+        eight[:, :5] = np.frombuffer(codes, dtype=np.uint8, count=5 * n).reshape(n, 5)
+        ids.append(eight.view("<u8").ravel() | np.uint64(bucket << 40))
+        docs.append(np.array(names, dtype=np.int64)[np.frombuffer(codes, dtype="<u2", offset=5 * n)])
+    g, o = np.concatenate(ids), np.concatenate(docs)
+    order = np.argsort(g, kind="stable")
+    g, o = g[order], o[order]
+    twin = np.zeros(len(g), dtype=bool)
+    twin[1:] = g[1:] == g[:-1]
+    twin[:-1] |= g[:-1] == g[1:]
+    twin &= o != NOBODY
+    g, o = g[twin], o[twin]
+    order = np.argsort(o, kind="stable")
+    g, o = g[order], o[order]
+    cut = np.flatnonzero(np.diff(o)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(o)], strict=True):
+        if hi > lo:
+            who.append(int(o[lo]))
+            what.append(g[lo:hi].tobytes())
+    return pa.table({"doc_id": pa.array(who, pa.int64()), "grams": pa.array(what, pa.binary())})
+
+
+def _ordered(percent: int, shared):
+    """Of each document that may have links: its shared shingles as bytes, and the shared part of its prefix."""
+
+    def run(batches):
+        frequent = shared.value
+        sieve = _sieve(frequent)
+        for b in batches:
+            raw, heads = [], []
+            for grams, n in zip(b.column("grams"), b.column("n_shingles").to_pylist(), strict=True):
+                s = np.unique(np.frombuffer(b"".join(grams.as_py()), dtype=np.uint64))
+                raw.append(s.tobytes())
+                take = prefix_size(n, percent) - (n - len(s))
+                if len(frequent) and take > 0:
+                    hot = _is_frequent(s, frequent, sieve)
+                    s = np.concatenate([s[~hot], s[hot]])
+                heads.append(s[: max(take, 0)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_shingles"), pa.array(raw, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "grams", "head"])
 
     return run
 
@@ -174,8 +261,11 @@ class Trie:
         return node[4]
 
 
-def trie_links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
-    """Links (i, j) whose components are those of all pairs with similarity of ``percent`` or more."""
+def trie_links(sets: list[np.ndarray], percent: int = 75, sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) whose components are those of all pairs with similarity of ``percent`` or more.
+
+    ``sizes`` are the sizes of the whole sets, where ``sets`` only hold what others share."""
+    whole = np.array([len(s) for s in sets] if sizes is None else sizes, dtype=np.int64)
     grams, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     count = np.bincount(inverse, minlength=len(grams))
     rank = np.empty(len(grams), dtype=np.int64)
@@ -200,12 +290,25 @@ def trie_links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int
         members[a] += moved
         links.append((i, j))
 
+    # Inside the block too, a link needs a common shingle among the rarest of both: the ends of the local order.
+    heads = [m[max(0, len(m) - max(0, prefix_size(int(w), percent) - (int(w) - len(m)))) :] for m, w in zip(local, whole, strict=True)]
+    head, ends = _flat(heads)
+    order = np.argsort(head, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), np.diff(ends))[order]
+    first = np.searchsorted(head[order], np.arange(len(grams) + 1))
+
     def fits(overlap, total):
         return (100 + percent) * overlap >= percent * total  # 100 * |A & B| >= percent * |A | B|
 
     for x in trie.order:
         mine = local[x]
-        n = len(mine)
+        n, size = len(mine), int(whole[x])
+        lo, hi = first[heads[x]], first[heads[x].astype(np.int64) + 1]
+        near = np.zeros(len(sets), dtype=bool)
+        near[holder[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))]] = True
+        near &= label != label[x]
+        if not near.any():
+            continue
         mark[mine] = True
         stack = [(trie.root, 0)]
         while stack:
@@ -217,40 +320,32 @@ def trie_links(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int
             else:
                 rest = n
             best = min(most, max(least, depth + rest))
-            if not fits(overlap + min(rest, best - depth), n + best):
+            if not fits(overlap + min(rest, best - depth), size + best):
                 continue
             if len(who):
-                able = label[who] != label[x]
-                able &= fits(overlap + np.minimum(rest, lens - depth), n + lens)
+                able = near[who] & (label[who] != label[x])
+                able &= fits(overlap + np.minimum(rest, lens - depth), size + whole[who])
                 few = np.flatnonzero(able)
                 if 8 * len(few) >= len(who):
                     got = _sums(mark[tails], at)
-                    for i in np.flatnonzero(able & fits(overlap + got, n + lens)).tolist():
+                    for i in np.flatnonzero(able & fits(overlap + got, size + whole[who])).tolist():
                         link(x, int(who[i]))
                 else:
                     for i in few.tolist():
-                        if fits(overlap + int(np.count_nonzero(mark[tails[at[i] : at[i + 1]]])), n + int(lens[i])):
+                        if fits(overlap + int(np.count_nonzero(mark[tails[at[i] : at[i + 1]]])), size + int(whole[who[i]])):
                             link(x, int(who[i]))
             stack += [(c, overlap) for c in trie.children(node)]
         mark[mine] = False
     return links
 
 
-def _block_sets(k: int):
-    def run(batches):
-        for b in W.chunks(batches, "text"):
-            sets = [s.tobytes() for _, s in shingle_sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("chunks"), b.column("doc_id"), pa.array(sets, pa.binary())], names=["block", "chunks", "doc_id", "grams"])
-
-    return run
-
-
 def _join_block(percent: int):
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("doc_id").to_numpy()
         order = np.argsort(ids)
         grams = t.column("grams").to_pylist()
-        links = trie_links([np.frombuffer(grams[i], dtype=np.uint64) for i in order], percent)
+        sizes = t.column("n_shingles").to_numpy()[order]
+        links = trie_links([np.frombuffer(grams[i], dtype=np.uint64) for i in order], percent, sizes)
         out = np.array(links, dtype=np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(ids[order][out[:, 0]]), "v": pa.array(ids[order][out[:, 1]])})
 
@@ -271,25 +366,30 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int
     sizes = profile.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     frequent = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(16, total // MAX_FREQUENT))).select("id")
-    listed = np.sort(np.array([r[0] for r in frequent.toLocalIterator()], dtype=np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(listed)
+    buckets = max(1, -(-total // BUCKET))
+    listed = np.array([r[0] for r in frequent.toLocalIterator()], dtype=np.int64).view(np.uint64)  # MAX_FREQUENT at most
+    shared = spark.sparkContext.broadcast(np.unique(_names(listed, buckets)))
 
-    found = staged(docs.mapInArrow(_prefixes(k, percent, shared), "gram long, doc_id long, low long"), "prefixes")
-    low = F.min("doc_id").over(Window.partitionBy("gram"))
-    across = found.where("gram is not null").withColumn("low", low)
-    edges = found.where("gram is null").unionByName(across).where("doc_id <> low").select("doc_id", "low").distinct()
-    blocks = connected_components(edges, "doc_id", "low").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    found = docs.mapInArrow(_by_bucket(k, buckets, shared), "bucket long, docs array<long>, codes binary, doc_id long, grams binary")
+    found = found.groupBy("bucket").applyInArrow(_shared_of_bucket, "doc_id long, grams binary")
+    held = found.groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+    enough = F.aggregate("grams", F.lit(0), lambda a, x: a + F.octet_length(x)) * 100 >= 8 * percent * F.col("n_shingles")
+    able = held.join(sizes.where("n_shingles > 0").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id").where(enough)
+    able = staged(able.mapInArrow(_ordered(percent, shared), "doc_id long, n_shingles long, grams binary, head array<long>"), "shared")
 
     sets = staged(sizes.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("set_id")), "sets")
-    held = staged(blocks.join(sets.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "blocks")
-    many = held.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    held = held.join(many, "block").select("doc_id", "block", "chunks")
-    stored = docs.dropDuplicates(["doc_id"]).join(held, "doc_id").select("block", "chunks", "doc_id", "text")
-    stored = stored.mapInArrow(_block_sets(k), "block long, chunks int, doc_id long, grams binary")
+    able = able.join(sets.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    heads = able.select("doc_id", F.explode("head").alias("gram"))
+    least = heads.groupBy("gram").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("gram", "low")
+    edges = heads.join(least, "gram").where("doc_id <> low").select("doc_id", "low").distinct()
+    blocks = connected_components(edges, "doc_id", "low").select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    blocks = staged(blocks, "blocks")
+    many = blocks.groupBy("block").agg(F.count("*").alias("n")).select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    stored = able.select("doc_id", "n_shingles", "grams").join(blocks.join(many, "block"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.col("chunks").cast("long")).cast("int")
     other = F.explode(F.expr("if(chunks = 1, array(0), filter(sequence(0, chunks - 1), x -> x <> part))")).alias("other")
-    dealt = stored.withColumn("part", part).select("block", "part", "doc_id", "grams", other)
-    dealt = dealt.select("block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "doc_id", "grams")
+    dealt = stored.withColumn("part", part).select("block", "part", "doc_id", "n_shingles", "grams", other)
+    dealt = dealt.select("block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "doc_id", "n_shingles", "grams")
     links = dealt.groupBy("block", "a", "b").applyInArrow(_join_block(percent), "u long, v long")
     parts = connected_components(links).select(F.col("node").alias("set_id"), "component")
     return (
