@@ -49,6 +49,7 @@ def leave_one_out(samples: DataFrame, held_out: str, unique_text: bool = False,
     """(sample_id, split): the held-out subject is test, other subjects' texts go to validation and train by text units.
 
     With ``unique_text`` samples of others whose text occurs for the held-out subject are 'excluded'."""
+    samples = samples.drop("split")
     mine = F.col("subject_id") == held_out
     test = samples.where(mine).select("sample_id", F.lit("test").alias("split"))
     rest = samples.where(~mine)
