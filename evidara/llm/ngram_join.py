@@ -32,7 +32,7 @@ MAX_FREQUENT = 1 << 19
 #: Sets that one task of a block holds at most (it holds two such chunks).
 CHUNK = 2048
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket: both bound the memory of a task.
-FLUSH, BUCKET = 2_000_000, 1_000_000
+FLUSH, BUCKET = 600_000, 500_000
 NOBODY = np.iinfo(np.int64).min
 
 
