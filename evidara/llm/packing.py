@@ -23,7 +23,7 @@ from evidara.llm import words as W
 from evidara.llm.session import plain, prepare, table
 from evidara.plans.storage import staged
 
-WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 2_000_000
+WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 600_000
 #: Terms of a seed that are looked up: those with the highest BM25 weight in it.
 QUERY_TERMS = 64
 K1, B = 1.2, 0.75
@@ -62,7 +62,7 @@ class WordTokenizer:
     """Token ids of whole texts through a table of words: this tokenizer never joins over ASCII white space, so each word is encoded once."""
 
     #: Words kept; beyond it the table starts anew. About 50 bytes each.
-    LIMIT = 1_000_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -250,6 +250,7 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 
 def _pack(shared, mean_length: float, window: int):
     def run(t: pa.Table) -> pa.Table:
+        _TOKENIZERS.clear()  # the worker may have encoded before; its word table is not needed now
         ids, raw, base, total = (t.column(c).to_pylist() for c in ("doc_id", "ids", "base", "n_tokens"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, base[i], raw[i]))
         units = [np.frombuffer(raw[i], dtype="<u4").astype(np.int64) for i in order]
