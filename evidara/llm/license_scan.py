@@ -1,11 +1,14 @@
 """Licence recognition by sentence rules, in DataFrame functions.
 
-Texts are cut into sentences, these are normalised and looked up in a table of known
-licence sentences, and the identifiers found in a document, in order, are matched against ordered
-rules: the first rule whose identifiers occur one right after another is the document's licence."""
+Texts are normalised and cut into pieces where a line or a sentence ends. A known licence sentence
+is a run of whole pieces that has its words: wrapped lines, blank lines and marks inside a sentence do
+not hide it. Where runs overlap the first counts, and of those that start together the longest. The
+identifiers found in a document, in order, are matched against ordered rules: the first rule whose identifiers occur one right after another is the document's licence."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +60,14 @@ RULES = (
 TRIGGERS = ("licen", "permission", "redistribut", "distributed", "reserved")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+WORD = re.compile("[a-z0-9]+")
+
+
+def pieces(text: Column) -> Column:
+    """Lower-case words with a space between them, and one line break where a line or a sentence ends, at the start and at the end."""
+    cut = F.regexp_replace(F.lower(text), r"(?<=[.!?;:])[ \t]+", "\n")
+    words = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), r" ?\n[ \n]*", "\n")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -67,22 +76,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts without a known sentence, have 0, '', null and null. A
     sentence that occurs often is listed each time. Rows that repeat a doc_id must repeat its
     text; each is returned. An empty table gives an empty table; other columns are ignored."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame(list(SENTENCES.items()), "sid string, sentence string").select("sid", normalised(F.col("sentence")).alias("norm"))
-    rules = spark.createDataFrame([(i, r, lic, ",".join(["", *ids, ""])) for i, (r, lic, ids) in enumerate(RULES)], "rank int, rule string, license string, ids string")
     d = plain(docs, "doc_id", "text")
     may = F.lit(False)
     for t in TRIGGERS:
         may = may | F.lower("text").contains(t)
-    parts = d.where(may).select("doc_id", "text").distinct().select("doc_id", F.posexplode(F.split("text", r"\n|(?<=[.!?;:])[ \t]+")).alias("i", "s"))
-    found = parts.select("doc_id", "i", normalised(F.col("s")).alias("norm")).join(F.broadcast(known), "norm")  # the table of SENTENCES
-    per = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sid"))), lambda x: x["sid"]).alias("sids"))
-    per = per.select("doc_id", F.size("sids").cast("long").alias("n"), F.concat(F.lit(","), F.array_join("sids", ","), F.lit(",")).alias("ids"))
-    hit = per.join(F.broadcast(rules.withColumnRenamed("ids", "needs")), F.col("ids").contains(F.col("needs")))  # the table of RULES
-    best = hit.groupBy("doc_id").agg(F.min(F.struct("rank", "rule", "license")).alias("b"))
-    per = per.join(best, "doc_id", "left").select("doc_id", "n", F.expr("substring(ids, 2, length(ids) - 2)").alias("ids"), "b.rule", "b.license")
-    out = d.select("doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_sentences"), F.coalesce("ids", F.lit("")).alias("sentence_ids"), "rule", "license")
+    sids = {" ".join(WORD.findall(s.lower())): k for k, s in SENTENCES.items()}
+    one_of = "|".join(n.replace(" ", r"[ \n]") for n in sorted(sids, key=len, reverse=True))  # the longest that fits counts
+    names = F.create_map(*(F.lit(x) for pair in sids.items() for x in pair))  # the table of SENTENCES
+    runs = F.regexp_extract_all(pieces(F.col("text")), F.lit(rf"(?<=\n)(?:{one_of})(?=\n)"), F.lit(0))
+    d = d.select("doc_id", F.when(may, F.transform(runs, lambda r: names[F.translate(r, "\n", " ")])).alias("sids"))
+    d = d.select("doc_id", F.coalesce(F.size("sids"), F.lit(0)).alias("n"), F.coalesce(F.array_join("sids", ","), F.lit("")).alias("ids"))
+    listed = F.concat(F.lit(","), F.col("ids"), F.lit(","))
+    hits = [F.when(listed.contains(",".join(["", *ids, ""])), F.struct(F.lit(r).alias("rule"), F.lit(lic).alias("license"))) for r, lic, ids in RULES]
+    d = d.select("doc_id", "n", "ids", F.coalesce(*hits).alias("b"))
+    return d.select("doc_id", F.greatest("n", F.lit(0)).cast("long").alias("n_license_sentences"), F.col("ids").alias("sentence_ids"), "b.rule", "b.license")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -272,6 +273,21 @@ def test_licences(spark, none):
     assert license_scan.scanned(none).count() == 0
 
 
+@pytest.mark.parametrize("width", [None, 72, 40])
+def test_licences_every_sentence_and_rule(spark, width):
+    def lines(sid, prefix=""):
+        s = license_scan.SENTENCES[sid]
+        return "\n".join(textwrap.wrap(s, width, initial_indent=prefix, subsequent_indent=prefix, break_long_words=False)) if width else prefix + s
+
+    names = list(license_scan.SENTENCES)
+    texts = [lines(sid) for sid in names] + ["Some text without an end\n\n" + lines(sid, " * ") + "\n\nMore text." for sid in names]
+    texts += ["\n\n".join(lines(sid, "# ") for sid in ids) for _, _, ids in license_scan.RULES]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scanned(d).collect()}
+    assert [got[i]["sentence_ids"] for i in range(2 * len(names))] == names * 2
+    assert [(got[2 * len(names) + i]["rule"], got[2 * len(names) + i]["license"]) for i in range(len(license_scan.RULES))] == [r[:2] for r in license_scan.RULES]
+
+
 def test_language_held_out(spark, none):
     rng = random.Random(2)
     alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "xyzab "}
