@@ -1,8 +1,9 @@
 """Lexical retrieval packing: a sharded BM25 inverted index supplies unused neighbours for each seed document.
 
 Terms are token ids, so document frequencies are one bounded vector (the vocabulary of the tokenizer),
-counted over all documents. Documents are dealt to shards of about SHARD_TOKENS tokens by a hash of
-doc_id; each shard has its own inverted index. A sequence starts with a seed and is filled with the best unused
+counted over all documents. Documents are dealt to shards of about SHARD_TOKENS tokens by their content: a
+tree of planes, fitted on a sample, parts them so that alike documents meet in a shard; each shard has
+its own inverted index, and a seed asks that of its own shard. A sequence starts with a seed and is filled with the best unused
 neighbours; the one that does not fit is cut and its rest is the next seed, so that only the end of a
 shard is not full, and that end is cut at powers of two, which need no padding."""
 
@@ -24,11 +25,13 @@ from evidara.llm.session import plain, prepare, table
 from evidara.plans.storage import staged
 
 WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 600_000
-#: Terms of a seed that are looked up: those with the highest BM25 weight in it.
-QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 #: A longer document enters the index as several units of this many tokens.
 UNIT_TOKENS = 16 * WINDOW
+#: For the planes, terms are hashed to so many signed dimensions; units in the sample for each shard, and at most.
+DIMENSIONS, SAMPLE_PER_SHARD, SAMPLE = 128, 64, 32_768
+#: A leaf of the tree with more than so many times SHARD_TOKENS, such as one of very many copies, is dealt to several shards by a hash.
+OVERFULL = 1.5
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -151,7 +154,7 @@ def _frequencies(size: int):
 
 
 class Index:
-    """BM25 postings of one shard: ``of(unit)`` are the scores of all units for that unit's leading terms."""
+    """BM25 postings of one shard: ``of(unit)`` are the scores of all units for that unit's terms."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean_length: float):
         n = len(units)
@@ -159,17 +162,14 @@ class Index:
         keys, tf = np.unique(np.repeat(np.arange(n), lens) * len(idf) + np.concatenate(units), return_counts=True)
         unit, term = keys // len(idf), keys % len(idf)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[unit] / mean_length))
-        self.n, self.term, self.weight = n, term, weight
+        self.n, self.term = n, term
         self.bounds = np.searchsorted(unit, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
         self.post_unit, self.post_weight = unit[order], weight[order]
         self.post_bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def of(self, unit: int) -> np.ndarray:
-        a, z = self.bounds[unit], self.bounds[unit + 1]
-        terms = self.term[a:z]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:z], QUERY_TERMS)[:QUERY_TERMS]]
+        terms = self.term[self.bounds[unit] : self.bounds[unit + 1]]
         lo, hi = self.post_bounds[terms], self.post_bounds[terms + 1]
         size = hi - lo
         at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -277,12 +277,98 @@ def _units(size: int):
     return run
 
 
+def directions(units: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of the units: each token adds its squared idf, with a sign, to the dimension its id is hashed to."""
+    mixed = (np.arange(len(idf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    place, sign = (mixed % np.uint64(DIMENSIONS)).astype(np.int64), np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *units]).astype(np.int64)
+    row = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    v = np.bincount(row * DIMENSIONS + place[flat], weights=(sign * idf**2)[flat], minlength=len(units) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+class Planes:
+    """A tree of planes with ``leaves`` leaves of about equal weight; each plane is across the main axis of the sample in its node."""
+
+    def __init__(self, vectors: np.ndarray, weight: np.ndarray, leaves: int):
+        self.axis, self.at, self.child, self.leaves = [], [], [], 0
+        self.root = self.grow(vectors, weight, leaves)
+        self.axis = np.array(self.axis).reshape(-1, DIMENSIONS)
+        self.at, self.child = np.array(self.at), np.array(self.child, dtype=np.int64).reshape(-1, 2)
+
+    def grow(self, v: np.ndarray, weight: np.ndarray, leaves: int) -> int:
+        """Number of the node; leaves have -1, -2 and so on."""
+        if leaves > 1 and len(v) > 1:
+            axis = np.linalg.eigh(np.cov(v, rowvar=False, aweights=weight))[1][:, -1]
+            x = v @ axis
+            order = np.argsort(x, kind="stable")
+            part = np.cumsum(weight[order])
+            cut = x[order][min(int(np.searchsorted(part, part[-1] * (leaves // 2) / leaves)), len(x) - 2)]
+            left = x <= cut
+            if not left.all():
+                me = len(self.axis)
+                self.axis.append(axis), self.at.append(cut), self.child.append(None)
+                self.child[me] = (self.grow(v[left], weight[left], leaves // 2), self.grow(v[~left], weight[~left], leaves - leaves // 2))
+                return me
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.full(len(vectors), self.root)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            n = node[inner]
+            right = np.einsum("ij,ij->i", vectors[inner], self.axis[n]) > self.at[n]
+            node[inner] = self.child[n, right.astype(np.int64)]
+        return -node - 1
+
+
+def _directions(shared):
+    def run(batches):
+        for b in batches:
+            v = directions([np.frombuffer(x.as_buffer(), dtype="<u4") for x in b.column("ids")], shared.value)
+            yield pa.RecordBatch.from_arrays([b.column("n_tokens"), pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())], names=["n_tokens", "v"])
+
+    return run
+
+
+def _leaves(shared, planes):
+    def run(batches):
+        for b in batches:
+            leaf = planes.value.leaf(directions([np.frombuffer(x.as_buffer(), dtype="<u4") for x in b.column("ids")], shared.value))
+            yield b.append_column("leaf", pa.array(leaf, pa.int64()))
+
+    return run
+
+
+def dealt(units: DataFrame, shared, total: int, shard_tokens: int) -> DataFrame:
+    """The units with a column ``shard``. The sample, the planes and the leaves' sizes go through the driver; their sizes are fixed or the number of shards."""
+    spark = units.sparkSession
+    shards = max(1, math.ceil(total / shard_tokens))
+    if shards == 1:
+        return units.withColumn("shard", F.lit(0).cast("long"))
+    key = F.xxhash64("doc_id", "base", F.crc32("ids"))
+    share = min(SAMPLE, SAMPLE_PER_SHARD * shards) / max(1, units.count())
+    some = units.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("n_tokens", F.length("ids").cast("double") / 4)
+    rows = some.mapInArrow(_directions(shared), "n_tokens double, v binary").collect()
+    rows.sort(key=lambda r: (r["v"], r["n_tokens"]))
+    v = np.array([np.frombuffer(r["v"], dtype="<f4") for r in rows], dtype=np.float64).reshape(-1, DIMENSIONS)
+    planes = spark.sparkContext.broadcast(Planes(v, np.array([r["n_tokens"] for r in rows]), shards))
+    placed = units.mapInArrow(_leaves(shared, planes), "doc_id long, ids binary, base long, n_tokens long, leaf long")
+    first, parts = 0, []
+    for r in sorted(placed.groupBy("leaf").agg(F.sum(F.length("ids")) / 4).collect()):  # a row per leaf
+        n = math.ceil(r[1] / shard_tokens) if r[1] > OVERFULL * shard_tokens else 1
+        parts.append((r[0], first, n))
+        first += n
+    parts = spark.createDataFrame(parts, "leaf long, first long, parts long")
+    return placed.join(F.broadcast(parts), "leaf").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts"))).drop("leaf", "first", "parts")
+
+
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows are documents of their own, also where
     they share a doc_id. An empty table gives an empty table; other columns are ignored. The token table
-    is written to the shared folder once and read twice: for the document frequencies and for packing."""
+    is written to the shared folder once and read for the document frequencies, to deal and to pack."""
     spark = docs.sparkSession
     path = path or tokenizer_path()
     with open(path, encoding="utf-8") as f:
@@ -295,9 +381,8 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     for i, c in t.mapInArrow(_frequencies(size), "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # one row per token id at most
         df[i] = c
     shared = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
-    shards = max(1, math.ceil(total / shard_tokens))
     units = t.mapInArrow(_units(UNIT_TOKENS), "doc_id long, ids binary, base long, n_tokens long")
-    units = units.withColumn("shard", F.pmod(F.xxhash64("doc_id", "base", F.crc32("ids")), F.lit(shards)))
+    units = dealt(units, shared, total, shard_tokens)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return units.groupBy("shard").applyInArrow(_pack(shared, total / max(n, 1), window), schema)
 

@@ -206,6 +206,33 @@ def test_tokens_of_odd_texts():
         assert flat[ends[i] : ends[i + 1]].tolist() == t.tokenizer.encode(x or "", add_special_tokens=False).ids
 
 
+def test_every_term_of_a_seed_counts():
+    units = [np.arange(100), np.arange(90, 100), np.arange(100, 110)]
+    idf = np.linspace(3.0, 1.0, 110)  # what the first two share has the least weight
+    assert packing.Index(units, idf, 40.0).of(0)[1] > 0
+
+
+def test_alike_documents_meet_in_a_shard(spark):
+    rng = np.random.default_rng(1)
+    topics = [rng.integers(100 * t, 100 * t + 100, size=(40, 60)) for t in range(8)]
+    ids = [u.astype("<u4").tobytes() for t in topics for u in t]
+    place = rng.permutation(len(ids))
+    rows = [(int(place[i]), ids[i], 0, 60) for i in range(len(ids))]
+    copies = [(1000 + i, ids[0], 0, 60) for i in range(400)]
+    idf = spark.sparkContext.broadcast(np.full(800, 3.0))
+    units = spark.createDataFrame(rows, "doc_id long, ids binary, base long, n_tokens long")
+    shard = {r["doc_id"]: r["shard"] for r in packing.dealt(units, idf, 60 * len(rows), 2400).collect()}
+    index = packing.Index([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in ids], idf.value, 60.0)
+    met = []
+    for q in range(len(ids)):
+        best = [u for u in np.argsort(-index.of(q), kind="stable") if u != q][:10]
+        met += [shard[int(place[u])] == shard[int(place[q])] for u in best]
+    assert np.mean(met) > 0.6  # one in eight by a hash
+    units = spark.createDataFrame(rows + copies, "doc_id long, ids binary, base long, n_tokens long")
+    sizes = collections.Counter(r["shard"] for r in packing.dealt(units, idf, 60 * 720, 2400).collect())
+    assert sum(sizes.values()) == 720 and max(sizes.values()) * 60 < 2 * 2400  # many copies are parted
+
+
 def test_neighbours_share_a_sequence():
     rng = np.random.default_rng(0)
     topics = [rng.integers(100 * t, 100 * t + 100, size=(8, 30)) for t in range(1, 5)]
