@@ -82,10 +82,12 @@ def information_access(access: DataFrame) -> DataFrame:
     return t.select("f.code", "f.severity", F.col("key").cast("string").alias("key"), empty.alias("sample_ids"), empty.alias("splits"))
 
 
-def split_audit(samples: DataFrame, exposure: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
+def split_audit(samples: DataFrame, exposure: DataFrame | None = None, windows: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
     """All findings of the audits above in one table; the audit passes if none is an error."""
     out = group_across_splits(samples).unionByName(duplicate_target_text(samples)).unionByName(duplicate_and_missing(samples)).unionByName(pretraining_overlap(samples, exposure))
-    return out if windows is None else out.unionByName(overlap_across_splits(windows))
+    if windows is not None:
+        out = out.unionByName(overlap_across_splits(windows))
+    return out if access is None else out.unionByName(information_access(access))
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ def pretraining_overlap(spark, d):
 
 @query("split_audit", ("samples", "exposure"), f"SELECT code, severity, count(*) AS n, sum(len(string_split(sample_ids, ',')))::BIGINT AS n_samples FROM ({_GROUP} UNION ALL {_DUP} UNION ALL {_MISSING} UNION ALL {_PRE}) GROUP BY code, severity")
 def split_audit(spark, d):
-    return A.summary(A.split_audit(samples(spark, d), view(spark, d, "exposure")))
+    return A.summary(A.split_audit(samples(spark, d), view(spark, d, "exposure"), view(spark, d, "windows"), access(spark, d)))
 
 
 _ACCESS = "access AS (SELECT source AS dataset_id, count(*) % 2 = 0 AS text_at_inference, count(*) % 3 = 0 AS context_at_inference, min(doc_id) % 5 = 0 AS audio_at_inference, min(doc_id) % 2 = 0 AS token_boundaries, max(doc_id) % 3 = 0 AS event_boundaries FROM documents GROUP BY source)"
@@ -222,11 +222,14 @@ _RULES = (("text_at_inference", "error"), ("context_at_inference", "error"), ("a
 
 @query("information_access_check", (), f"WITH {_ACCESS} " + " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, dataset_id AS key FROM access WHERE {c}" for c, s in _RULES))
 def information_access_check(spark, d):
-    a = spark.read.parquet(f"{d}/documents.parquet").groupBy(F.col("source").alias("dataset_id")).agg(
+    return A.information_access(access(spark, d)).select("code", "severity", "key")
+
+
+def access(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").groupBy(F.col("source").alias("dataset_id")).agg(
         (F.count("*") % 2 == 0).alias("text_at_inference"), (F.count("*") % 3 == 0).alias("context_at_inference"), (F.min("doc_id") % 5 == 0).alias("audio_at_inference"),
         (F.min("doc_id") % 2 == 0).alias("token_boundaries"), (F.max("doc_id") % 3 == 0).alias("event_boundaries"),
     )
-    return A.information_access(a).select("code", "severity", "key")
 
 
 _HASHED = "row_number() OVER (ORDER BY sha256(concat_ws(':', '{seed}', {col}::VARCHAR)), {col})"
