@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Null ends and self-loops are ignored, repeated edges count once, an empty table gives
     an empty table. Every round keeps at most as many edges as it got and only takes minima per node, so a
     node with very many neighbours is pre-aggregated before its shuffle; each round is
-    written to the shared folder, which cuts the lineage."""
+    written to the shared folder, which cuts the lineage. Rounds that have not settled after ``max_rounds``
+    raise an error, as their components would be wrong."""
     e = (
         edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
         .where("u is not null and v is not null and u <> v")
@@ -64,6 +65,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -54,6 +54,13 @@ def test_components(spark):
     assert connected_components(e.where("u > 99")).count() == 0
 
 
+def test_components_that_have_not_settled(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long").repartition(40)
+    with pytest.raises(RuntimeError):
+        connected_components(e, max_rounds=1)
+    assert {r[1] for r in connected_components(e).collect()} == {0}
+
+
 def test_calibration(spark):
     c = spark.createDataFrame([("r", i, p, y) for i, (p, y) in enumerate([(0.9, 1), (0.8, 0), (0.1, 0), (0.2, 0)])], "run_id string, doc_id long, confidence double, correct int")
     s = E.calibration_summary(c, 2).first()
