@@ -318,7 +318,7 @@ _OCC = "s AS (SELECT CASE WHEN control = 'full' THEN 'baseline' ELSE run_id || c
 
 @query("occlusion_drop", ("predictions",), f"WITH {_METRICS}, {_OCC}, j AS (SELECT s.metric, s.variant, CASE WHEN s.metric LIKE '%cer' THEN s.value - b.value ELSE b.value - s.value END AS d FROM s JOIN s b ON b.metric = s.metric AND b.variant = 'baseline' WHERE s.variant <> 'baseline') SELECT metric, variant, round(d, 6) AS drop, round(avg(d) OVER (PARTITION BY metric), 6) AS mean_drop FROM j")
 def occlusion_drop(spark, d):
-    m = metrics(spark, d).where("run_id = 'run-0'")
+    m = metrics(spark, d)
     s = m.select(F.when(F.col("control") == "full", "baseline").otherwise(F.concat("run_id", "control")).alias("variant"), F.concat("run_id", F.lit("-"), "metric").alias("metric"), "value")
     return E.occlusion_drop(s).select("metric", "variant", F.round("drop", 6).alias("drop"), F.round("mean_drop", 6).alias("mean_drop"))
 
@@ -431,8 +431,11 @@ def typed_event_check(spark, d):
 
 @query("typed_event_plan", (), "SELECT 'eeg' AS modality, count(*) AS n FROM events WHERE value + 5 <= 400 AND user_id % 2 = 0 UNION ALL SELECT 'meg', 0")
 def typed_event_plan(spark, d):
-    t = typed(spark, d).withColumn("modality", F.lit("eeg")).where("timestamp_s + 5 <= 400 and cast(recording_id as long) % 2 = 0")
-    return C.typed_event_plan(t)
+    """Every event: one modality for each recording, which ends after the last event's window, and its own time."""
+    m = F.when(F.pmod(F.col("recording_id").cast("long"), F.lit(2)) == 0, "eeg").otherwise("meg")
+    t = typed(spark, d).withColumn("modality", m)
+    last = t.groupBy("recording_id").agg((F.max("timestamp_s") + F.max("window_s")).alias("duration_s"))
+    return C.typed_event_plan(t.drop("duration_s").join(last, "recording_id"))
 
 
 @query(

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from evidara import catalog
+from evidara.operators import checks
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -32,3 +33,27 @@ def test_split_audit_has_windows_and_access(spark, sql):
     access = sql("information_access_check", "code, severity, count(*)", "GROUP BY ALL")
     assert access
     assert got == want | {(c, s): (n, 0) for c, s, n in access}
+
+
+def test_typed_event_plan_has_every_event(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    even = events.where("user_id % 2 = 0").count()
+    assert sorted(rows(spark, "typed_event_plan", "modality", "n")) == [("eeg", even), ("meg", events.count() - even)]
+
+
+def test_no_plan_while_an_event_has_an_error(spark):
+    row = (1, "s", "r", "eeg", 250.0, 10.0, "e", "t", 1.0, 5.0)
+    names = "idx long, subject_id string, recording_id string, modality string, rate double, duration_s double, event_id string, text string, timestamp_s double, window_s double"
+    assert sorted(map(tuple, checks.typed_event_plan(spark.createDataFrame([row], names)).collect())) == [("eeg", 1), ("meg", 0)]
+    for bad in ((2, "s", "r", "eeg", 250.0, 10.0, "f", "t", 6.0, 5.0), (2, "s", "r", "meg", 250.0, 10.0, "f", "t", 1.0, 5.0)):
+        assert checks.typed_event_plan(spark.createDataFrame([row, bad], names)).count() == 0
+
+
+def test_occlusion_drop_has_every_run(spark, sql):
+    got = {(m, v): (x, y) for m, v, x, y in rows(spark, "occlusion_drop", "metric", "variant", "drop", "mean_drop")}
+    assert {m[:5] for m, _ in got} == {"run-0", "run-1", "run-2"}
+    first = {k: x for k, x in got.items() if k[0].startswith("run-0")}
+    want = {(m, v): (x, y) for m, v, x, y in sql("occlusion_drop", 'metric, variant, "drop", mean_drop')}
+    assert first.keys() == want.keys()
+    assert all(first[k] == pytest.approx(want[k], abs=2e-5) for k in want)
+    assert len(got) == 3 * len(want)
