@@ -25,6 +25,18 @@ def resolve_references(p: DataFrame, supplied: DataFrame) -> DataFrame:
     return j.select("run_id", "control", "sample_id", F.coalesce("reference_text", "given").alias("reference"), code.alias("code"))
 
 
+def resolved_pairs(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, predictions): the findings of pairing and references, and the rows of samples that have none, with their references.
+
+    A sample with a finding in one control is left out of every control of its run, so all are scored on the same samples."""
+    given = p.where("reference_text is not null").groupBy("sample_id").agg(F.min("reference_text").alias("reference_text"))
+    resolved = resolve_references(p, given)
+    findings = pairing_findings(p).unionByName(resolved.where("code is not null").select("run_id", "control", "code", "sample_id"))
+    bad = findings.select("run_id", "sample_id").distinct()
+    good = p.drop("reference_text").join(bad, ["run_id", "sample_id"], "left_anti")
+    return findings, good.join(resolved.where("code is null").select("run_id", "control", "sample_id", F.col("reference").alias("reference_text")), ["run_id", "control", "sample_id"])
+
+
 def control_aggregate(metrics: DataFrame) -> DataFrame:
     """Per control and metric the example-weighted mean over the rows that have it, runs and examples."""
     return metrics.groupBy("control", "metric").agg((F.sum(F.col("value") * F.col("examples")) / F.sum("examples")).alias("value"), F.count_distinct("run_id").alias("runs"), F.sum("examples").alias("examples"))

@@ -76,7 +76,10 @@ def stream_audit(spark, d):
     docs = W.read_stream(spark, f"{d}/documents.parquet")
     k = F.col("doc_id") % 10
     split = F.when(F.col("doc_id") % 97 == 0, F.lit(None)).when(k <= 6, "train").when(k == 7, "validation").otherwise("test")
-    return W.drain(W.split_leaks(docs.select(fingerprint(F.col("text")).alias("fingerprint"), split.alias("split"))), "complete")
+    leaks = W.drain(W.split_leaks(docs.select(fingerprint(F.col("text")).alias("fingerprint"), split.alias("split"))), "complete")
+    again = W.drain(W.repeated_ids(docs.select(F.col("doc_id").cast("string").alias("sample_id"))), "complete")
+    leaks = leaks.select(F.lit("cross_split_text").alias("code"), F.col("fingerprint").alias("key"), F.col("n_splits").cast("long").alias("n"))
+    return leaks.unionByName(again.select(F.lit("duplicate_sample").alias("code"), F.col("sample_id").alias("key"), "n"))
 
 
 def generate(cells, function):

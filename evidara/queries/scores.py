@@ -241,9 +241,17 @@ def grounding_report(spark, d):
 
 @query("evaluate_predictions")
 def evaluate_predictions(spark, d):
-    r = T.corpus_error_rate(predictions(spark, d)).unpivot(["run_id", "control", "examples"], ["cer", "wer"], "metric", "value")
+    return evaluated(predictions(spark, d))
+
+
+def evaluated(p):
+    """Scores and grounding over paired samples with one reference, with the number of findings of each run and control."""
+    findings, p = E.resolved_pairs(p)
+    r = T.corpus_error_rate(p).unpivot(["run_id", "control", "examples"], ["cer", "wer"], "metric", "value")
     g = E.grounding(r).select("run_id", "metric", "strongest", F.round("gain", 6).alias("gain"), F.round("contribution", 6).alias("contribution"))
-    return r.select("run_id", "control", "metric", F.round("value", 6).alias("value"), "examples").join(g, ["run_id", "metric"])
+    r = r.select("run_id", "control", "metric", F.round("value", 6).alias("value"), "examples").join(g, ["run_id", "metric"])
+    n = findings.groupBy("run_id", "control").agg(F.count("*").alias("findings"))
+    return r.join(n, ["run_id", "control"], "full_outer").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
 
 
 @query("failure_explorer")

@@ -131,9 +131,14 @@ for _name, _key in (("zero", "control_zero"), ("noise", "control_noise"), ("mask
 
 @query("control_suite", ("cells",), f"WITH {_PERM} " + " UNION ALL ".join(f"SELECT '{n}' AS control, vec_id, channel::INT AS channel, t::INT AS t, round(value, 5) AS value FROM ({s})" for n, s in _CTL.items()))
 def control_suite(spark, d):
-    c, out = cells(spark, d), None
-    for n in _CTL:
-        part = G.control(c, n).select(F.lit(n).alias("control"), "vec_id", "channel", "t", F.round("value", 5).alias("value"))
+    """All eight conditions; a signal's event for the timing condition is at its time step vec_id modulo 8."""
+    c = cells(spark, d)
+    frames = G.timing_only(c.select("vec_id", F.pmod("vec_id", F.lit(8)).alias("frame")), "vec_id", 8)
+    timing = c.select("vec_id", "channel", "t").join(frames.select("vec_id", F.col("frame").cast("int").alias("t"), "value"), ["vec_id", "t"])
+    parts = {"full": c, **{n: G.control(c, n) for n in _CTL}, "timing": timing, "surrogate": G.surrogate(c)}
+    out = None
+    for n, part in parts.items():
+        part = part.select(F.lit(n).alias("control"), "vec_id", "channel", "t", F.round("value", 5).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -31,6 +31,11 @@ def split_leaks(samples: DataFrame) -> DataFrame:
     return g.where("n_splits > 1")
 
 
+def repeated_ids(samples: DataFrame) -> DataFrame:
+    """(sample_id, n) of sample ids that arrive more than once: a count per id is the state."""
+    return samples.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, and return what it wrote.
 

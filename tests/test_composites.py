@@ -7,6 +7,7 @@ import pytest
 
 from evidara import catalog
 from evidara.operators import checks
+from evidara.queries.scores import evaluated
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -57,3 +58,32 @@ def test_occlusion_drop_has_every_run(spark, sql):
     assert first.keys() == want.keys()
     assert all(first[k] == pytest.approx(want[k], abs=2e-5) for k in want)
     assert len(got) == 3 * len(want)
+
+
+def test_evaluation_scores_paired_samples_with_one_reference(spark):
+    full = [("r", i, "full", "a b", "a b") for i in "1234"]
+    shuffled = [("r", "1", "shuffled", "a c", "a b"), ("r", "2", "shuffled", "x y", "other"), ("r", "4", "shuffled", "a b", None), ("r", "4", "shuffled", "a b", None), ("r", "5", "shuffled", "q", "q")]
+    p = spark.createDataFrame(full + shuffled, "run_id string, sample_id string, control string, prediction_text string, reference_text string")
+    got = {(r["control"], r["metric"]): (r["value"], r["examples"], r["findings"]) for r in evaluated(p).collect()}
+    assert got["full", "wer"] == (0.0, 1, 0)
+    assert got["shuffled", "wer"] == (0.5, 1, 4)  # conflict 2, missing 3, repeated 4, extra 5
+
+
+def test_control_suite_has_eight_conditions(spark, sql):
+    got = rows(spark, "control_suite", "control", "vec_id", "channel", "t", "value")
+    n = sql("control_suite", "count(*) // 5")[0][0]
+    assert {c: sum(r[0] == c for r in got) for c in {r[0] for r in got}} == dict.fromkeys(("full", "zero", "noise", "mask", "length", "shuffled", "timing", "surrogate"), n)
+    old = {tuple(r[:4]): r[4] for r in sql("control_suite", "control, vec_id, channel, t, value")}
+    new = {r[:4]: r[4] for r in got}
+    assert all(new[k] == pytest.approx(v, abs=2e-5) for k, v in old.items())
+    surrogate = {tuple(r[:3]): r[3] for r in sql("control_surrogate", "vec_id, channel, t, value")}
+    assert all(new["surrogate", *k] == pytest.approx(v, abs=2e-5) for k, v in surrogate.items())
+    assert all(v == (t == i % 8) for c, i, _, t, v in got if c == "timing")
+
+
+def test_stream_audit_has_repeated_ids(spark, sql, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.unionByName(docs.where("doc_id in (3, 5)")).unionByName(docs.where("doc_id = 5")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.queries()["stream_audit"](spark, str(tmp_path)).select("code", "key", "n").collect()]
+    assert sorted(r[1:] for r in got if r[0] == "duplicate_sample") == [("3", 2), ("5", 3)]
+    assert sorted(r[1:] for r in got if r[0] == "cross_split_text") == sorted(sql("stream_audit", "fingerprint, n_splits"))
