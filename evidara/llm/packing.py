@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import math
 import os
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,26 +71,51 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), dtype=bool)  # ids of pieces' last tokens
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
         self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.lens, self.starts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, tokens of each word) of words.
+
+        Lower-case words of letters alone are one piece for the tokenizer and pass its normalizer unchanged, so many of
+        them are encoded as one line, and the ids that end a piece tell them apart. All others go through the whole tokenizer, each by itself."""
+        simple = np.array([x.isalpha() and x.islower() and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in texts], dtype=bool)
+        at = np.flatnonzero(simple)
+        lines = [" ".join([texts[i] for i in at[k : k + 500].tolist()]) for k in range(0, len(at), 500)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)), dtype=np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, dtype=np.int64)
+        if len(ends) != len(at):
+            simple[:], at, ids, ends = False, at[:0], ids[:0], ends[:0]
+        rest = np.flatnonzero(~simple)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False)]
+        lens = np.zeros(len(texts), dtype=np.int64)
+        lens[at], lens[rest] = np.diff(ends, prepend=0), [len(i) for i in others]
+        source = np.concatenate([ids, np.fromiter(chain.from_iterable(others), dtype=np.int32)])
+        begin = np.zeros(len(texts), dtype=np.int64)
+        begin[at], begin[rest] = ends - lens[at], len(ids) + np.cumsum(lens[rest]) - lens[rest]
+        return source[np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens
+
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         """Add words that are not in the table."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.array([len(i) for i in ids], dtype=np.int64)
+        flat, lens = self.split(texts)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.place = np.insert(self.place, at, len(self.lens) + order)
         self.keys = np.insert(self.keys, at, keys[order])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], dtype=np.int32)])
+        self.flat = np.concatenate([self.flat, flat])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in the table, -1 where it has none."""

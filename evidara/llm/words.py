@@ -5,6 +5,7 @@ working on UTF-8 bytes gives the same words as working on characters."""
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 #: Odd multipliers of the polynomial hashes, and their inverses modulo 2**64.
 BYTE_BASE, WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
 CHUNK_BYTES = 1 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -35,9 +37,15 @@ class _Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(0, dtype=np.uint64)
 
+    #: Powers kept between batches, 16 bytes each; a longer text's are worked out anew.
+    KEPT = 1 << 21
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            return _powers(self.base, n), _powers(self.inverse, n)
         if len(self.up) < n:
-            self.up, self.down = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
+            kept = min(self.KEPT, n + n // 8)
+            self.up, self.down = _powers(self.base, kept), _powers(self.inverse, kept)
         return self.up[:n], self.down[:n]
 
 
@@ -119,8 +127,22 @@ def layout(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task does not hold it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batches, column: str):
     """Cut record batches so that the texts of each piece stay under CHUNK_BYTES (or are one row)."""
+    try:
+        yield from _chunks(batches, column)
+    finally:
+        give_back()
+
+
+def _chunks(batches, column: str):
     for b in batches:
         if not b.num_rows:
             continue
