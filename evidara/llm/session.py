@@ -20,3 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator works on, so that other columns cannot clash with its own names."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has ``most`` rows or fewer, else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
