@@ -1,10 +1,10 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length word window.
 
 A window can only repeat if its anchor, the least hash of the 8-word runs inside it, repeats too, as
-equal windows have equal anchors. So anchors are counted first (a few per hundred words), and 64-bit
-window hashes are compared in Spark only where the anchor occurs in two documents or more; no repeated window is lost by
-this, and two different windows pass for equal with a chance of 2**-64. What repeats within a batch is settled there, so a
-passage in very many documents sends a row per batch, not per document. Repeated windows then merge into
+equal windows have equal anchors. So anchors are counted first (a few per hundred words), and windows are counted and
+compared in Spark only where the anchor occurs in two documents or more; no repeated window is lost by
+this, and windows elsewhere are not sent. They are compared by hashes to two bases, 96 bits in all. What repeats among the SETTLED windows that a task gathers is settled there, so a
+passage in very many documents sends a row for each such lot, not for each document, and a line that fills a document one row, not one for each place. Repeated windows then merge into
 maximal intervals of words, document by document."""
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm import words as W
-from evidara.llm.session import plain, prepare, table
+from evidara.llm.session import few, free_name, plain, prepare, table
 from evidara.plans.storage import staged
 
 WINDOW, RUN = 50, 8
+#: Up to so many repeated ids are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _windows(w: W.Words, window: int, run: int):
@@ -36,45 +38,64 @@ def _anchors(window: int, run: int):
         for b in W.chunks(batches, "text"):
             w = W.layout(b.column("text"))
             _, anchors, count = _windows(w, window, run)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             out, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for d in np.flatnonzero(count):
-                a = np.unique(anchors[w.first[d] : w.first[d] + count[d]])
-                out.append(a)
-                owner.append(np.full(len(a), ids[d], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], names=["anchor", "doc_id"])
+                out.append(np.unique(anchors[w.first[d] : w.first[d] + count[d]]))
+                owner.append(np.full(len(out[-1]), d, dtype=np.int64))
+            at = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), b.column("doc_id").take(at), b.column("version").take(at)], names=["anchor", "doc_id", "version"])
 
     return go
 
 
+#: Windows that a task gathers before it settles what repeats among them.
+SETTLED = 1 << 20
+
+
+def _settled(g: np.ndarray, g2: np.ndarray, o: np.ndarray, v: np.ndarray, p: np.ndarray):
+    """Batches (w, w2, doc_id, version, place, more): of windows that repeat here only the smallest document's go on, one row for each, with further
+    places in ``more``; the others are found at once and have no hash."""
+    order = np.lexsort((p, v, o, g2, g))
+    g, g2, o, v, p = g[order], g2[order], o[order], v[order], p[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])
+    known = o > o[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
+    again = np.zeros(len(g), dtype=bool)
+    again[1:] = ~new[1:] & ~known[1:] & (o[1:] == o[:-1]) & (v[1:] == v[:-1])
+    head = np.flatnonzero(~again)
+    n = np.diff(np.append(head, len(g))) - 1  # what follows a row is what repeats it
+    ends = np.concatenate([[0], np.cumsum(n)])
+    rest = p[again]
+    for lo in range(0, len(head), 1 << 16):
+        i = head[lo : lo + (1 << 16)]
+        off = ends[lo : lo + len(i) + 1]
+        more = pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32), pa.int32()), pa.array(rest[off[0] : off[-1]], pa.int32()), mask=pa.array(n[lo : lo + len(i)] == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(g[i].view(np.int64), mask=known[i]), pa.array(g2[i], mask=known[i]), pa.array(o[i]), pa.array(v[i]), pa.array(p[i]), more], names=["w", "w2", "doc_id", "version", "place", "more"])
+
+
 def _candidates(window: int, run: int):
-    """Hash and place of each window whose anchor is shared; of windows that repeat in a batch only the smallest document's go on, the others are found at once and have no hash."""
+    """Two hashes and the place of each window whose anchor is shared."""
 
     def go(batches):
+        held, size = [], 0
         for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
             h, anchors, count = _windows(w, window, run)
-            r = W.rolling(h, window)
-            ids, shared = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("anchors")
-            at, owner, place = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+            r, r2 = W.rolling(h, window), W.rolling(h, window, 1)
+            ids, version, shared = b.column("doc_id").to_numpy(), b.column("version").to_numpy(), b.column("anchors")
             for d in np.flatnonzero(count):
                 first, n = int(w.first[d]), int(count[d])
-                mine = np.sort(shared[int(d)].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                mine = np.unique(shared[int(d)].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 a = anchors[first : first + n]
                 hit = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, a), len(mine) - 1)] == a)
-                at.append(first + hit)
-                owner.append(np.full(len(hit), ids[d], dtype=np.int64))
-                place.append(hit.astype(np.int32))
-            g, o, p = r[np.concatenate(at)], np.concatenate(owner), np.concatenate(place)
-            order = np.lexsort((p, o, g))
-            g, o, p = g[order], o[order], p[order]
-            new = np.ones(len(g), dtype=bool)
-            new[1:] = g[1:] != g[:-1]
-            least = o[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] if len(g) else o
-            known = o > least
-            for lo in range(0, len(g), 1 << 16):
-                i = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(g[i].view(np.int64), mask=known[i]), pa.array(o[i]), pa.array(p[i])], names=["w", "doc_id", "place"])
+                held.append((r[first + hit], (r2[first + hit] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(hit), ids[d]), np.full(len(hit), version[d]), hit.astype(np.int32)))
+                size += len(hit)
+            if size >= SETTLED:
+                yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        W.give_back()
 
     return go
 
@@ -85,16 +106,15 @@ def _remove(window: int, keep_text: bool):
     def go(batches):
         for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
-            places = b.column("places")
+            places, more = b.column("places"), b.column("more")
             valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
             n_words, n_removed, sha, starts, ends, left = [], [], [], [], [], []
             for d in range(b.num_rows):
                 first, n, raw = int(w.first[d]), int(w.first[d + 1] - w.first[d]), w.text(d)
-                cut = places[d]
                 a = e = np.zeros(0, dtype=np.int64)
                 kept, text = raw.split(), raw
-                if cut.is_valid and len(cut.values):
-                    p = np.sort(cut.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                if places[d].is_valid and len(places[d].values):
+                    p = np.unique(np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in (places[d], more[d]) if x.is_valid]).astype(np.int64))
                     new = np.flatnonzero(np.diff(p) > window)
                     a, e = p[np.concatenate([[0], new + 1])], p[np.concatenate([new, [len(p) - 1]])] + window
                     base = int(w.offsets[d])
@@ -110,10 +130,10 @@ def _remove(window: int, keep_text: bool):
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 starts.append(a.astype(np.int32))
                 ends.append(e.astype(np.int32))
-                left.append(text.decode("utf-8") if valid[d] else None)
-            columns = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
+                left.append(text.decode("utf-8") if valid[d] and keep_text else None)
+            columns = [b.column("doc_id"), b.column("version"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             columns += [pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "starts", "ends"]
+            names = ["doc_id", "version", "n_words", "n_removed", "kept_sha256", "starts", "ends"]
             if keep_text:
                 columns, names = [*columns, pa.array(left, pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -121,41 +141,61 @@ def _remove(window: int, keep_text: bool):
     return go
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column more: rows that repeat a doc_id are told apart by their text's hash, all others have 0."""
+    name = free_name(docs, "version")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    twice = staged(twice, "twice")
+    if twice.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    ids = twice.select(F.col("doc_id").alias(free_name(docs, "twice")))
+    joined = docs.join(few(ids, BROADCAST_IDS), docs["doc_id"] == F.col(ids.columns[0]), "left")
+    return joined.withColumn(name, F.when(F.col(ids.columns[0]).isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long")).drop(ids.columns[0])
+
+
 def repeated_places(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc_id, places): starts of the windows that also start in a document with a smaller doc_id."""
-    prepare(docs.sparkSession)
-    docs = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    anchors = staged(docs.mapInArrow(_anchors(window, run), "anchor long, doc_id long"), "anchors")
+    """(doc_id, version, places, more): starts of the windows that also start in a document with a smaller doc_id, in two lists."""
+    docs = docs.where("doc_id is not null and text is not null")
+    anchors = staged(docs.mapInArrow(_anchors(window, run), "anchor long, doc_id long, version long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    held = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    found = W.squeeze(docs).join(held, "doc_id").mapInArrow(_candidates(window, run), "w long, doc_id long, place int")
+    held = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+    found = W.squeeze(docs).join(held, ["doc_id", "version"]).mapInArrow(_candidates(window, run), "w long, w2 int, doc_id long, version long, place int, more array<int>")
     key = F.coalesce("w", F.xxhash64("doc_id", "place"))  # those found already only have to be spread
-    least = F.min(F.when(F.col("w").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("key"))
+    least = F.min(F.when(F.col("w").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("key", "w2"))
     found = found.withColumn("key", key).withColumn("least", least).where("w is null or doc_id > least")
-    return found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return found.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"), F.flatten(F.collect_list("more")).alias("more"))
+
+
+def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """The result for each row of ``docs`` (doc_id, version, text)."""
+    schema = "doc_id long, version long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>" + ", kept_text string" * keep_text
+    joined = W.squeeze(docs).join(repeated_places(docs, window), ["doc_id", "version"], "left").select("doc_id", "version", "z", "places", "more")
+    return joined.mapInArrow(_remove(window, keep_text), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, starts and ends of the removed intervals, and kept_text if asked for.
 
-    Null texts have no words (kept_text stays null); texts of fewer words than a window lose none. Rows that repeat
-    a doc_id are one document that is read twice: nothing is removed because of each
-    other. A null doc_id has no order, so such rows keep all words. An empty table gives an
+    Null texts have no words (kept_text stays null); texts of fewer words than a window lose none. Of rows that repeat
+    a doc_id each is judged by its own text, and none is removed because of another with that doc_id. A null doc_id has no order, so such rows keep all words. An empty table gives an
     empty table; other columns are ignored."""
-    places = repeated_places(docs, window)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>" + ", kept_text string" * keep_text
-    joined = W.squeeze(plain(docs, "doc_id", "text")).join(places, "doc_id", "left").select("doc_id", "z", "places")
-    return joined.mapInArrow(_remove(window, keep_text), schema)
+    prepare(docs.sparkSession)
+    return _cut(versions(plain(docs, "doc_id", "text")), window, keep_text).drop("version")
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated passages cut from their texts; n_chars follows. Every row stays."""
-    left = without_repeats(docs, window, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__left")).dropDuplicates(["__id"])
-    d = docs.join(left, docs["doc_id"] == F.col("__id"), "left")
-    text = F.coalesce(F.col("__left"), F.col("text"))
+    """``docs`` with the repeated passages cut from their texts; n_chars follows. Every row stays, rows that repeat a doc_id too."""
+    prepare(docs.sparkSession)
+    rows = versions(docs)
+    version = rows.columns[-1]
+    found = _cut(rows.select("doc_id", F.col(version).alias("version"), "text"), window, True).where("n_removed > 0").select("doc_id", "version", "kept_text").dropDuplicates(["doc_id", "version"])
+    ident, cut, left = (free_name(rows, n) for n in ("cut_id", "cut_version", "kept_text"))
+    found = found.toDF(ident, cut, left)
+    d = rows.join(found, (rows["doc_id"] == F.col(ident)) & (rows[version] == F.col(cut)), "left")
+    text = F.coalesce(F.col(left), F.col("text"))
     cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text.alias("text")}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars")
+        cols["n_chars"] = F.when(F.col(ident).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars")
     return d.select(*[cols[c] for c in docs.columns])
 
 

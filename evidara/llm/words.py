@@ -154,16 +154,20 @@ def _chunks(batches, column: str):
 
 
 def squeeze(docs):
-    """``docs`` (doc_id, text) with the text as Zstandard bytes, for shuffles of whole texts."""
+    """``docs`` with its column ``text`` as Zstandard bytes ``z``, for shuffles of whole texts."""
     import zstandard
 
+    names = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "z binary"])
+
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            texts = [None if t is None else z.compress(t.encode("utf-8")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "z"])
+            texts = [z.compress(t.as_buffer()) if t.is_valid else None for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, "z"])
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.mapInArrow(run, schema)
 
 
 def unsqueezed(batches):
