@@ -1,13 +1,16 @@
 """Main text of HTML pages: flat text blocks judged by a decision tree over word counts and link densities.
 
 Blocks are the runs of text between block-level tags. A block is described by its word count and link
-density and by those of the blocks before and after it, and by whether an ancestor is a
-container of page furniture or of the article. The tree is grown on the small labelled table below."""
+density and by those of the blocks before and after it, by whether it is a heading, and by what its containers say they are.
+The tree is grown on a small labelled table, the blocks of typical page layouts, with and without such
+containers: it learns to read link lists and lone short lines as furniture without any name, and to trust a doubtful name only where the
+words agree."""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,38 +18,112 @@ from pyspark.sql import DataFrame
 
 from evidara.llm.session import plain, prepare, table
 
-#: Tags that end a block, tags whose content is no text, containers of page furniture.
+#: Tags that end a block, tags whose content is no text, containers of page furniture or of the article.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT_TAGS = frozenset("script style noscript template iframe svg math object select textarea option button title head canvas audio video".split())
+SILENT_TAGS = frozenset("script style noscript template iframe svg math object select datalist textarea button title canvas audio video".split())
+#: Of those, the ones that run to the end of the page if they are not closed.
+RAW_TAGS = frozenset("script style".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset("article main".split())
-FURNITURE_NAMES = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|disqus|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|pagination|pager|widget|login|signup|search|copyright|legal)(?![a-z])"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of class, id and role names that mark page furniture, for certain or maybe, and articles; names with a part of OTHERWISE say nothing.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies respond disqus cookie cookies consent gdpr popup modal newsletter subscribe pagination pager widget login signup contentinfo complementary".split()
 )
-ARTICLE_NAMES = re.compile(r"(?<![a-z])(article\w*|content|entry|post|story|main|body-?text)(?![a-z])")
+MAYBE_FURNITURE = frozenset("banner promo share sharing social related recommend recommended recommendations search copyright legal notice header tags toolbar form".split())
+ARTICLE = frozenset("article content entry post story main body text".split())
+OTHERWISE = frozenset("no has with without hide show is".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "article")
-#: The labelled table: FEATURES as above, then 1 for text of the article. Written by hand from typical page layouts.
-LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (2, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0), (6, 0.0, 3, 1.0, 8, 0.0, 1, 0, 0),
-    (25, 0.0, 4, 1.0, 9, 0.0, 1, 0, 0), (8, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0), (40, 0.1, 80, 0.0, 12, 0.5, 1, 0, 0), (120, 0.0, 90, 0.0, 3, 1.0, 1, 0, 0),
-    (15, 0.0, 70, 0.0, 30, 0.0, 1, 1, 0), (60, 0.0, 20, 0.0, 45, 0.0, 1, 1, 0), (3, 1.0, 50, 0.0, 40, 0.0, 1, 1, 0), (2, 0.0, 30, 0.0, 55, 0.0, 1, 1, 0),
-    (8, 0.0, 7, 0.0, 1, 0.0, 0, 1, 1), (1, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1), (2, 0.0, 70, 0.0, 2, 0.0, 0, 1, 1), (45, 0.0, 2, 0.0, 80, 0.0, 0, 1, 1),
-    (150, 0.05, 9, 0.0, 30, 0.0, 0, 1, 1), (30, 0.4, 80, 0.0, 90, 0.0, 0, 1, 1), (4, 1.0, 60, 0.0, 70, 0.0, 0, 1, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
-    (5, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1), (20, 0.0, 3, 1.0, 25, 0.1, 0, 1, 1), (60, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1), (90, 0.1, 50, 0.0, 9, 0.0, 0, 0, 1),
-    (25, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (18, 0.2, 30, 0.0, 50, 0.0, 0, 0, 1), (9, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1), (7, 0.0, 20, 0.0, 40, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0),
-    (12, 0.8, 30, 0.9, 15, 0.7, 0, 0, 0), (40, 0.9, 10, 1.0, 12, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0), (6, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0), (20, 0.7, 60, 0.0, 10, 1.0, 0, 0, 0),
-)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "furniture", "article")
+#: The layouts behind the labelled table: kinds of blocks in page order, by hand.
+LAYOUTS = (
+    "menu menu menu slogan headline para para short para footer",
+    "menu menu menu menu ad headline para para para links links links footer footer",
+    "slogan menu menu crumb headline short para quote para item item item para comment comment footer",
+    "menu menu notice headline para head para para head item item para sidebar sidebar links links footer",
+    "slogan form menu menu menu headline para para short quote para para para tagline footer footer",
+    "menu menu headline short short para para short footer menu menu",
+    "crumb headline para item item item item item para comment form comment footer",
+    "menu menu menu head links links links head links links links footer",
+    "headline para para",
+    "para",
+    "para para para",
+    "headline short short short",
+    "short",
+    "head item item item para",
+    "menu menu title para short short links links footer",
+    "menu menu menu title para para quote links links links footer",
+    "slogan menu title short para quote short menu menu footer",
+    "menu title para para short tagline footer",
+    "menu menu headline short links links",
+    "menu quote menu menu",
+    "lone",
+)
+#: Words and link densities that a kind of block takes in turn, and whether it is text of the article.
+KINDS = {
+    "lone": ((1, 3, 2, 5), (0.0,), 1),
+    "menu": ((1, 2, 1, 3), (1.0,), 0),
+    "slogan": ((3, 6, 4), (0.0,), 0),
+    "crumb": ((5, 7), (0.8, 0.7), 0),
+    "ad": ((8, 14, 20), (0.0, 0.3), 0),
+    "notice": ((18, 35), (0.05, 0.0), 0),
+    "form": ((2, 5), (0.0,), 0),
+    "headline": ((8, 13, 5), (0.0,), 1),
+    "title": ((3, 2, 4), (0.0,), 1),
+    "head": ((3, 5, 2), (0.0,), 1),
+    "para": ((45, 90, 28, 150, 60), (0.0, 0.05, 0.1, 0.0), 1),
+    "short": ((9, 14, 18, 6), (0.0,), 1),
+    "quote": ((16, 24), (0.0,), 1),
+    "item": ((4, 9, 12, 6), (0.0, 0.25), 1),
+    "links": ((6, 9, 4, 11), (1.0, 0.9), 0),
+    "tagline": ((4, 7), (1.0, 0.6), 0),
+    "sidebar": ((12, 30, 8), (0.0, 0.4), 0),
+    "comment": ((15, 40, 70, 9), (0.0,), 0),
+    "footer": ((4, 8, 3, 10), (0.3, 0.6, 0.0), 0),
+}
+#: Inside a named article any block is its text, inside named furniture none: blocks and neighbours of such words and link densities, each with each.
+ANY_BLOCK = ((0, 0.0), (1, 0.0), (2, 1.0), (5, 0.0), (10, 0.4), (60, 0.1))
+#: Kinds that only their containers tell apart from the article.
+NEEDS_NAME = frozenset("ad notice sidebar comment form".split())
+
+
+def labelled() -> list[tuple]:
+    """The labelled table: FEATURES, then 1 for text of the article.
+
+    Each layout comes with containers that are certain, with names that may mean furniture, without any, and with such a name
+    around the whole article (as in a class share-price). Where nothing is named, kinds that need a name are left out."""
+    rows, turn = [], dict.fromkeys(KINDS, 0)
+    for style in ("certain", "maybe", "bare", "misnamed"):
+        for layout in LAYOUTS:
+            kinds = [k for k in layout.split() if style != "bare" or k not in NEEDS_NAME]
+            page = []
+            for i, k in enumerate(kinds):
+                words, links, label = KINDS[k]
+                n, d = words[turn[k] % len(words)], links[turn[k] % len(links)]
+                turn[k] += 1
+                if k == "head" and i + 1 < len(kinds) and kinds[i + 1] == "links":
+                    label = 0
+                mark = {"certain": 2, "maybe": 2 if k in NEEDS_NAME else 1, "bare": 0, "misnamed": 2}[style] if not label else 1 if style == "misnamed" else 0
+                page.append((n, d, k in ("headline", "title", "head"), mark, bool(label) and style not in ("bare", "maybe"), label))
+            none = (0, 0.0)
+            for i, (n, d, h, mark, inside, label) in enumerate(page):
+                before, after = page[i - 1][:2] if i else none, page[i + 1][:2] if i + 1 < len(page) else none
+                rows.append((n, d, *before, *after, int(h), mark, int(inside), label))
+    for i, around in enumerate(product(ANY_BLOCK, repeat=3)):
+        row = tuple(x for block in around for x in block)
+        rows += [(*row, i % 2, 0, 1, 1), (*row, i % 2, 2, i // 2 % 2, 0)]
+    return rows
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9):
     """A decision tree by Gini impurity: a label, or (feature, threshold, tree at most it, tree above it)."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(2 * y.sum() >= len(y))
@@ -65,8 +142,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     return f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
-def fitted_tree(rows=LABELLED):
-    table_ = np.array(rows, dtype=float)
+def fitted_tree(rows: list[tuple] | None = None):
+    table_ = np.array(labelled() if rows is None else rows, dtype=float)
     return grow(table_[:, :-1], table_[:, -1])
 
 
@@ -80,24 +157,53 @@ def predict(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, linked words, inside furniture, inside an article) of each block with text, in page order."""
-    out, text, words, linked = [], [], 0, 0
-    stack: list[tuple[str, bool, bool]] = []
-    silent, links = "", 0
+def named(attributes: str) -> tuple[int, bool]:
+    """What class, id and role say: furniture (2 for certain, 1 maybe, 0 no), and article."""
+    furniture, article = 0, False
+    for value in ATTRIBUTE.findall(attributes):
+        for name in "".join(value).split():
+            parts = set(PARTS.split(HUMP.sub("-", name).lower()))
+            if parts & OTHERWISE:
+                continue
+            furniture = max(furniture, 2 if parts & FURNITURE else 1 if parts & MAYBE_FURNITURE else 0)
+            article = article or bool(parts & ARTICLE)
+    return furniture, article
+
+
+class Container:
+    """An open block-level tag: what it says it is, whether the article is in it, and its words."""
+
+    __slots__ = ("tag", "furniture", "article", "by_name", "holds_article", "words")
+
+    def __init__(self, tag: str, furniture: int, article: bool, by_name: bool):
+        self.tag, self.furniture, self.article, self.by_name = tag, furniture, article, by_name
+        self.holds_article, self.words = False, 0
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, int, bool]]:
+    """(text, words, linked words, is a heading, furniture, article) of each block with text, in page order.
+
+    A form, or a container that only its name marks, which holds the article and half of the page's words or more, is no furniture."""
+    found, text, words, linked = [], [], 0, 0
+    stack: list[Container] = []
+    heading, links, at = 0, 0, 0
 
     def close() -> None:
         nonlocal text, words, linked
         line = SPACE.sub(" ", "".join(text)).strip()
         if line:
-            out.append((line, words, linked, any(s[1] for s in stack), any(s[2] for s in stack)))
+            for c in stack:
+                c.words += words
+            found.append((line, words, linked, heading > 0, [c for c in stack if c.furniture], any(c.article for c in stack)))
         text, words, linked = [], 0, 0
 
-    for m in TOKEN.finditer(page):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         name = m[2]
         if name is None:
             raw = m[0]
-            if raw[0] == "<" and raw != "<" or silent:
+            if raw[0] == "<" and raw != "<":
                 continue
             said = entities.unescape(raw) if "&" in raw else raw
             text.append(said)
@@ -105,50 +211,55 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             words += n
             linked += n * (links > 0)
             continue
-        name = name.lower()
-        if silent:
-            if m[1] and name == silent:
-                silent = ""
-            continue
+        name, closing = name.lower(), bool(m[1])
         if name == "a":
-            links = max(0, links - 1) if m[1] else links + 1
-            continue
-        if name in SILENT_TAGS and name != "head":
-            if name in BLOCK_TAGS:
-                close()
-            if not m[1] and not m[3].endswith("/"):
-                silent = name
+            links = max(0, links - 1) if closing else links + 1
             continue
         if name in BLOCK_TAGS:
             close()
             links = 0
+        if name in SILENT_TAGS:
+            if not closing and not m[3].endswith("/"):
+                end = re.compile(rf"</{name}(?![a-z])[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page) if name in RAW_TAGS else at
+            continue
         if name in VOID_TAGS:
             continue
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
+        if name in HEADINGS:
+            heading = 0 if closing else 1
+        if closing:
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name), None)
+            if i is not None:
+                del stack[i:]
         elif not m[3].endswith("/"):
-            attrs = " ".join(x for y in ATTRIBUTE.findall(m[3]) for x in y).lower() if m[3] else ""
-            if name == "p" or name == "li":
-                while stack and stack[-1][0] == name:
+            if name in BLOCK_TAGS:
+                while stack and (stack[-1].tag == "p" or name == "li" and stack[-1].tag == "li"):
                     stack.pop()
-            article = name in ARTICLE_TAGS or bool(attrs) and bool(ARTICLE_NAMES.search(attrs))
-            inner = bool(stack) and any(s[2] for s in stack)
-            furniture = name in FURNITURE_TAGS and not (name == "header" and inner) or bool(attrs) and bool(FURNITURE_NAMES.search(attrs)) and name not in ("body", "html", "article", "main")
+            furniture, article = named(m[3]) if m[3] and name not in ("html", "body") else (0, False)
+            article = article and not furniture or name in ARTICLE_TAGS
+            by_name = True
+            if name in FURNITURE_TAGS and not (name == "header" and any(c.article for c in stack)):
+                furniture, by_name = 2, name == "form"
+            if name in ARTICLE_TAGS or name == "h1":
+                furniture = furniture if name == "h1" else 0
+                for c in stack:
+                    c.holds_article = True
             if name in BLOCK_TAGS or furniture:
-                stack.append((name, furniture, article))
+                stack.append(Container(name, furniture, article, by_name))
     close()
-    return out
+    total = sum(b[1] for b in found)
+    level = lambda c: 0 if c.by_name and c.holds_article and 2 * c.words >= total else c.furniture
+    return [(*b[:4], max([0, *(level(c) for c in b[4])]), b[5]) for b in found]
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, bool, int, bool]]) -> np.ndarray:
     n = np.array([b[1] for b in found], dtype=float)
     d = np.array([b[2] / b[1] if b[1] else 0.0 for b in found])
     x = np.zeros((len(found), len(FEATURES)))
     x[:, 0], x[:, 1] = n, d
     x[1:, 2], x[1:, 3], x[:-1, 4], x[:-1, 5] = n[:-1], d[:-1], n[1:], d[1:]
-    x[:, 6], x[:, 7] = [b[3] for b in found], [b[4] for b in found]
+    for k, i in ((6, 3), (7, 4), (8, 5)):
+        x[:, k] = [b[i] for b in found]
     return x
 
 
@@ -162,8 +273,8 @@ def main_text(page: str, tree) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
-    Null and empty pages give the empty text, unclosed tags run to the end of the page, character
-    references without a semicolon are decoded as HTML 5 does. Repeated rows each give a row; an empty
+    Null and empty pages give the empty text. A script or style that is not closed runs to the end of the page, other tags that are not closed hide
+    nothing; character references without a semicolon are decoded as HTML 5 does. Repeated rows each give a row; an empty
     table gives an empty table; other columns are ignored."""
     prepare(pages.sparkSession)
     tree = fitted_tree()
@@ -178,5 +289,3 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
-
-
