@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.quality import words
-from evidara.llm.session import table
+from evidara.llm.session import free_name, table
 
 SEED, BUCKETS = "mix-1", 4096
 
@@ -83,21 +83,28 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def sample_mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents as rows: each one as often as it is taken, and on the edge its first words."""
+    """The mixed documents as rows: each one as often as it is taken, and on the edge its first words.
+
+    Rows that are equal in doc_id, source and text share what they are taken, the first ones whole; rows of size 0 are taken never. Other columns are
+    carried along, whatever their names."""
     seed = how.pop("seed", SEED)
-    m = mixed(docs, seed, **how).select("doc_id", "u", "size", "copies", "extra").distinct()
-    key = order_key(seed)
-    m = m.select(F.col("doc_id").alias("__id"), F.col("u").alias("__v"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("extra").alias("__extra"))
-    d = docs.withColumn("__u", key)
-    d = d.join(m, d["doc_id"].eqNullSafe(m["__id"]) & (F.col("__u") == F.col("__v")))
-    whole = F.array_repeat("__size", F.col("__copies").cast("int"))
-    part = F.when(F.col("__extra") > 0, F.array("__extra")).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("__take", F.explode(F.concat(whole, part)))
-    text = F.when(F.col("__take") >= F.col("__size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__take")))
+    names = ("mix_id", "mix_source", "mix_key", "mix_size", "mix_copies", "mix_extra", "mix_rows", "mix_place", "mix_take")
+    ident, source, key, size, copies, extra, rows, place, take = (free_name(docs, n) for n in names)
+    m = mixed(docs, seed, **how).groupBy("doc_id", "source", "u", "size", "copies").agg(F.sum("extra").alias("extra"), F.count("*").alias("rows"))
+    m = m.toDF(ident, source, key, size, copies, extra, rows)
+    mine = order_key(seed)
+    d = docs.withColumn(place, F.lit(1))
+    if not m.where(F.col(rows) > 1).isEmpty():  # equal rows are numbered
+        d = d.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", "source", mine).orderBy(F.lit(0))))
+    d = d.join(m, d["doc_id"].eqNullSafe(m[ident]) & d["source"].eqNullSafe(m[source]) & (mine == m[key]))
+    part = F.least(F.col(size), F.greatest(F.lit(0), F.col(extra) - (F.col(place) - 1) * F.col(size)))
+    whole = F.array_repeat(size, F.col(copies).cast("int"))
+    d = d.withColumn(take, F.explode(F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
+    text = F.when(F.col(take) >= F.col(size), F.col("text")).otherwise(first_words(F.col("text"), F.col(take)))
     cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text.alias("text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length(text).cast("long").alias("n_chars")
-    return d.select(*[cols[c] for c in docs.columns])
+    return d.where(F.col(size) > 0).select(*[cols[c] for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from evidara.llm.session import table
+from evidara.plans.storage import staged
 
 SHARDS, BUCKETS = 16, 1024
 
@@ -42,6 +43,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), stable_key(F.col("doc_id")).alias("key"))
     d = d.select("*", jump_shard("key", F.lit(shards)).alias("shard"), jump_shard("key", F.lit(shards + 1)).alias("grown_shard"))
     d = d.withColumn("bucket", (F.xxhash64("key") % BUCKETS).cast("int"))
+    d = staged(d, "shards")  # no text any more: read twice below
     n = d.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     n = n.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
