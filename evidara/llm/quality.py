@@ -27,7 +27,45 @@ BOILERPLATE = (
     "share on facebook",
     "click here to",
     "lorem ipsum",
+    "cookie policy",
+    "this site uses cookies",
+    "sign up for our",
+    "follow us on",
+    "log in to your account",
+    "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen",
+    "diese website verwendet cookies",
+    "cookies akzeptieren",
+    "newsletter abonnieren",
+    "folgen sie uns auf",
+    "zum inhalt springen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "conditions d'utilisation",
+    "ce site utilise des cookies",
+    "accepter les cookies",
+    "inscrivez-vous à notre",
+    "suivez-nous sur",
+    "aller au contenu",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "términos de uso",
+    "este sitio utiliza cookies",
+    "aceptar cookies",
+    "suscríbete a nuestr",
+    "síguenos en",
+    "saltar al contenido",
 )
+#: Marks that part the entries of a menu or a breadcrumb in one line.
+SEPARATORS = "|›»>·•→"
+#: So many lines or more one after another, of so few words each and without an end mark, are a menu with an entry a line.
+MENU_LINES, MENU_WORDS = 5, 3
+#: A longer line fails when it has two phrases or more and at most so many words for each.
+WORDS_PER_PHRASE = 15
 #: A line of this many words or fewer may be a heading, so it needs no end mark.
 HEADING_WORDS = 12
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -38,6 +76,8 @@ SYMBOL_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: What a line longer than a heading ends with, letters and digits included: only odd marks fail.
 END_MARK = r"[.!?:;,\"'…»”’)\]\p{L}\p{N}]"
+#: What ends an entry of no menu.
+SENTENCE_END = r"[.!?:;,…]$"
 
 
 def let(value: Column, body) -> Column:
@@ -81,27 +121,46 @@ def repeated_window_words(ws: Column, k: int = WINDOW) -> Column:
     return let(F.transform(ws, lambda w: F.xxhash64(w)), windows).cast("long")
 
 
-def line_verdict(line: Column) -> Column:
-    """Name of the first rule that a line fails, null if it passes; blank lines pass."""
-    boiler = lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
+def line_rule(m: Column, in_menu: Column) -> Column:
+    """Name of the first rule that a line (its tidy ``text`` and ``n`` words) fails, null if it passes; blank lines pass."""
+    text, n = m["text"], m["n"]
+    phrases = lambda low: reduce(lambda a, b: a + b, [low.contains(p).cast("int") for p in BOILERPLATE])
+    boiler = lambda k: ((k >= 1) & (n <= HEADING_WORDS)) | ((k >= 2) & (n <= WORDS_PER_PHRASE * k))
+    bars = F.length(text) - F.length(F.translate(text, SEPARATORS, ""))
+    shout = F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))
+    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return (
+        F.when(text == "", F.lit(None))
+        .when((bars >= 2) & (3 * bars >= n) | in_menu, "navigation")
+        .when(100 * symbols >= SYMBOL_PERCENT * n, "punctuation")
+        .when((n >= 3) & (2 * shout >= n), "punctuation")
+        .when((n > HEADING_WORDS) & ~F.right(text, F.lit(1)).rlike(END_MARK), "punctuation")
+        .when(let(phrases(F.lower(text)), boiler), "boilerplate")
+        .cast("string")
+    )
+
+
+def line_verdicts(text: Column) -> Column:
+    """(line, n, rule) of every line."""
+
+    def tidy(line: Column) -> Column:
+        return let(F.trim(F.regexp_replace(line, WS, " ")), lambda t: F.struct(line.alias("line"), t.alias("text"), F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).alias("n")))
+
+    def verdicts(x: Column) -> Column:
+        entry = F.transform(x["lines"], lambda m: (m["n"] > 0) & (m["n"] <= MENU_WORDS) & ~m["text"].rlike(SENTENCE_END))
+
+        def runs(e: Column) -> Column:
+            """For each place whether a run of MENU_LINES entries begins there."""
+            begins = F.transform(e, lambda _, i: F.coalesce(F.get(e, i + (MENU_LINES - 1)), F.lit(False)) & F.forall(F.slice(e, i + 1, MENU_LINES), lambda y: y))
+            return F.when(F.size(F.filter(e, lambda y: y)) >= MENU_LINES, begins)
+
+        def rules(r: Column) -> Column:
+            inside = lambda i: r.isNotNull() & F.exists(F.slice(r, F.greatest(i - (MENU_LINES - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(MENU_LINES))), lambda y: y)
+            return F.transform(x["lines"], lambda m, i: F.struct(m["line"].alias("line"), m["n"].alias("n"), line_rule(m, inside(i)).alias("rule")))
 
-    def rules(m: Column) -> Column:
-        text, n = m["text"], m["n"]
-        bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-        shout = F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))
-        symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-        return (
-            F.when(text == "", F.lit(None))
-            .when((bars >= 2) & (3 * bars >= n), "navigation")
-            .when(100 * symbols >= SYMBOL_PERCENT * n, "punctuation")
-            .when((n >= 3) & (2 * shout >= n), "punctuation")
-            .when((n > HEADING_WORDS) & ~F.right(text, F.lit(1)).rlike(END_MARK), "punctuation")
-            .when((n <= HEADING_WORDS) & boiler(F.lower(text)), "boilerplate")
-            .cast("string")
-        )
+        return let(let(entry, runs), rules)
 
-    tidy = F.trim(F.regexp_replace(line, WS, " "))
-    return let(tidy, lambda t: let(F.struct(t.alias("text"), F.size(F.split(t, " ")).alias("n")), rules))
+    return let(F.struct(F.transform(F.split(text, "\n"), tidy).alias("lines")), verdicts)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -112,11 +171,8 @@ def judged(docs: DataFrame) -> DataFrame:
     columns are ignored, whatever their names."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = t.select("doc_id", "text", words(F.col("text")).alias("ws"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
-    failed = F.filter(F.transform("lines", lambda x: F.struct(x.alias("line"), line_verdict(x).alias("rule"))), lambda x: x["rule"].isNotNull())
-    lost = lambda rule: F.aggregate(
-        F.filter("failed", lambda x: x["rule"] == rule), F.lit(0), lambda a, x: a + F.size(words(x["line"]))
-    ).cast("long")
-    clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: line_verdict(x).isNull()), "\n")
+    lost = lambda rule: F.aggregate(F.filter("failed", lambda x: x["rule"] == rule), F.lit(0), lambda a, x: a + x["n"]).cast("long")
+    clean = F.array_join(F.transform(F.filter(line_verdicts(F.col("text")), lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")
     out = t.select(
         "doc_id",
         "text",
@@ -125,7 +181,7 @@ def judged(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("ws")).alias("n_repeat_words"),
-        failed.alias("failed"),
+        F.filter(line_verdicts(F.col("text")), lambda x: x["rule"].isNotNull()).alias("failed"),
         F.size("lines").cast("long").alias("n_lines"),
     )
     out = out.select("*", F.size("failed").cast("long").alias("n_failed_lines"), *[lost(r).alias(f"{r}_words") for r in ("punctuation", "navigation", "boilerplate")])
@@ -139,8 +195,8 @@ def judged(docs: DataFrame) -> DataFrame:
 def keep_good_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass; their texts lose the failed lines, n_chars follows."""
     names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    row = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    j = judged(row.select(F.col("__row").alias("doc_id"), F.col("text"))).where("kept")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
+    j = judged(row).where("kept")
     cols = [F.col(f"doc_id.`{c}`").alias(c) for c in names]
     by = dict(zip(names, cols, strict=True)) | {"text": F.col("clean_text").alias("text"), "n_chars": F.length("clean_text").cast("long").alias("n_chars")}
     return j.select(*[by[c] for c in docs.columns])
@@ -150,7 +206,7 @@ def op2_line_quality(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("text", "clean_text")
 
 
-_LIST = ", ".join(f"'{p}'" for p in BOILERPLATE)
+_LIST = ", ".join("'" + p.replace("'", "''") + "'" for p in BOILERPLATE)
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -160,14 +216,18 @@ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
 rep AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
 hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN rep USING (doc_id, g)),
 repeats AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id),
-ln AS (SELECT doc_id, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t FROM (SELECT doc_id, unnest(lines) AS line FROM w)),
-lm AS (SELECT doc_id, line, t, len(string_split(t, ' ')) AS n, length(line) - length(translate(line, '#*$%&|<>', '')) AS symbols,
-        length(t) - length(replace(t, '|', '')) AS bars, length(t) - length(replace(t, '!!', '!')) AS shout,
-        list_aggregate(list_transform([{_LIST}], lambda p: contains(lower(t), p)), 'bool_or') AS boiler FROM ln),
-lv AS (SELECT doc_id, n, CASE WHEN bars >= 2 AND 3 * bars >= n THEN 'navigation'
+ln AS (SELECT doc_id, i, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d)),
+le AS (SELECT doc_id, i, t, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n FROM ln),
+lf AS (SELECT *, n > 0 AND n <= {MENU_WORDS} AND NOT regexp_matches(t, '[.!?:;,\x{{2026}}]$') AS entry FROM le),
+lr AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, entry ORDER BY i) AS run FROM lf),
+lm AS (SELECT doc_id, t, n, length(t) - length(translate(t, '#*$%&|<>', '')) AS symbols, entry AND count(*) OVER (PARTITION BY doc_id, entry, run) >= {MENU_LINES} AS menu,
+        length(t) - length(translate(t, '{SEPARATORS}', '')) AS bars, length(t) - length(replace(t, '!!', '!')) AS shout,
+        len(list_filter([{_LIST}], lambda p: contains(lower(t), p))) AS k FROM lr),
+lv AS (SELECT doc_id, n, CASE WHEN t = '' THEN NULL WHEN bars >= 2 AND 3 * bars >= n OR menu THEN 'navigation'
         WHEN 100 * symbols >= {SYMBOL_PERCENT} * n THEN 'punctuation' WHEN n >= 3 AND 2 * shout >= n THEN 'punctuation'
         WHEN n > {HEADING_WORDS} AND NOT regexp_matches(t, '[.!?:;,"''\x{{2026}}\x{{bb}}\x{{201d}}\x{{2019}})\]\p{{L}}\p{{N}}]$') THEN 'punctuation'
-        WHEN n <= {HEADING_WORDS} AND boiler THEN 'boilerplate' END AS rule FROM lm),
+        WHEN k >= 1 AND n <= {HEADING_WORDS} OR k >= 2 AND n <= {WORDS_PER_PHRASE} * k THEN 'boilerplate' END AS rule FROM lm),
 lost AS (SELECT doc_id, count(rule) AS bad, coalesce(sum(n) FILTER (rule = 'punctuation'), 0)::BIGINT AS pw,
         coalesce(sum(n) FILTER (rule = 'navigation'), 0)::BIGINT AS nw, coalesce(sum(n) FILTER (rule = 'boilerplate'), 0)::BIGINT AS bw FROM lv GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
