@@ -35,12 +35,44 @@ SENTENCES = {
     "ccbysa4-ref": "Licensed under CC BY-SA 4.0.",
     "cc0-ref": "Licensed under CC0 1.0.",
     "reserved": "All rights reserved.",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-title": "ISC License",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd3-ref": "Licensed under the BSD 3-Clause License.",
+    "bsd2-ref": "Licensed under the BSD 2-Clause License.",
+    "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost-grant": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "cc0-dedication": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
+    "ccby4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "ccbysa4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "ccbync4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "epl2-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
 }
 #: Rule, licence, identifiers in order; rules are tried from the first on.
 RULES = (
     ("apache-header", "Apache-2.0", ("apache-you", "apache-comply", "apache-obtain")),
     ("gpl3-header", "GPL-3.0-or-later", ("gpl-free", "gpl-warranty")),
+    ("gpl2-header", "GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")),
+    ("lgpl21-header", "LGPL-2.1-or-later", ("lgpl21-free", "lgpl-warranty")),
+    ("lgpl3-header", "LGPL-3.0-or-later", ("lgpl3-free", "lgpl-warranty")),
+    ("agpl3-header", "AGPL-3.0-or-later", ("agpl3-free", "gpl-warranty")),
+    ("mpl2-header", "MPL-2.0", ("mpl2-header", "mpl2-copy")),
+    ("bsd3-full", "BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("bsd2-full", "BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary")),
     ("bsd3-text", "BSD-3-Clause", ("bsd-redist", "bsd-endorse")),
+    ("mit-full", "MIT", ("mit-grant", "mit-notice")),
+    ("isc-full", "ISC", ("isc-title", "isc-grant")),
     ("mit-text", "MIT", ("mit-title", "mit-notice")),
     ("mit-text2", "MIT", ("mit-title2", "mit-notice")),
     ("apache-ref", "Apache-2.0", ("apache-ref",)),
@@ -54,10 +86,27 @@ RULES = (
     ("ccby4-ref", "CC-BY-4.0", ("ccby4-ref",)),
     ("ccbysa4-ref", "CC-BY-SA-4.0", ("ccbysa4-ref",)),
     ("cc0-ref", "CC0-1.0", ("cc0-ref",)),
+    ("gpl2-free", "GPL-2.0-or-later", ("gpl2-free",)),
+    ("lgpl21-free", "LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("lgpl3-free", "LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("agpl3-free", "AGPL-3.0-or-later", ("agpl3-free",)),
+    ("mpl2-ref", "MPL-2.0", ("mpl2-header",)),
+    ("mit-grant", "MIT", ("mit-grant",)),
+    ("isc-grant", "ISC", ("isc-grant",)),
+    ("bsd3-ref", "BSD-3-Clause", ("bsd3-ref",)),
+    ("bsd2-ref", "BSD-2-Clause", ("bsd2-ref",)),
+    ("boost", "BSL-1.0", ("boost-grant",)),
+    ("zlib", "Zlib", ("zlib-grant",)),
+    ("unlicense", "Unlicense", ("unlicense",)),
+    ("cc0-text", "CC0-1.0", ("cc0-dedication",)),
+    ("ccby4-work", "CC-BY-4.0", ("ccby4-work",)),
+    ("ccbysa4-work", "CC-BY-SA-4.0", ("ccbysa4-work",)),
+    ("ccbync4-work", "CC-BY-NC-4.0", ("ccbync4-work",)),
+    ("epl2", "EPL-2.0", ("epl2-header",)),
     ("reserved", "proprietary", ("reserved",)),
 )
 #: Every known sentence holds one of these words, so texts without any are not cut up.
-TRIGGERS = ("licen", "permission", "redistribut", "distributed", "reserved")
+TRIGGERS = ("licen", "permission", "redistribut", "distributed", "reserved", "mpl", "public domain")
 
 
 WORD = re.compile("[a-z0-9]+")
