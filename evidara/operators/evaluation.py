@@ -142,6 +142,26 @@ def multiseed(metrics: DataFrame, planned: DataFrame) -> DataFrame:
     return per.join(wrong.unionByName(uneven).distinct(), "plan", "left_anti")
 
 
+def multiseed_findings(results: DataFrame, planned: DataFrame, expected: DataFrame) -> DataFrame:
+    """(plan, seed, code) for what refuses an aggregate: planned seeds without a result, results without a plan, repeated ones, other artifacts
+    than planned, and metrics missing or unexpected.
+
+    ``results`` are (plan, seed, artifact, metric), ``planned`` (plan, seed, artifact), ``expected`` (plan, metric)."""
+    have = results.select("plan", "seed", "artifact").distinct()
+    keys = ["plan", "seed"]
+    code = lambda df, name: df.select(*keys, F.lit(name).alias("code"))
+    due = planned.select(*keys).join(expected, "plan")
+    got = results.select(*keys, "metric")
+    return (
+        code(planned.join(have, keys, "left_anti"), "missing_seed")
+        .unionByName(code(have.join(planned, keys, "left_anti").select(*keys).distinct(), "unplanned_seed"))
+        .unionByName(code(results.groupBy(*keys, "metric").agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct(), "repeated_result"))
+        .unionByName(code(have.join(planned.withColumnRenamed("artifact", "due"), keys).where("not artifact <=> due").select(*keys).distinct(), "artifact_mismatch"))
+        .unionByName(code(due.join(got, [*keys, "metric"], "left_anti").join(have.select(*keys), keys, "left_semi").select(*keys).distinct(), "missing_metric"))
+        .unionByName(code(got.join(due, [*keys, "metric"], "left_anti").join(planned, keys, "left_semi").select(*keys).distinct(), "unexpected_metric"))
+    )
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """(metric, delta, code) of two runs' metrics: right minus left, positive is better; metrics that one lacks are findings."""
     j = left.select("metric", F.col("value").alias("l")).join(right.select("metric", F.col("value").alias("r")), "metric", "full_outer")
@@ -149,6 +169,16 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.select("metric", delta.alias("delta"), F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").alias("code"))
 
 
+def comparison_findings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(code, key) for what refuses a paired comparison of (label, sample_id, fingerprint): labels or references that differ, samples that one lacks."""
+    labels = left.select("label").distinct().withColumn("l", F.lit(1)).join(right.select("label").distinct().withColumn("r", F.lit(1)), "label", "full_outer")
+    labels = labels.where("l is null or r is null").select(F.lit("label_mismatch").alias("code"), F.col("label").alias("key"))
+    side = lambda df, name: df.select("sample_id", F.col("fingerprint").alias(name), F.lit(True).alias(f"has_{name}"))
+    j = side(left, "l").join(side(right, "r"), "sample_id", "full_outer")
+    code = F.when(F.col("has_r").isNull(), "only_left").when(F.col("has_l").isNull(), "only_right").when(~F.col("l").eqNullSafe(F.col("r")), "reference_mismatch")
+    return labels.unionByName(j.select(code.alias("code"), F.col("sample_id").alias("key")).where("code is not null"))
+
+
 def benchmark_table(metrics: DataFrame, intervals: DataFrame) -> DataFrame:
     """(label, metric, value, low, high, code): values with their intervals; a value outside its interval and a repeated label are findings."""
     m = metrics.withColumn("copies", F.count("*").over(Window.partitionBy("label", "metric")))
@@ -164,11 +194,14 @@ def missing_controls(metrics: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def release_gate(runs: DataFrame, metrics: DataFrame, ground: DataFrame, required: DataFrame, min_gain: float = 0.0, min_contribution: float = 0.0) -> DataFrame:
-    """(run_id, code) for all that keeps a run from release; ``runs`` are (run_id, audit_passed, unsafe_access, expected_samples)."""
+    """(run_id, code) for all that keeps a run from release; ``runs`` are (run_id, audit_passed, unsafe_access, expected_samples, provenance_run_id, declared).
+
+    ``declared`` are the controls that the run's configuration names (null: it names none, and the rule is not applied), which are not taken for those it reports."""
     n = metrics.groupBy("run_id").agg(F.max("examples").alias("most"), F.min("examples").alias("least"))
     j = runs.join(n, "run_id", "left")
     rules = {
         "no_predictions": F.col("most").isNull(),
+        "run_id_mismatch": ~F.col("provenance_run_id").eqNullSafe(F.col("run_id")),
         "unsafe_access": F.coalesce(F.col("unsafe_access"), F.lit(False)),
         "audit_missing": F.col("audit_passed").isNull(),
         "audit_failed": F.col("audit_passed") == F.lit(False),
@@ -177,6 +210,9 @@ def release_gate(runs: DataFrame, metrics: DataFrame, ground: DataFrame, require
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     out = j.select("run_id", F.explode(found).alias("code"))
     gone = missing_controls(metrics, required).select("run_id", F.concat(F.lit("control_unreported:"), "control").alias("code"))
+    undeclared = runs.where("declared is not null").crossJoin(F.broadcast(required.select("control")))  # a short list of names
+    undeclared = undeclared.where(~F.array_contains("declared", F.col("control"))).select("run_id", F.concat(F.lit("control_undeclared:"), "control").alias("code"))
+    gone = gone.unionByName(undeclared)
     no_ground = runs.join(ground, "run_id", "left_anti").select("run_id", F.lit("grounding_missing").alias("code"))
     weak = ground.where(F.col("gain") <= min_gain).select("run_id", F.concat(F.lit("gain:"), "metric").alias("code"))
     low = ground.where(F.coalesce(F.col("contribution") <= min_contribution, F.lit(True))).select("run_id", F.concat(F.lit("contribution:"), "metric").alias("code"))

@@ -35,8 +35,10 @@ def drop_earlier(windows: DataFrame) -> DataFrame:
 
 
 def drop_later(windows: DataFrame) -> DataFrame:
-    """Greedy in order: a window stays if it starts at or after the end of the last that stayed."""
-    w = windows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "event_id"))).alias("ws"))
+    """Greedy in order: a window stays if it starts at or after the end of the last that stayed.
+
+    Every window of an island starts after all that came before it, so each island is folded by itself; the array holds one island."""
+    w = islands(windows).groupBy("recording_id", "island").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "event_id"))).alias("ws"))
     start = F.struct(F.lit(float("-inf")).alias("reach"), F.array().cast("array<bigint>").alias("kept"))
     fold = F.aggregate("ws", start, lambda s, x: F.when(x["start_s"] >= s["reach"], F.struct(x["end_s"].alias("reach"), F.concat(s["kept"], F.array(x["event_id"])).alias("kept"))).otherwise(s))
     return w.select("recording_id", F.explode(fold["kept"]).alias("event_id"))

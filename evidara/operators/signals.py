@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.plans.ranks import by_hash, by_number
 
 
 def valid() -> Column:
@@ -30,6 +31,18 @@ def fit_normalizer(cells: DataFrame, eps: float = 1e-6) -> DataFrame:
     return t.select("channel", mean.alias("mean"), F.greatest(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(eps)).alias("scale"))
 
 
+def normalizer_findings(cells: DataFrame) -> DataFrame:
+    """(code, key) for what forbids fitting on ``cells``: signals outside train, signals whose channel count is not the usual one, channels without a valid training cell.
+
+    The usual count is the one most signals have, the smaller one on ties."""
+    other = cells.where(~F.col("split").eqNullSafe(F.lit("train"))).select(F.lit("non_train_sample").alias("code"), F.col("vec_id").cast("string").alias("key")).distinct()
+    count = cells.groupBy("vec_id").agg(F.count_distinct("channel").alias("n"))
+    usual = count.groupBy("n").agg(F.count("*").alias("k")).agg(F.max_by("n", F.struct("k", -F.col("n"))).alias("usual"))
+    uneven = count.crossJoin(F.broadcast(usual)).where("n <> usual").select(F.lit("channel_count").alias("code"), F.col("vec_id").cast("string").alias("key"))  # one row
+    empty = cells.groupBy("channel").agg(F.bool_or((F.col("split") == "train") & valid()).alias("any")).where("not coalesce(any, false)").select(F.lit("empty_channel").alias("code"), F.col("channel").cast("string").alias("key"))
+    return other.unionByName(uneven).unionByName(empty)
+
+
 def apply_normalizer(cells: DataFrame, stats: DataFrame) -> DataFrame:
     return cells.join(stats, "channel").withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale")).drop("mean", "scale")
 
@@ -94,18 +107,15 @@ def shift_augment(cells: DataFrame, most: int, seed: str = "shift") -> DataFrame
 
 
 def permutation(ids: DataFrame, column: str, seed: str) -> DataFrame:
-    """(id, source): a seeded permutation; the identity is rotated by one. Windows hold one row per id."""
-    a = ids.select(F.col(column).alias("id"), F.row_number().over(Window.orderBy(column)).alias("r"))
-    h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")), 256)
-    b = ids.select(F.col(column).alias("source"), F.row_number().over(Window.orderBy(h, column)).alias("r"))
+    """(id, source): a seeded permutation of whole numbers; the identity is rotated by one."""
+    a = by_number(ids.select(F.col(column).alias("id")), "id", "r")
+    b = by_hash(ids.select(F.col(column).alias("source")), F.sha2(F.concat_ws(":", F.lit(seed), F.col("source").cast("string")), 256), "source", name="r")
     j = a.join(b, "r")
-    whole = Window.partitionBy()
-    same = F.bool_and(F.col("id") == F.col("source")).over(whole)
-    n = F.count("*").over(whole)
-    j = j.select("id", "source", "r", same.alias("same"), n.alias("n"))
-    turned = a.select(F.col("id").alias("next"), (F.col("r") - 1).alias("q"))
-    j = j.join(turned, F.col("q") == F.col("r") % F.col("n"))
-    return j.select("id", F.when(F.col("same"), F.col("next")).otherwise(F.col("source")).alias("source"))
+    n, same = j.agg(F.count("*"), F.bool_and(F.col("id") == F.col("source"))).first()
+    if not same:
+        return j.select("id", "source")
+    turned = a.select(F.col("id").alias("source"), (F.pmod(F.col("r") - 2, F.lit(n)) + 1).alias("r"))
+    return a.join(turned, "r").select("id", "source")
 
 
 def control(cells: DataFrame, name: str, seed: str = "ctl") -> DataFrame:
@@ -127,20 +137,13 @@ def control(cells: DataFrame, name: str, seed: str = "ctl") -> DataFrame:
     raise ValueError(name)
 
 
-def surrogate(cells: DataFrame, seed: str = "sur", buckets: int = 4096) -> DataFrame:
+def surrogate(cells: DataFrame, seed: str = "sur") -> DataFrame:
     """All values permuted over all positions, keeping their distribution.
 
     The target place of a value is its rank in hash order. Ranks are counted in two steps,
     hash buckets and places inside them, for the order of positions and of values alike, so no task orders everything."""
 
-    def ranked(df: DataFrame, salt: str) -> DataFrame:
-        h = F.sha2(F.concat_ws(":", F.lit(salt), "vec_id", "channel", "t"), 256)
-        d = df.withColumn("h", h).withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-        n = d.groupBy("b").agg(F.count("*").alias("n"))
-        n = n.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-        r = F.row_number().over(Window.partitionBy("b").orderBy("h", "vec_id", "channel", "t"))
-        return d.withColumn("i", r).join(F.broadcast(n), "b").withColumn("r", F.col("base") + F.col("i")).drop("h", "b", "i", "base")  # 4096 rows
-
+    ranked = lambda df, salt: by_hash(df, F.sha2(F.concat_ws(":", F.lit(salt), "vec_id", "channel", "t"), 256), "vec_id", "channel", "t", name="r")
     at, val = ranked(cells.select("vec_id", "channel", "t"), seed), ranked(cells.select("vec_id", "channel", "t", "value"), seed + "-v").select("r", "value")
     return at.join(val, "r").select("vec_id", "channel", "t", "value")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidara.operators.audit import overlap_pairs
 from evidara.operators.components import connected_components
 from evidara.operators.intervals import islands
+from evidara.plans.ranks import by_hash
 
 
 def units(windows: DataFrame, key: str | None = None) -> DataFrame:
@@ -27,15 +28,14 @@ def units(windows: DataFrame, key: str | None = None) -> DataFrame:
 
 def seeded_rank(df: DataFrame, column: str, seed: str) -> DataFrame:
     """Place of each row in the order of a seeded hash of ``column``, which does not depend on partitions."""
-    h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")), 256)
-    return df.withColumn("place", F.row_number().over(Window.orderBy(h, column)))
+    return by_hash(df, F.sha2(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")), 256), column)
 
 
 def assign(unit_of: DataFrame, seed: str = "0", validation: float = 0.1, test: float = 0.2) -> DataFrame:
     """(event_id, split): units in seeded order, the first to test, the next to validation, the rest to train.
 
     Counts are half-even rounded and shrink, validation first, until a unit is left for
-    train. The ordering windows hold one row per unit."""
+    train."""
     u = unit_of.select("unit").distinct()
     n = u.agg(F.count("*").alias("n"))
     n = n.select("n", F.greatest(F.lit(1), F.bround(F.col("n") * test).cast("long")).alias("t"), F.when((F.col("n") >= 3) & F.lit(validation > 0), F.greatest(F.lit(1), F.bround(F.col("n") * validation).cast("long"))).otherwise(0).alias("v"))
@@ -76,13 +76,35 @@ def plan_coverage(samples: DataFrame, plan: DataFrame) -> DataFrame:
     return s.join(p, "sample_id", "left_anti").withColumn("code", F.lit("missing")).unionByName(p.join(s, "sample_id", "left_anti").withColumn("code", F.lit("unknown")))
 
 
-def validate(windows: DataFrame, plan: DataFrame, key: str = "unit_text") -> DataFrame:
-    """(code, n): duplicate plan ids, incomplete cover, overlaps across splits, keys across splits."""
-    w = windows.drop("split").join(plan, "event_id", "left")
-    dup = plan.groupBy("event_id").count().where("count > 1").select(F.lit("duplicate_assignment").alias("code"))
-    miss = w.where("split is null").select(F.lit("unassigned").alias("code"))
-    over = overlap_pairs(w).where("left_split <> right_split").select(F.lit("overlap_across_splits").alias("code"))
-    keys = w.groupBy(key).agg(F.count_distinct("split").alias("k")).where("k > 1").select(F.lit("key_across_splits").alias("code"))
-    every = windows.sparkSession.createDataFrame([("duplicate_assignment",), ("unassigned",), ("overlap_across_splits",), ("key_across_splits",)], "code string")
-    found = dup.unionByName(miss).unionByName(over).unionByName(keys).groupBy("code").agg(F.count("*").alias("n"))
-    return every.join(found, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
+#: The rules of ``validate``; each protocol asks for the first four and some of the others.
+CODES = ("duplicate_assignment", "unassigned", "unknown_assignment", "overlap_across_splits", "missing_key", "key_across_splits", "held_out_not_test", "other_subject_in_test")
+
+
+def validate(windows: DataFrame, plan: DataFrame, key: str | None = "unit_text", held_out: str | None = None, subject: str = "recording_id") -> DataFrame:
+    """(code, n) of every rule of a plan (event_id, split), 0 where it holds.
+
+    Ids that the plan repeats, lacks or does not know, and pairs of overlapping windows in two splits. With ``key`` (the text, or the session of a session
+    protocol) also windows without one and keys in two splits; with ``held_out`` windows of that subject outside test, and windows of others in it.
+    Excluded windows belong to no split."""
+    one = plan.groupBy("event_id").agg(F.min("split").alias("split"))  # an id that the plan repeats is judged once
+    w = windows.drop("split").join(one, "event_id", "left")
+    active = w.where("split <> 'excluded'")
+    code = lambda df, name: df.select(F.lit(name).alias("code"))
+    found = [
+        code(plan.groupBy("event_id").count().where("count > 1"), "duplicate_assignment"),
+        code(w.where("split is null"), "unassigned"),
+        code(one.join(windows, "event_id", "left_anti"), "unknown_assignment"),
+        code(overlap_pairs(active).where("left_split <> right_split"), "overlap_across_splits"),
+    ]
+    if key:
+        found.append(code(active.where(F.col(key).isNull()), "missing_key"))
+        found.append(code(active.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split").alias("k")).where("k > 1"), "key_across_splits"))
+    if held_out is not None:
+        mine = F.col(subject).cast("string") == held_out
+        found.append(code(active.where(mine & (F.col("split") != "test")), "held_out_not_test"))
+        found.append(code(active.where(~mine & (F.col("split") == "test")), "other_subject_in_test"))
+    every = windows.sparkSession.createDataFrame([(c,) for c in CODES], "code string")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return every.join(out.groupBy("code").agg(F.count("*").alias("n")), "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))

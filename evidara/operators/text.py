@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from evidara.plans.views import SPACES
 
@@ -25,14 +28,23 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(norm_split(text), 256)
 
 
+def metric_form(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def norm_metric_exact(text: pd.Series) -> pd.Series:
-    """The metric form: NFKC, case folded, white space collapsed; Spark has no NFKC of its own."""
-    return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    return text.map(lambda x: None if x is None else metric_form(x))
+
+
+def norm_metric(text: Column) -> Column:
+    """The metric form: NFKC, case folded, white space collapsed. ASCII texts, where the audit form is the same, stay in the JVM; Spark has no NFKC of its own."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, norm_split(text)).otherwise(norm_metric_exact(F.when(~plain, text)))
 
 
 def metric_words(text: Column) -> Column:
-    return F.filter(F.split(norm_split(text), r"[^\p{L}\p{N}_']+"), lambda w: w != "")
+    return F.filter(F.split(norm_metric(text), r"[^\p{L}\p{N}_']+"), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:
@@ -47,12 +59,19 @@ def vocabulary(samples: DataFrame, text: str = "text") -> DataFrame:
     return t.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + UNK).alias("token_id"))
 
 
-def encoded(samples: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
-    """(sample_id, pos, token_id), begin and end marks included; unknown tokens get id 3."""
+def encoded(samples: DataFrame, vocab: DataFrame, text: str = "text", unknown: str = "unk") -> DataFrame:
+    """(sample_id, pos, token_id), begin and end marks included; unknown tokens get id 3, or end the job where ``unknown`` is 'error'."""
     t = samples.select("sample_id", F.posexplode(F.concat(F.array(F.lit(SPECIAL[BOS])), tokens(F.col(text)), F.array(F.lit(SPECIAL[EOS])))).alias("pos", "token"))
     t = t.join(vocab.select("token", "token_id"), "token", "left")
     edge = F.when(F.col("token") == SPECIAL[BOS], BOS).when(F.col("token") == SPECIAL[EOS], EOS)  # no word looks like these
-    return t.select("sample_id", "pos", F.coalesce(edge, F.col("token_id"), F.lit(UNK)).alias("token_id"))
+    other = F.lit(UNK) if unknown == "unk" else F.raise_error(F.concat(F.lit("unknown token: "), "token")).cast("int")
+    return t.select("sample_id", "pos", F.coalesce(edge, F.col("token_id"), other).alias("token_id"))
+
+
+def unknown_tokens(samples: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
+    """(sample_id, token, n) of what the error policy refuses: tokens that are not in the vocabulary."""
+    t = samples.select("sample_id", F.explode(tokens(F.col(text))).alias("token")).groupBy("sample_id", "token").agg(F.count("*").alias("n"))
+    return t.join(vocab.select("token"), "token", "left_anti").select("sample_id", "token", "n")
 
 
 def detokenised(words: Column) -> Column:
@@ -67,63 +86,98 @@ def decoded(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     return t.select("sample_id", detokenised(F.transform("t", lambda x: x["token"])).alias("prediction_text"))
 
 
-def char_distance(a: Column, b: Column) -> Column:
-    return F.levenshtein(norm_split(a), norm_split(b))
+WORD = re.compile(r"[\w']+")
 
 
-def _coded(words: Column, table: Column) -> Column:
-    """Each word as one character of its own, by its place in ``table``."""
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(table, w) + 19967), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, code), "")
+def edit_distance(a, b) -> int:
+    """Levenshtein distance of two strings or lists, a whole row of the table in the bits of one number."""
+    if a == b:
+        return 0
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0  # where a cell is one more, or one less, than the cell above it
+    for y in b:
+        match = places.get(y, 0)
+        step = (((match & up) + up) ^ up) | match
+        more, less = (down | ~(step | up)) & full, up & step
+        distance += bool(more & last) - bool(less & last)
+        more, match = more << 1 | 1, match | down
+        up, down = (less << 1 | ~(match | more)) & full, match & more & full
+    return distance
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance on words: with every word of the pair as one character the builtin does it."""
-    pair = F.struct(metric_words(a).alias("a"), metric_words(b).alias("b"))
+def _pairs(measure):
+    """A function of two text columns that normalises each pair once and returns whole numbers."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None or r is None else measure(metric_form(h), metric_form(r)) for h, r in zip(hyp, ref, strict=True)])
+
+    return run
+
 
-    def of(p: Column) -> Column:
-        table = F.array_distinct(F.concat(p["a"], p["b"]))
-        return F.transform(F.array(table), lambda t: F.levenshtein(_coded(p["a"], t), _coded(p["b"], t)))[0]
+edits = _pairs(lambda h, r: [edit_distance(h, r), len(r), edit_distance(x := WORD.findall(h), y := WORD.findall(r)), len(y), len(x)])
+_chars = _pairs(lambda h, r: [edit_distance(h, r)])
+_words = _pairs(lambda h, r: [edit_distance(WORD.findall(h), WORD.findall(r))])
 
-    return F.transform(F.array(pair), of)[0]
+
+def char_distance(a: Column, b: Column) -> Column:
+    return _chars(a, b)[0].cast("int")
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    return _words(a, b)[0].cast("int")
 
 
 def corpus_error_rate(predictions: DataFrame) -> DataFrame:
     """CER and WER per run and control: edits summed over examples, divided by reference units summed."""
-    p = predictions.select(
-        "run_id",
-        "control",
-        char_distance(F.col("prediction_text"), F.col("reference_text")).alias("ce"),
-        F.length(norm_split(F.col("reference_text"))).alias("cn"),
-        word_distance(F.col("prediction_text"), F.col("reference_text")).alias("we"),
-        F.size(metric_words(F.col("reference_text"))).alias("wn"),
-    )
-    rate = lambda k, n: F.when(F.sum(n) > 0, F.sum(k) / F.sum(n)).when(F.sum(k) > 0, 1.0).otherwise(0.0)
-    return p.groupBy("run_id", "control").agg(rate("ce", "cn").alias("cer"), rate("we", "wn").alias("wer"), F.count("*").alias("examples"))
+    p = predictions.select("run_id", "control", edits("prediction_text", "reference_text").alias("e"))
+    rate = lambda k, n: F.when(F.sum(F.col("e")[n]) > 0, F.sum(F.col("e")[k]) / F.sum(F.col("e")[n])).when(F.sum(F.col("e")[k]) > 0, 1.0).otherwise(0.0)
+    return p.groupBy("run_id", "control").agg(rate(0, 1).alias("cer"), rate(2, 3).alias("wer"), F.count("*").alias("examples"))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+ORDERS = 4
 
 
-def _with(n: int, grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+def _clipped(h: str, r: str) -> list[int]:
+    """Of each order the n-grams that both have and those of the hypothesis, then both lengths in words."""
+    a, b, out = WORD.findall(h), WORD.findall(r), []
+    for n in range(1, ORDERS + 1):
+        x, y = Counter(zip(*(a[i:] for i in range(n)))), Counter(zip(*(b[i:] for i in range(n))))  # noqa: B905
+        out += [sum((x & y).values()), sum(x.values())]
+    return [*out, len(a), len(b)]
 
 
-def corpus_bleu(predictions: DataFrame, orders: int = 4) -> DataFrame:
-    """Corpus BLEU of effective order per run and control, without smoothing."""
-    p = predictions.select("run_id", "control", "sample_id", metric_words(F.col("prediction_text")).alias("h"), metric_words(F.col("reference_text")).alias("r"))
-    side = lambda s: F.explode(F.concat(*[_with(n, ngrams(F.col(s), n)) for n in range(1, orders + 1)])).alias("x")
-    keys = ["run_id", "control", "sample_id", "x"]
-    hyp = p.select(*keys[:3], side("h")).withColumn("side", F.lit(1))
-    ref = p.select(*keys[:3], side("r")).withColumn("side", F.lit(0))
-    both = hyp.unionByName(ref).groupBy(*keys).agg(F.sum("side").alias("ch"), F.sum(1 - F.col("side")).alias("cr"))
-    by = both.groupBy("run_id", "control", F.col("x.n").alias("n")).agg(F.sum(F.least("ch", "cr")).alias("m"), F.sum("ch").alias("t")).where("t > 0")
-    log = by.groupBy("run_id", "control").agg(F.min("m").alias("least"), F.avg(F.when(F.col("m") > 0, F.log(F.col("m") / F.col("t")))).alias("lp"))
-    lens = p.groupBy("run_id", "control").agg(F.sum(F.size("h")).alias("hl"), F.sum(F.size("r")).alias("rl"))
-    bp = F.when(F.col("hl") > F.col("rl"), 1.0).when(F.col("hl") > 0, F.exp(1 - F.col("rl") / F.col("hl"))).otherwise(0.0)
-    return lens.join(log, ["run_id", "control"], "left").select("run_id", "control", F.when(F.coalesce("least", F.lit(0)) > 0, bp * F.exp("lp")).otherwise(0.0).alias("bleu"))
+clipped_ngrams = _pairs(_clipped)
+
+
+def corpus_bleu(predictions: DataFrame) -> DataFrame:
+    """Corpus BLEU of effective order per run and control, without smoothing. N-grams are counted within a row, so only ten sums of a row are shuffled."""
+    p = predictions.select("run_id", "control", clipped_ngrams("prediction_text", "reference_text").alias("c"))
+    sums = p.groupBy("run_id", "control").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(2 * ORDERS + 2)])
+    pairs = [(F.col(f"c{2 * n}"), F.col(f"c{2 * n + 1}")) for n in range(ORDERS)]
+    used = [t > 0 for _, t in pairs]
+    logs = sum((F.when(u & (m > 0), F.log(m / t)).otherwise(0.0) for (m, t), u in zip(pairs, used, strict=True)), F.lit(0.0))
+    n = sum((u.cast("int") for u in used), F.lit(0))
+    hit = F.lit(True)
+    for (m, _), u in zip(pairs, used, strict=True):
+        hit = hit & (~u | (m > 0))
+    hl, rl = F.col(f"c{2 * ORDERS}"), F.col(f"c{2 * ORDERS + 1}")
+    bp = F.when(hl > rl, 1.0).otherwise(F.exp(1 - rl / hl))
+    return sums.select("run_id", "control", F.when((n > 0) & hit, bp * F.exp(logs / n)).otherwise(0.0).alias("bleu"))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -169,30 +223,53 @@ def rouge_l_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Rows of the edit table kept apart; the rows between two of them are worked out again on the way back.
+KEPT_ROWS = 256
+
+
+def _path(h: list, r: list) -> tuple[int, int, int]:
+    """(deletions, insertions, substitutions) of the path back through the edit table that prefers matches, then substitutions, deletions, insertions."""
+    code = {w: i for i, w in enumerate(dict.fromkeys([*h, *r]))}
+    a, b = np.array([code[w] for w in h], dtype=np.int64), np.array([code[w] for w in r], dtype=np.int64)
+    at = np.arange(len(a) + 1)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[:-1] + (a != b[i]), row[1:] + 1)
+        return np.minimum.accumulate(new - at) + at
+
+    kept, row = {0: at}, at
+    for i in range(len(b)):
+        row = below(row, i)
+        if (i + 1) % KEPT_ROWS == 0:
+            kept[i + 1] = row
+    i, j, dele, ins, sub = len(b), len(a), 0, 0, 0
+    first, rows = -1, []
+    while i or j:
+        if first < 0 or i < first or i > first + len(rows) - 1 or (i == first and first):
+            first = max(0, i - 1) // KEPT_ROWS * KEPT_ROWS
+            rows = [kept[first]]
+            while len(rows) <= i - first:
+                rows.append(below(rows[-1], first + len(rows) - 1))
+        here = rows[i - first]
+        above = rows[i - first - 1] if i else here
+        if i and j and a[j - 1] == b[i - 1] and here[j] == above[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and here[j] == above[j - 1] + 1:
+            i, j, sub = i - 1, j - 1, sub + 1
+        elif i and here[j] == above[j] + 1:
+            i, dele = i - 1, dele + 1
+        else:
+            j, ins = j - 1, ins + 1
+    return dele, ins, sub
+
+
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in ("deletions", "insertions", "substitutions")]))
 def word_edit_ops(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """Counts of one optimal path; going back, a match is preferred, then substitution, deletion, insertion."""
 
-    def one(h, r) -> tuple[int, int, int]:
-        rows = [list(range(len(h) + 1))]
-        for i, x in enumerate(r, 1):
-            row = [i]
-            for j, y in enumerate(h, 1):
-                row.append(rows[-1][j - 1] if x == y else 1 + min(rows[-1][j - 1], rows[-1][j], row[-1]))
-            rows.append(row)
-        i, j, dele, ins, sub = len(r), len(h), 0, 0, 0
-        while i or j:
-            if i and j and r[i - 1] == h[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-            elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
-                i, j, sub = i - 1, j - 1, sub + 1
-            elif i and rows[i][j] == rows[i - 1][j] + 1:
-                i, dele = i - 1, dele + 1
-            else:
-                j, ins = j - 1, ins + 1
-        return dele, ins, sub
-
-    return pd.DataFrame([one(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)], columns=["deletions", "insertions", "substitutions"])
+    return pd.DataFrame([_path(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)], columns=["deletions", "insertions", "substitutions"])
 
 
 #: The error categories.

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a fresh one is made."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = getattr(spark, "_evidara_shared", None)
+    """The folder in ``spark.checkpoint.dir``; else the context's; only a local session (tests) without any gets a fresh one."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_evidara_shared", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-evidara-", dir="/tmp")
         spark._evidara_shared = known
     return known

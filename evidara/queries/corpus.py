@@ -74,6 +74,13 @@ def encode_tokens(spark, d):
     return e.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(F.col("token_id") * (F.col("pos") + 1)).cast("long").alias("checksum"), F.count_if(F.col("token_id") == 3).alias("unknown"))
 
 
+@query("encode_tokens_strict", ("samples",), f"WITH {_VOCAB} SELECT sample_id, token, count(*) AS n FROM (SELECT sample_id, unnest({_TOKENS('text')}) AS token FROM samples) ANTI JOIN vocab USING (token) GROUP BY sample_id, token")
+def encode_tokens_strict(spark, d):
+    """What the error policy of the encoding refuses."""
+    s = samples(spark, d)
+    return T.unknown_tokens(s, T.vocabulary(s))
+
+
 @query(
     "prediction_from_tokens",
     ("samples",),
@@ -211,16 +218,24 @@ def pretraining_overlap(spark, d):
     return flat(A.pretraining_overlap(samples(spark, d), view(spark, d, "exposure")))
 
 
-@query("split_audit", ("samples", "exposure"), f"SELECT code, severity, count(*) AS n, sum(len(string_split(sample_ids, ',')))::BIGINT AS n_samples FROM ({_GROUP} UNION ALL {_DUP} UNION ALL {_MISSING} UNION ALL {_PRE}) GROUP BY code, severity")
-def split_audit(spark, d):
-    return A.summary(A.split_audit(samples(spark, d), view(spark, d, "exposure"), view(spark, d, "windows"), access(spark, d)))
-
-
+_OVER = """SELECT l.event_id FROM windows l JOIN windows r ON l.recording_id = r.recording_id AND (l.start_s, l.event_id) < (r.start_s, r.event_id) AND l.start_s < r.end_s AND r.start_s < l.end_s AND l.split <> r.split"""
 _ACCESS = "access AS (SELECT source AS dataset_id, count(*) % 2 = 0 AS text_at_inference, count(*) % 3 = 0 AS context_at_inference, min(doc_id) % 5 = 0 AS audio_at_inference, min(doc_id) % 2 = 0 AS token_boundaries, max(doc_id) % 3 = 0 AS event_boundaries FROM documents GROUP BY source)"
 _RULES = (("text_at_inference", "error"), ("context_at_inference", "error"), ("audio_at_inference", "error"), ("token_boundaries", "warning"), ("event_boundaries", "warning"))
+_ACCESS_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, dataset_id AS key FROM access WHERE {c}" for c, s in _RULES)
+
+
+@query(
+    "split_audit",
+    ("samples", "exposure", "windows"),
+    f"""WITH {_ACCESS} SELECT code, severity, count(*) AS n, sum(len(string_split(sample_ids, ',')))::BIGINT AS n_samples FROM ({_GROUP} UNION ALL {_DUP} UNION ALL {_MISSING} UNION ALL {_PRE}) GROUP BY code, severity
+    UNION ALL SELECT 'interval_overlap', 'error', count(*), (2 * count(*))::BIGINT FROM ({_OVER}) HAVING count(*) > 0
+    UNION ALL SELECT code, severity, count(*), 0 FROM ({_ACCESS_ROWS}) GROUP BY code, severity""",
+)
+def split_audit(spark, d):
+    return A.summary(A.split_audit(samples(spark, d), view(spark, d, "exposure"), view(spark, d, "windows"), access(spark, d)))
 
 
-@query("information_access_check", (), f"WITH {_ACCESS} " + " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, dataset_id AS key FROM access WHERE {c}" for c, s in _RULES))
+@query("information_access_check", (), f"WITH {_ACCESS} {_ACCESS_ROWS}")
 def information_access_check(spark, d):
     return A.information_access(access(spark, d)).select("code", "severity", "key")
 

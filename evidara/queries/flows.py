@@ -38,6 +38,43 @@ def manifest_write(spark, d):
     return spark.read.text(both).agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains('"kind"')).cast("int").alias("headers")).crossJoin(found)  # one row each
 
 
+def signal_files(spark, d):
+    """(root, declared samples): the embeddings as JSON matrices of 8 channels, a file each, some of them faulty; and what a manifest says of them."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice("embedding", c * 8 + 1, F.lit(8))).alias("m"))
+    short = F.concat(F.slice("m", 1, 7), F.array(F.slice(F.element_at("m", 8), 1, 7)))
+    matrix = F.when(F.col("vec_id") % 17 == 0, F.slice("m", 1, 7)).when(F.col("vec_id") % 19 == 0, short).otherwise(F.col("m"))
+    text = e.select("vec_id", F.to_json(matrix).alias("value"))
+    root = fresh(spark, "signals")
+    text.where("vec_id % 13 <> 0").repartition("vec_id").write.partitionBy("vec_id").text(root)  # named .txt by the writer
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    uri = F.regexp_extract("path", r"(vec_id=\d+/[^/]+)$", 1)
+    listed = listed.select(uri.alias("uri"), F.regexp_extract("path", r"vec_id=(\d+)/", 1).cast("long").alias("vec_id"))
+    s = text.select("vec_id", F.when(F.col("vec_id") % 23 == 0, F.repeat(F.lit("0"), F.lit(64))).alias("checksum_sha256")).join(listed, "vec_id", "left")
+    s = s.select(F.col("vec_id").cast("string").alias("sample_id"), F.coalesce(F.when(F.col("vec_id") % 29 == 0, F.concat(F.lit("../"), "uri")).otherwise(F.col("uri")), F.lit("none.txt")).alias("uri"), "checksum_sha256", F.lit(8).alias("channel_count"))
+    return root, s
+
+
+_SIGNAL_CODE = """CASE WHEN vec_id % 13 <> 0 AND vec_id % 29 = 0 THEN 'bad_path' WHEN vec_id % 13 = 0 THEN 'missing_file' WHEN vec_id % 23 = 0 THEN 'checksum_mismatch' WHEN vec_id % 17 = 0 THEN 'bad_channels' WHEN vec_id % 19 = 0 THEN 'not_rectangular' END"""
+
+
+@query("signal_json_scan", (), f"SELECT vec_id::VARCHAR AS sample_id, coalesce({_SIGNAL_CODE}, 'ok') AS code, CASE WHEN {_SIGNAL_CODE} IS NULL THEN 64 ELSE 0 END AS n_values FROM embeddings")
+def signal_json_scan(spark, d):
+    root, s = signal_files(spark, d)
+    return scanned(*S.read_signals(spark, s, root, ".txt"))
+
+
+def scanned(good, bad):
+    n = F.aggregate("values", F.lit(0), lambda a, c: a + F.size(c))
+    return good.select("sample_id", F.lit("ok").alias("code"), n.alias("n_values")).unionByName(bad.select("sample_id", "code", F.lit(0).alias("n_values")))
+
+
+@query("authorized_feature_scan", (), f"SELECT vec_id::VARCHAR AS sample_id, CASE WHEN vec_id % 7 = 0 THEN 'unmapped' ELSE coalesce({_SIGNAL_CODE}, 'ok') END AS code, CASE WHEN vec_id % 7 <> 0 AND {_SIGNAL_CODE} IS NULL THEN 64 ELSE 0 END AS n_values FROM embeddings")
+def authorized_feature_scan(spark, d):
+    root, s = signal_files(spark, d)
+    mapping = s.where("cast(sample_id as long) % 7 <> 0").select("sample_id", F.lit("train").alias("split"), "uri", "checksum_sha256")
+    return scanned(*S.read_authorized_features(spark, s.select("sample_id", "channel_count"), mapping, root, ".txt"))
+
+
 @query("prediction_scan", ("predictions",), "SELECT run_id, control, sample_id, md5(prediction_text) AS prediction, true AS target_free FROM predictions")
 def prediction_scan(spark, d):
     path = fresh(spark, "predictions")
@@ -69,7 +106,7 @@ def batch_chunk(spark, d):
     return W.chunks(spark.read.parquet(f"{d}/events.parquet").select("user_id", W.instant().alias("at"), "value"))
 
 
-@query("stream_audit", ("samples",), "SELECT fingerprint, count(DISTINCT split)::INT AS n_splits FROM samples GROUP BY fingerprint HAVING count(DISTINCT split) > 1")
+@query("stream_audit", ("samples",), "SELECT 'cross_split_text' AS code, fingerprint AS key, count(DISTINCT split) AS n FROM samples GROUP BY fingerprint HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'duplicate_sample', sample_id, count(*) FROM samples GROUP BY sample_id HAVING count(*) > 1")
 def stream_audit(spark, d):
     from evidara.operators.text import fingerprint
 

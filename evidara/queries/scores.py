@@ -42,6 +42,18 @@ def hard_negatives(spark, d):
     return R.top_k(q, c, 5, exclude_group=True).select("q_id", "c_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "hard_negatives_bank",
+    ("vectors",),
+    f"""WITH {_QC}, b AS (SELECT * FROM c ORDER BY vec_id DESC LIMIT 256), s AS (SELECT q.vec_id AS q_id, b.vec_id AS c_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a="q.v", b="b.v")}, 9) DESC, b.vec_id) AS rank FROM q JOIN b ON q.label <> b.label)
+    SELECT q_id, c_id, rank FROM s WHERE rank <= 5""",
+)
+def hard_negatives_bank(spark, d):
+    """Hard negatives from a bank that holds the 256 newest vectors: the capacity is the feature."""
+    q, c = query_side(spark, d)
+    return R.top_k(q, R.newest(c, 256), 5, exclude_group=True).select("q_id", "c_id", F.col("rank").cast("long").alias("rank"))
+
+
 _SCORED = f"""q AS (SELECT * FROM vectors WHERE vec_id % 50 = 0), c AS (SELECT * FROM vectors WHERE vec_id % 50 <> 0),
  s AS (SELECT q.vec_id AS q_id, c.vec_id AS c_id, round({_PAIR}, 6) AS score, q.label = c.label AND c.vec_id = min(CASE WHEN q.label = c.label THEN c.vec_id END) OVER (PARTITION BY q.vec_id) AS positive,
    c.vec_id % 3 <> 0 OR q.label = c.label AS allowed FROM q, c)"""
@@ -53,7 +65,7 @@ def scored(spark, d):
 
     q, c = query_side(spark, d)
     n = c.count()
-    s = R.top_k(q, c, n).select("q_id", "c_id", F.round("score", 6).alias("score"))
+    s = R.top_k(q, c, n, digits=None).select("q_id", "c_id", F.round("score", 6).alias("score"))
     lab = view(spark, d, "vectors").select("vec_id", "label")
     s = s.join(lab.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(lab.select(F.col("vec_id").alias("c_id"), F.col("label").alias("cl")), "c_id")
     low = F.min(F.when(F.col("ql") == F.col("cl"), F.col("c_id"))).over(Window.partitionBy("q_id"))
@@ -321,7 +333,7 @@ def paired_permutation(spark, d):
     return E.paired_permutation(t).select("n", F.round("observed", 6).alias("observed"), "p_greater", "p_two_sided")
 
 
-_OCC = "s AS (SELECT CASE WHEN control = 'full' THEN 'baseline' ELSE run_id || control END AS variant, run_id || '-' || metric AS metric, value FROM metrics WHERE run_id = 'run-0')"
+_OCC = "s AS (SELECT CASE WHEN control = 'full' THEN 'baseline' ELSE run_id || control END AS variant, run_id || '-' || metric AS metric, value FROM metrics)"
 
 
 @query("occlusion_drop", ("predictions",), f"WITH {_METRICS}, {_OCC}, j AS (SELECT s.metric, s.variant, CASE WHEN s.metric LIKE '%cer' THEN s.value - b.value ELSE b.value - s.value END AS d FROM s JOIN s b ON b.metric = s.metric AND b.variant = 'baseline' WHERE s.variant <> 'baseline') SELECT metric, variant, round(d, 6) AS drop, round(avg(d) OVER (PARTITION BY metric), 6) AS mean_drop FROM j")
@@ -362,14 +374,52 @@ def missing_controls(spark, d):
     "release_gate",
     ("predictions",),
     f"""WITH {_GROUND} SELECT run_id, code FROM (SELECT run_id, 'gain:' || metric AS code FROM g WHERE gain <= 0 UNION ALL SELECT run_id, 'contribution:' || metric FROM g WHERE contribution <= 0
-    UNION ALL SELECT 'run-1', 'audit_failed' UNION ALL SELECT 'run-2', 'audit_missing' UNION ALL SELECT 'run-9', 'no_predictions' UNION ALL SELECT 'run-9', 'unsafe_access' UNION ALL SELECT 'run-9', 'grounding_missing')
+    UNION ALL SELECT 'run-1', 'audit_failed' UNION ALL SELECT 'run-2', 'audit_missing' UNION ALL SELECT 'run-9', 'no_predictions' UNION ALL SELECT 'run-9', 'unsafe_access' UNION ALL SELECT 'run-9', 'grounding_missing'
+    UNION ALL SELECT 'run-2', 'run_id_mismatch' UNION ALL SELECT 'run-1', 'control_undeclared:timing' UNION ALL SELECT 'run-9', 'control_undeclared:' || c FROM (VALUES ('zero'), ('shuffled'), ('timing')) t(c))
     UNION ALL SELECT DISTINCT run_id, 'control_unreported:timing' FROM predictions""",
 )
 def release_gate(spark, d):
     m = metrics(spark, d)
     n = m.groupBy("run_id").agg(F.max("examples").alias("expected_samples"))
-    runs = spark.createDataFrame([("run-0", True, False), ("run-1", False, False), ("run-2", None, False), ("run-9", True, True)], "run_id string, audit_passed boolean, unsafe_access boolean").join(n, "run_id", "left")
-    return E.release_gate(runs, m, E.grounding(m), spark.createDataFrame([("zero",), ("shuffled",), ("timing",)], "control string"))
+    every = ["zero", "shuffled", "timing"]
+    runs = [("run-0", True, False, "run-0", every), ("run-1", False, False, "run-1", every[:2]), ("run-2", None, False, "run-3", None), ("run-9", True, True, "run-9", [])]
+    runs = spark.createDataFrame(runs, "run_id string, audit_passed boolean, unsafe_access boolean, provenance_run_id string, declared array<string>").join(n, "run_id", "left")
+    return E.release_gate(runs, m, E.grounding(m), spark.createDataFrame([(c,) for c in every], "control string"))
+
+
+_SEEDS = f"{_METRICS}, r AS (SELECT control AS plan, run_id AS seed, metric FROM metrics WHERE NOT (control = 'noise' AND run_id = 'run-1') AND NOT (control = 'zero' AND metric = 'mrr' AND run_id = 'run-2'))"
+
+
+@query(
+    "multiseed_findings",
+    ("predictions",),
+    f"""WITH {_SEEDS} SELECT 'noise' AS plan, 'run-1' AS seed, 'missing_seed' AS code WHERE EXISTS (FROM metrics WHERE run_id = 'run-1') UNION ALL SELECT DISTINCT plan, seed, 'artifact_mismatch' FROM r WHERE plan = 'full' AND seed = 'run-2'
+    UNION ALL SELECT DISTINCT plan, seed, 'missing_metric' FROM r WHERE plan = 'zero' AND seed = 'run-2' UNION ALL SELECT DISTINCT plan, seed, 'unplanned_seed' FROM r WHERE plan = 'length' AND seed = 'run-0'
+    UNION ALL SELECT DISTINCT plan, seed, 'repeated_result' FROM r WHERE plan = 'shuffled' AND seed = 'run-0' UNION ALL SELECT DISTINCT plan, seed, 'unexpected_metric' FROM r WHERE plan = 'shuffled' AND seed = 'run-1'""",
+)
+def multiseed_findings(spark, d):
+    """Results with one fault of each kind against plans of all controls and runs."""
+    m = metrics(spark, d).select(F.col("control").alias("plan"), F.col("run_id").alias("seed"), "metric", F.concat_ws("/", "run_id", "control").alias("artifact"))
+    planned = m.select("plan", "seed", "artifact").distinct().where("not (plan = 'length' and seed = 'run-0')")
+    expected = m.select("plan", "metric").distinct()
+    got = m.where("not (plan = 'noise' and seed = 'run-1') and not (plan = 'zero' and metric = 'mrr' and seed = 'run-2')")
+    got = got.withColumn("artifact", F.when((F.col("plan") == "full") & (F.col("seed") == "run-2"), F.lit("other")).otherwise(F.col("artifact")))
+    got = got.unionByName(got.where("plan = 'shuffled' and seed = 'run-0' and metric = 'mrr'")).unionByName(got.where("plan = 'shuffled' and seed = 'run-1' and metric = 'mrr'").withColumn("metric", F.lit("bleu")))
+    return E.multiseed_findings(got, planned, expected)
+
+
+@query(
+    "comparison_findings",
+    ("predictions",),
+    """SELECT 'label_mismatch' AS code, l AS key FROM (VALUES ('a/full'), ('a/zero')) t(l) WHERE EXISTS (FROM predictions) UNION ALL
+    SELECT CASE right(sample_id, 1) WHEN '5' THEN 'reference_mismatch' WHEN '6' THEN 'only_left' ELSE 'only_right' END, sample_id FROM predictions WHERE control = 'full' AND right(sample_id, 1) IN ('5', '6', '7')""",
+)
+def comparison_findings(spark, d):
+    """The full and the zero condition as two systems, with some references changed and some samples left out."""
+    p, last = predictions(spark, d), F.expr("right(sample_id, 1)")
+    left = p.where("control = 'full'").where(last != "7").select(F.lit("a/full").alias("label"), "sample_id", F.sha2("reference_text", 256).alias("fingerprint"))
+    right = p.where("control = 'zero'").where(last != "6").select(F.lit("a/zero").alias("label"), "sample_id", F.sha2(F.when(last == "5", F.concat("reference_text", F.lit("x"))).otherwise(F.col("reference_text")), 256).alias("fingerprint"))
+    return E.comparison_findings(left, right)
 
 
 @query("benchmark_label", ("predictions",), "SELECT label, len(string_split(label, '/')) = 7 AS ok, string_split(label, '/')[4] AS model FROM (SELECT DISTINCT 'read/docs/loso/m' || right(sample_id, 1) || '/' || control || '/1' || CASE WHEN control = 'zero' THEN '' ELSE '/v1' END AS label FROM predictions)")
@@ -437,7 +487,7 @@ def typed_event_check(spark, d):
     return C.typed_events(typed(spark, d))
 
 
-@query("typed_event_plan", (), "SELECT 'eeg' AS modality, count(*) AS n FROM events WHERE value + 5 <= 400 AND user_id % 2 = 0 UNION ALL SELECT 'meg', 0")
+@query("typed_event_plan", (), "SELECT 'eeg' AS modality, count(*) FILTER (user_id % 2 = 0) AS n FROM events UNION ALL SELECT 'meg', count(*) FILTER (user_id % 2 <> 0) FROM events")
 def typed_event_plan(spark, d):
     """Every event: one modality for each recording, which ends after the last event's window, and its own time."""
     m = F.when(F.pmod(F.col("recording_id").cast("long"), F.lit(2)) == 0, "eeg").otherwise("meg")

@@ -32,6 +32,19 @@ def channel_normalizer_fit(spark, d):
     return G.fit_normalizer(cells(spark, d)).select("channel", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
+@query(
+    "channel_normalizer_findings",
+    ("cells",),
+    f"""WITH c AS (SELECT *, CASE WHEN vec_id % 11 = 0 AND channel = 7 THEN NULL ELSE channel END AS ch, channel_ok AND channel <> 5 AS ok FROM cells), k AS (SELECT * FROM c WHERE ch IS NOT NULL)
+    SELECT DISTINCT 'non_train_sample' AS code, vec_id::VARCHAR AS key FROM k WHERE split <> 'train' UNION ALL SELECT 'channel_count', vec_id::VARCHAR FROM k GROUP BY vec_id HAVING count(DISTINCT ch) <> 8
+    UNION ALL SELECT 'empty_channel', ch::INT::VARCHAR FROM k GROUP BY ch HAVING NOT bool_or(split = 'train' AND ok AND time_ok)""",
+)
+def channel_normalizer_findings(spark, d):
+    """Some signals without their last channel, and channel 5 without a valid cell."""
+    c = cells(spark, d).where("not (vec_id % 11 = 0 and channel = 7)").withColumn("channel_ok", F.col("channel_ok") & (F.col("channel") != 5))
+    return G.normalizer_findings(c)
+
+
 @query("channel_normalizer_apply", ("cells",), f"WITH {_STATS} SELECT vec_id, channel::INT AS channel, t::INT AS t, round((value - mean) / scale, 6) AS value FROM cells JOIN stats USING (channel)")
 def channel_normalizer_apply(spark, d):
     c = cells(spark, d)
@@ -116,6 +129,9 @@ _CTL = {
     "length": "SELECT vec_id, channel, t, (t < count(*) FILTER (time_ok) OVER (PARTITION BY vec_id, channel))::INT::DOUBLE AS value FROM cells",
     "shuffled": "SELECT cells.vec_id, cells.channel, cells.t, o.value FROM cells JOIN p USING (vec_id) JOIN cells o ON o.vec_id = p.source AND o.channel = cells.channel AND o.t = cells.t",
 }
+_SUR = """SELECT vec_id, channel, t, value FROM (SELECT vec_id, channel, t, row_number() OVER (ORDER BY sha256(concat_ws(':', 'sur', vec_id::VARCHAR, channel::VARCHAR, t::VARCHAR)), vec_id, channel, t) AS r FROM cells)
+ JOIN (SELECT value, row_number() OVER (ORDER BY sha256(concat_ws(':', 'sur-v', vec_id::VARCHAR, channel::VARCHAR, t::VARCHAR)), vec_id, channel, t) AS r FROM cells) USING (r)"""
+_EIGHT = {"full": "SELECT vec_id, channel, t, value FROM cells", **_CTL, "timing": "SELECT vec_id, channel, t, (t = vec_id % 8)::INT::DOUBLE AS value FROM cells", "surrogate": _SUR}
 _ROUND = "SELECT vec_id, channel::INT AS channel, t::INT AS t, round(value, 5) AS value FROM ({})"
 
 
@@ -129,7 +145,7 @@ for _name, _key in (("zero", "control_zero"), ("noise", "control_noise"), ("mask
     _control(_name, _key)
 
 
-@query("control_suite", ("cells",), f"WITH {_PERM} " + " UNION ALL ".join(f"SELECT '{n}' AS control, vec_id, channel::INT AS channel, t::INT AS t, round(value, 5) AS value FROM ({s})" for n, s in _CTL.items()))
+@query("control_suite", ("cells",), f"WITH {_PERM} " + " UNION ALL ".join(f"SELECT '{n}' AS control, vec_id, channel::INT AS channel, t::INT AS t, round(value, 5) AS value FROM ({s})" for n, s in _EIGHT.items()))
 def control_suite(spark, d):
     """All eight conditions; a signal's event for the timing condition is at its time step vec_id modulo 8."""
     c = cells(spark, d)

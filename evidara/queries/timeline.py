@@ -119,13 +119,26 @@ def split_session_holdout(spark, d):
 @query(
     "split_validate",
     ("windows",),
-    """WITH p AS (SELECT l.event_id FROM windows l JOIN windows r ON l.recording_id = r.recording_id AND (l.start_s, l.event_id) < (r.start_s, r.event_id) AND l.start_s < r.end_s AND r.start_s < l.end_s AND l.split <> r.split)
-    SELECT 'duplicate_assignment' AS code, 0::BIGINT AS n UNION ALL SELECT 'unassigned', 0 UNION ALL SELECT 'overlap_across_splits', (SELECT count(*) FROM p)
-    UNION ALL SELECT 'key_across_splits', (SELECT count(*) FROM (SELECT unit_text FROM windows GROUP BY unit_text HAVING count(DISTINCT split) > 1))""",
+    """WITH w AS (SELECT recording_id, event_id, start_s, end_s, CASE WHEN event_id % 43 <> 0 THEN unit_text END AS unit_text,
+      CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 47 = 0 THEN 'excluded' ELSE split END AS split, event_id % 41 = 0 AND event_id % 31 <> 0 AS twice FROM windows),
+    a AS (SELECT * FROM w WHERE split <> 'excluded'),
+    p AS (SELECT l.event_id FROM a l JOIN a r ON l.recording_id = r.recording_id AND (l.start_s, l.event_id) < (r.start_s, r.event_id) AND l.start_s < r.end_s AND r.start_s < l.end_s AND l.split <> r.split)
+    SELECT 'duplicate_assignment' AS code, count(*) FILTER (twice) AS n FROM w UNION ALL SELECT 'unassigned', count(*) FILTER (split IS NULL) FROM w
+    UNION ALL SELECT 'unknown_assignment', count(*) FILTER (event_id % 53 = 0) FROM w
+    UNION ALL SELECT 'overlap_across_splits', (SELECT count(*) FROM p)
+    UNION ALL SELECT 'missing_key', count(*) FILTER (unit_text IS NULL) FROM a
+    UNION ALL SELECT 'key_across_splits', (SELECT count(*) FROM (SELECT unit_text FROM a WHERE unit_text IS NOT NULL GROUP BY unit_text HAVING count(DISTINCT split) > 1))
+    UNION ALL SELECT 'held_out_not_test', count(*) FILTER (recording_id = 7 AND split <> 'test') FROM a
+    UNION ALL SELECT 'other_subject_in_test', count(*) FILTER (recording_id <> 7 AND split = 'test') FROM a""",
 )
 def split_validate(spark, d):
+    """The given splits as a plan with every kind of fault: ids left out, repeated, unknown and excluded, texts left out; held out is recording 7."""
     w = windows(spark, d)
-    return S.validate(w, w.select("event_id", "split"))
+    plan = w.select("event_id", F.when(F.col("event_id") % 47 == 0, "excluded").otherwise(F.col("split")).alias("split")).where("event_id % 31 <> 0")
+    again = plan.where("event_id % 41 = 0")
+    unknown = w.where("event_id % 53 = 0").select((-1 - F.col("event_id")).alias("event_id"), "split")
+    w = w.withColumn("unit_text", F.when(F.col("event_id") % 43 != 0, F.col("unit_text")))
+    return S.validate(w, plan.unionByName(again).unionByName(unknown), held_out="7")
 
 
 @query("latency_summary", (), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 4) AS elapsed_s, round(count(*) / sum(value), 6) AS per_second FROM events GROUP BY event_type")

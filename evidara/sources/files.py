@@ -52,14 +52,14 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.partitionBy("run_id", "control").json(path)
 
 
-def read_signals(spark: SparkSession, samples: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """(signals, findings) of the JSON matrices that ``samples`` (sample_id, uri, checksum_sha256, channel_count) name below ``root``."""
+def read_signals(spark: SparkSession, samples: DataFrame, root: str, suffix: str = ".json") -> tuple[DataFrame, DataFrame]:
+    """(signals, findings) of the JSON matrices that ``samples`` (sample_id, uri, checksum_sha256, channel_count) name below ``root``, in files that end in ``suffix``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
     files = files.select(F.substring_index("path", below, -1).alias("uri"), F.sha2("content", 256).alias("actual"), F.from_json(F.col("content").cast("string"), "array<array<double>>").alias("values"))
     j = samples.join(files, "uri", "left")
     code = (
-        F.when(F.col("uri").rlike(r"^/|(^|/)\.\.(/|$)") | ~F.col("uri").endswith(".json"), "bad_path")
+        F.when(F.col("uri").rlike(r"^/|(^|/)\.\.(/|$)") | ~F.col("uri").endswith(suffix), "bad_path")
         .when(F.col("actual").isNull(), "missing_file")
         .when(F.col("checksum_sha256") != F.col("actual"), "checksum_mismatch")
         .when(F.col("values").isNull() | (F.size("values") != F.col("channel_count")), "bad_channels")
@@ -70,10 +70,10 @@ def read_signals(spark: SparkSession, samples: DataFrame, root: str) -> tuple[Da
     return j.where("code is null").select("sample_id", "values"), j.where("code is not null").select("sample_id", "code")
 
 
-def read_authorized_features(spark: SparkSession, samples: DataFrame, mapping: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+def read_authorized_features(spark: SparkSession, samples: DataFrame, mapping: DataFrame, root: str, suffix: str = ".json") -> tuple[DataFrame, DataFrame]:
     """Signals by a mapping table (sample_id, split, uri, checksum_sha256); samples without a mapping are findings."""
     mapped = samples.select("sample_id", "channel_count").join(mapping.select("sample_id", "uri", "checksum_sha256"), "sample_id")
-    signals, findings = read_signals(spark, mapped, root)
+    signals, findings = read_signals(spark, mapped, root, suffix)
     unmapped = samples.join(mapping, "sample_id", "left_anti").select("sample_id", F.lit("unmapped").alias("code"))
     return signals, findings.unionByName(unmapped)
 

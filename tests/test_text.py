@@ -17,10 +17,10 @@ def one(df, column):
 
 
 def test_edit_distances(spark):
-    p = preds(spark, [("sitting", "kitten")])
+    p = preds(spark, [("flaw", "lawns")])
     assert one(p.select(T.char_distance(F.col("prediction_text"), F.col("reference_text")).alias("d")), "d") == 3
-    r = T.corpus_error_rate(preds(spark, [("a neural singal", "A  neural signal")])).first()
-    assert r["cer"] == pytest.approx(2 / 15)
+    r = T.corpus_error_rate(preds(spark, [("The quick borwn fox", "the  quick brown fox")])).first()
+    assert r["cer"] == pytest.approx(2 / 19)
 
 
 def test_word_distance_is_the_plain_one(spark):
@@ -43,8 +43,8 @@ def test_word_distance_is_the_plain_one(spark):
 
 
 def test_similarity_golden(spark):
-    assert one(T.corpus_bleu(preds(spark, [("alpha", "alpha")])), "bleu") == pytest.approx(1.0)
-    assert one(T.corpus_bleu(preds(spark, [("beta", "alpha")])), "bleu") == 0.0
+    assert one(T.corpus_bleu(preds(spark, [("one two three", "one two three")])), "bleu") == pytest.approx(1.0)
+    assert one(T.corpus_bleu(preds(spark, [("four five", "one two three")])), "bleu") == 0.0
     assert one(T.meteor_unigram(preds(spark, [("a b", "a b")])), "meteor") == pytest.approx(0.9375)
     p = preds(spark, [("a c", "a b c"), ("", ""), ("a", "")])
     got = [x[0] for x in p.orderBy("sample_id").select(T.rouge_l_f1(T.metric_words(F.col("prediction_text")), T.metric_words(F.col("reference_text")))).collect()]
@@ -60,14 +60,57 @@ def test_error_categories(spark):
 
 
 def test_vocabulary_order_and_round_trip(spark):
-    s = spark.createDataFrame([("1", "train", "Hello, world!"), ("2", "train", "hello there"), ("3", "test", "unseen hello")], "sample_id string, split string, text string")
+    s = spark.createDataFrame([("1", "train", "Red fish, blue fish."), ("2", "train", "blue boat"), ("3", "test", "green fish")], "sample_id string, split string, text string")
     v = T.vocabulary(s)
-    assert [r["token"] for r in v.orderBy("token_id").collect()] == ["hello", "!", ",", "there", "world"]
+    assert [r["token"] for r in v.orderBy("token_id").collect()] == ["blue", "fish", ",", ".", "boat", "red"]
     e = T.encoded(s, v)
-    assert [r["token_id"] for r in e.where("sample_id = '3'").orderBy("pos").collect()] == [1, 3, 4, 2]
+    assert [r["token_id"] for r in e.where("sample_id = '3'").orderBy("pos").collect()] == [1, 3, 5, 2]
     d = {r[0]: r[1] for r in T.decoded(e, v).collect()}
-    assert d["1"] == "hello, world!"
+    assert d["1"] == "red fish, blue fish."
+    assert [tuple(r) for r in T.unknown_tokens(s.where("split = 'test'"), v).collect()] == [("3", "green", 1)]
+    assert T.encoded(s.where("split = 'train'"), v, unknown="error").count() == 12
+    with pytest.raises(Exception, match="green"):
+        T.encoded(s, v, unknown="error").collect()
 
 
 def test_metric_normaliser_folds_compatibility_forms(spark):
-    assert one(spark.createDataFrame([("ﬁ Ａ ß",)], "t string").select(T.norm_metric_exact("t").alias("n")), "n") == "fi a ss"
+    t = spark.createDataFrame([("ﬁ Ａ ß",), ("Plain  Text",), (None,)], "t string").select(T.norm_metric(F.col("t")).alias("n"))
+    assert [r[0] for r in t.collect()] == ["fi a ss", "plain text", None]
+
+
+#: A ligature, full-width letters, a decomposed letter and a superscript, and what they are compared with.
+COMPATIBLE = [("ﬁne Ｗord", "fine word"), ("cafe\u0301 au lait", "café au lait"), ("x² grows", "x2 grows"), ("STRASSE", "Straße")]
+
+
+def test_every_metric_uses_the_metric_form(spark):
+    p = preds(spark, COMPATIBLE)
+    a, b = F.col("prediction_text"), F.col("reference_text")
+    assert {tuple(r) for r in p.select(T.char_distance(a, b), T.word_distance(a, b), F.size(F.array_except(T.metric_words(a), T.metric_words(b)))).collect()} == {(0, 0, 0)}
+    r = T.corpus_error_rate(p).first()
+    assert (r["cer"], r["wer"], r["examples"]) == (0.0, 0.0, 4)
+    assert {r["category"] for r in T.error_categories(p).collect()} == {"exact"}
+    assert {r[0] for r in p.select(T.rouge_l_f1(T.metric_words(a), T.metric_words(b))).collect()} == {1.0}
+    assert one(T.corpus_bleu(preds(spark, [("ﬁve Ｗords are in here", "five words are in here")])), "bleu") == pytest.approx(1.0)
+
+
+def plain_table(h, r):
+    rows = [list(range(len(h) + 1))]
+    for i, x in enumerate(r, 1):
+        row = [i]
+        for j, y in enumerate(h, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+        rows.append(row)
+    return rows
+
+
+def test_distances_and_paths_of_long_pairs(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(T, "KEPT_ROWS", 5)
+    for _ in range(300):
+        h, r = ([rng.choice("abcd") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        rows = plain_table(h, r)
+        assert T.edit_distance(h, r) == rows[-1][-1] == T.edit_distance("".join(h), "".join(r)) == sum(T._path(h, r))
+        d, i, s = T._path(h, r)
+        assert len(h) - i == len(r) - d and s <= min(len(h), len(r))
+    many = [f"w{i}" for i in range(60_000)]  # more words than a character set has letters
+    assert T.edit_distance(many, many[1:] + ["x"]) == 2

@@ -21,14 +21,14 @@ def windows(spark, rows):
 
 @pytest.fixture
 def two(spark):
-    return windows(spark, [(0.0, 1.0, "alpha", 0.2, 1.2, "train", "x"), (0.5, 1.5, "beta", 0.3, 1.8, "test", "y")])
+    return windows(spark, [(2.0, 5.0, "left", 0.4, 5.5, "train", "x"), (4.0, 8.0, "right", 0.8, 9.0, "test", "y")])
 
 
 def test_assembly(two):
     c = I.concatenated(two).first()
-    assert (c["text"], c["union_s"], c["overlap_s"], c["gaps"], c["full"]) == ("alpha beta", 1.5, 0.5, 0, True)
+    assert (c["text"], c["union_s"], c["overlap_s"], c["gaps"], c["full"]) == ("left right", 6.0, 1.0, 0, True)
     t = I.timing(two).first()
-    assert t["real_time_factor"] == pytest.approx(0.5 / 1.5) and t["latency_max_s"] == pytest.approx(0.3)
+    assert t["real_time_factor"] == pytest.approx(0.2) and t["latency_max_s"] == pytest.approx(1.0)
     assert [r["event_id"] for r in I.drop_earlier(two).collect()] == [1]
     assert [r["event_id"] for r in I.drop_later(two).collect()] == [0]
 
@@ -62,17 +62,17 @@ def test_components_that_have_not_settled(spark):
 
 
 def test_calibration(spark):
-    c = spark.createDataFrame([("r", i, p, y) for i, (p, y) in enumerate([(0.9, 1), (0.8, 0), (0.1, 0), (0.2, 0)])], "run_id string, doc_id long, confidence double, correct int")
+    c = spark.createDataFrame([("r", i, p, y) for i, (p, y) in enumerate([(0.95, 1), (0.6, 1), (0.3, 0), (0.45, 1)])], "run_id string, doc_id long, confidence double, correct int")
     s = E.calibration_summary(c, 2).first()
-    assert s["ece"] == pytest.approx(0.25) and s["brier"] == pytest.approx(0.175)
+    assert s["ece"] == pytest.approx(0.175) and s["brier"] == pytest.approx(0.13875)
 
 
 def test_resampling(spark):
-    s = spark.createDataFrame([("s1", 0.0)] * 4 + [("s2", 1.0)], "cluster string, score double")
+    s = spark.createDataFrame([("s1", 0.2)] * 3 + [("s2", 0.8)] * 2, "cluster string, score double")
     assert E.cluster_bootstrap(s, 50).first()["estimate"] == pytest.approx(0.5)
-    d = spark.createDataFrame([(i, 4.0) for i in range(4)], "pair long, diff double")
+    d = spark.createDataFrame([(i, 2.0) for i in range(3)], "pair long, diff double")
     p = E.paired_permutation(d).first()
-    assert p["p_greater"] == pytest.approx(1 / 16) and p["p_two_sided"] == pytest.approx(2 / 16)
+    assert p["p_greater"] == pytest.approx(1 / 8) and p["p_two_sided"] == pytest.approx(2 / 8)
 
 
 def test_grounding_and_gate(spark):
@@ -80,35 +80,41 @@ def test_grounding_and_gate(spark):
     g = E.grounding(m)
     r = g.first()
     assert r["strongest"] == "lm_only" and r["gain"] == pytest.approx(0.05) and r["contribution"] == pytest.approx(0.3)
-    runs = spark.createDataFrame([("r", True, False, 4)], "run_id string, audit_passed boolean, unsafe_access boolean, expected_samples long")
+    runs = spark.createDataFrame([("r", True, False, 4, "r", ["zero", "shuffled"])], "run_id string, audit_passed boolean, unsafe_access boolean, expected_samples long, provenance_run_id string, declared array<string>")
     need = spark.createDataFrame([("zero",), ("shuffled",)], "control string")
     assert E.release_gate(runs, m, g, need).count() == 0
     assert E.release_gate(runs, m, g, need, min_gain=0.1).count() == 1
+    other = runs.withColumn("provenance_run_id", F.lit("q")).withColumn("declared", F.array(F.lit("zero")))
+    assert sorted(x["code"] for x in E.release_gate(other, m, g, need).collect()) == ["control_undeclared:shuffled", "run_id_mismatch"]
 
 
 def test_signals(spark):
-    rows = [("a", c, t, v, True, True, "train") for c, vs in enumerate([[1.0, 3.0], [2.0, 4.0]]) for t, v in enumerate(vs)]
-    rows += [("b", c, t, v, True, True, "train") for c, vs in enumerate([[5.0, 7.0], [6.0, 8.0]]) for t, v in enumerate(vs)]
+    rows = [("a", c, t, v, True, True, "train") for c, vs in enumerate([[0.0, 2.0], [1.0, 5.0]]) for t, v in enumerate(vs)]
+    rows += [("b", c, t, v, True, True, "train") for c, vs in enumerate([[4.0, 10.0], [3.0, 7.0]]) for t, v in enumerate(vs)]
     cells = spark.createDataFrame(rows, "vec_id string, channel int, t int, value double, channel_ok boolean, time_ok boolean, split string")
     stats = G.fit_normalizer(cells)
-    new = spark.createDataFrame([("c", 0, 0, 9.0, True, True, "test")], cells.schema)
-    assert G.apply_normalizer(new, stats).first()["value"] == pytest.approx(2.2361, abs=1e-4)
-    starts = spark.range(1).select(G.fixed_starts(F.lit(15), 6, 4, False)).first()[0]
-    assert starts == [0, 4, 8, 12] or starts == [0, 4, 8]
+    new = spark.createDataFrame([("c", 0, 0, 11.0, True, True, "test")], cells.schema)
+    assert G.apply_normalizer(new, stats).first()["value"] == pytest.approx(7 / 14**0.5)
+    starts = lambda n, last: spark.range(1).select(G.fixed_starts(F.lit(n), 5, 3, last)).first()[0]
+    assert starts(12, True) == [0, 3, 6] and starts(12, False) == [0, 3, 6, 9]  # 6 + 5 leaves a step uncovered
+    assert starts(11, False) == [0, 3, 6] and starts(4, True) == [] and starts(4, False) == [0]
+    bad = G.normalizer_findings(cells.unionByName(new).where("not (vec_id = 'b' and channel = 1)").withColumn("channel_ok", F.col("channel") == 0))
+    assert sorted(tuple(r) for r in bad.collect()) == [("channel_count", "a"), ("empty_channel", "1"), ("non_train_sample", "c")]
 
 
 def test_retrieval(spark):
     v = "id long, v array<double>, grp long"
-    bank = spark.createDataFrame([(0, [0.0, 1.0], 1), (1, [0.1, 1.0], 2), (2, [1.0, 0.0], 3), (3, [0.0, 0.0], 4)], v)
-    q = spark.createDataFrame([(9, [0.0, 1.0], 1)], v)
+    bank = spark.createDataFrame([(0, [1.0, 1.0], 1), (1, [1.0, 0.8], 2), (2, [-1.0, 0.0], 3), (3, [0.0, 0.0], 4)], v)
+    q = spark.createDataFrame([(9, [1.0, 1.0], 1)], v)
     assert [r["c_id"] for r in R.top_k(q, bank, 3, exclude_group=True).orderBy("rank").collect()] == [1, 2]
     assert R.top_k(q, bank, 1).first()["c_id"] == 0
+    assert sorted(r["id"] for r in R.newest(bank, 3).collect()) == [1, 2, 3]
     codes = spark.createDataFrame([(0,), (0,), (0,)], "code int")
     h = R.codebook_health(codes, 4).first()
     assert (h["active"], h["dead"], h["perplexity"]) == (0.25, 0.75, 1.0)
-    line = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (2.0, 5.0)], "x double, y double")
+    line = spark.createDataFrame([(1.0, 5.0), (2.0, 8.0), (4.0, 14.0)], "x double, y double")
     w = R.ridge(line, ["x"], "y", 0.1)
-    assert w[0] + 3 * w[1] == pytest.approx(6.8, abs=0.1)
+    assert w[0] + 3 * w[1] == pytest.approx(11.0, abs=0.1)
 
 
 def test_alignment_records(spark):
