@@ -101,5 +101,5 @@ def duck(names: tuple[str, ...], select: str) -> str:
     parts = [f"{n} AS ({VIEWS[n][1](DUCK)})" for n in _needed(names)]
     body = select.strip().replace("WITH RECURSIVE ", "WITH ", 1) if select.strip().startswith("WITH RECURSIVE ") else select.strip()
     if not parts:
-        return body
+        return select.strip()
     return "WITH RECURSIVE " + ",\n".join(parts) + (",\n" + body[5:] if body[:5].upper() == "WITH " else "\n" + body)

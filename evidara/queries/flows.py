@@ -106,6 +106,21 @@ def batch_chunk(spark, d):
     return W.chunks(spark.read.parquet(f"{d}/events.parquet").select("user_id", W.instant().alias("at"), "value"))
 
 
+@query(
+    "stream_drop_later",
+    (),
+    """WITH RECURSIVE w AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 300 AS e FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, event_id) AS i FROM w),
+    f AS (SELECT user_id, i, event_id, s, true AS kept, e AS reach FROM o WHERE i = 1
+      UNION ALL SELECT o.user_id, o.i, o.event_id, o.s, o.s >= f.reach, CASE WHEN o.s >= f.reach THEN o.e ELSE f.reach END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+    SELECT event_id FROM f WHERE kept AND s < (SELECT max(s) FROM w) - 604800""",
+)
+def stream_drop_later(spark, d):
+    """Windows that began before the watermark; later ones wait in the stream's state."""
+    e = W.read_stream(spark, f"{d}/events.parquet").withColumn("at", W.instant())
+    s = F.unix_micros("at") / 1e6
+    return W.drain(W.drop_later(e.select(F.col("user_id").alias("recording_id"), "event_id", s.alias("start_s"), (s + F.col("value") * 300).alias("end_s"), "at")))
+
+
 @query("stream_audit", ("samples",), "SELECT 'cross_split_text' AS code, fingerprint AS key, count(DISTINCT split) AS n FROM samples GROUP BY fingerprint HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'duplicate_sample', sample_id, count(*) FROM samples GROUP BY sample_id HAVING count(*) > 1")
 def stream_audit(spark, d):
     from evidara.operators.text import fingerprint

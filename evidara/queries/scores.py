@@ -76,12 +76,12 @@ def scored(spark, d):
 
 @query("retrieval_ranks", ("vectors",), f"WITH {_SCORED} SELECT s.q_id, count(*) FILTER (s.score >= p.score) AS rank FROM s JOIN (SELECT q_id, score FROM s WHERE positive) p USING (q_id) GROUP BY s.q_id")
 def retrieval_ranks(spark, d):
-    return R.ranks(scored(spark, d))
+    return R.positive_ranks(*query_side(spark, d))
 
 
 @query("retrieval_metrics", ("vectors",), f"WITH {_SCORED}, r AS (SELECT s.q_id, count(*) FILTER (s.score >= p.score) AS rank FROM s JOIN (SELECT q_id, score FROM s WHERE positive) p USING (q_id) GROUP BY s.q_id) SELECT round(avg(rank), 6) AS mean_rank, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS recall_at_1, round(avg((rank <= 10)::INT), 6) AS recall_at_10 FROM r")
 def retrieval_metrics(spark, d):
-    m = R.rank_metrics(R.ranks(scored(spark, d)), (1, 10))
+    m = R.rank_metrics(R.positive_ranks(*query_side(spark, d)), (1, 10))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 

@@ -36,6 +36,40 @@ def repeated_ids(samples: DataFrame) -> DataFrame:
     return samples.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+STATE = "reach double, starts array<double>, ends array<double>, ids array<long>"
+
+
+def _released(key, frames, state):
+    """Of one recording: windows that began before the watermark are decided in order, the others wait."""
+    import pandas as pd
+
+    reach, starts, ends, ids = state.get if state.exists else (float("-inf"), [], [], [])
+    rows = list(zip(starts, ends, ids, strict=True))
+    for f in frames:
+        rows += zip(f["start_s"].tolist(), f["end_s"].tolist(), f["event_id"].tolist(), strict=True)
+    rows.sort()
+    mark, kept, n = state.getCurrentWatermarkMs(), [], 0
+    while n < len(rows) and rows[n][0] * 1000 < mark:
+        if rows[n][0] >= reach:
+            reach = rows[n][1]
+            kept.append(rows[n][2])
+        n += 1
+    wait = rows[n:]
+    state.update((reach, [r[0] for r in wait], [r[1] for r in wait], [r[2] for r in wait]))
+    if wait:
+        state.setTimeoutTimestamp(max(int(wait[0][0] * 1000), mark) + 1)
+    yield pd.DataFrame({"event_id": pd.Series(kept, dtype="int64")})
+
+
+def drop_later(windows: DataFrame) -> DataFrame:
+    """(event_id) of the windows that the greedy choice keeps, from a stream of (recording_id, event_id, start_s, end_s, at), ``at`` being the instant of start_s.
+
+    Windows wait until the watermark has passed their start, so that they are judged in order; the state of a recording is the end of its last kept window
+    and what waits, which LATENESS bounds. The result is that of the batch form for windows that are not late."""
+    w = windows.withWatermark("at", LATENESS).groupBy("recording_id")
+    return w.applyInPandasWithState(_released, "event_id long", STATE, "append", "EventTimeTimeout")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, and return what it wrote.
 

@@ -33,3 +33,12 @@ def test_checksums(spark):
     e = spark.createDataFrame([("a.json", "x"), ("b.txt", "0" * 64), ("c.json", "0" * 64)], "uri string, expected string")
     f = spark.createDataFrame([("a.json", bytearray(b"1")), ("b.txt", bytearray(b"1")), ("d.json", bytearray(b"1"))], "uri string, content binary")
     assert {r[0]: r[1] for r in S.checksum_findings(e, f).collect()} == {"a.json": "malformed_checksum", "b.txt": "wrong_extension", "c.json": "missing", "d.json": "unexpected"}
+
+
+def test_adapter_as_a_data_source(spark):
+    from evidara.sources import adapters
+
+    d = adapters.read(spark, adapters.SyntheticAdapter, subjects=5, partitions=3, trials=2, steps=4)
+    rows = {r["sample_id"]: r for r in d.collect()}
+    assert sorted(rows) == [f"s{s}-t{t}" for s in range(5) for t in range(2)] and d.rdd.getNumPartitions() == 3
+    assert rows["s2-t1"]["values"] == [[(42 + 34 + 1 + 3 * t) % 23 / 23 for t in range(4)], [(42 + 34 + 1 + 5 * t + 11) % 29 / 29 for t in range(4)]]
