@@ -161,32 +161,25 @@ def _by_bucket(k: int, percent: int, bits: int, shared):
 
     Frequent shingles, and those that two sets of a flush have, are shared for certain: they are only counted for their set (rows
     without codes), and of the latter one entry without a set tells the other tasks."""
-    low = np.uint64((1 << bits) - 1)
 
     def rows(hashes: list[np.ndarray], names: list[int], known: list[int]):
-        size = np.array([len(h) for h in hashes])
-        h, own = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), size)
-        key = (h & low) << np.uint64(64 - bits) | h >> np.uint64(bits)
-        order = np.argsort(key)
-        key, own = key[order], own[order]
-        twin = np.zeros(len(key), dtype=bool)
-        twin[1:] = key[1:] == key[:-1]
-        first = twin[1:] & ~twin[:-1]
-        twin[:-1] |= key[1:] == key[:-1]
-        tell = np.zeros(len(key), dtype=bool)
-        tell[:-1] = first
+        own = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        flat = np.concatenate(hashes)
+        order, bucket, seven = W.bucketed(flat, bits)
+        own, flat = own[order], flat[order]
+        twin = np.zeros(len(flat), dtype=bool)
+        twin[1:] = flat[1:] == flat[:-1]
+        tell = np.zeros(len(flat), dtype=bool)
+        tell[:-1] = twin[1:] & ~twin[:-1]
+        twin[:-1] |= flat[1:] == flat[:-1]
         count = np.array(known) + np.bincount(own[twin], minlength=len(hashes))
         name = np.array(names, dtype=np.int64)
         keep = ~twin | tell
-        key, whose = key[keep], np.where(tell, NOBODY, name[own])[keep]
-        bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-        seven = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :7]) if bits == 8 else np.ascontiguousarray((key & np.uint64((1 << (64 - bits)) - 1)).view(np.uint8).reshape(-1, 8)[:, :7])
-        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
-        out = [(int(name[0]) & int(low), name, None, count.astype("<u4").tobytes())]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi > lo:
-                sets, place = np.unique(whose[lo:hi], return_inverse=True)
-                out.append((int(bucket[lo]), sets, seven[lo:hi].tobytes() + place.astype("<u2").tobytes(), None))
+        whose, bucket, seven = np.where(tell, NOBODY, name[own])[keep], bucket[keep], seven[keep]
+        out = [(int(name[0]) & ((1 << bits) - 1), name, None, count.astype("<u4").tobytes())]
+        for lo, hi in W.runs(bucket):
+            sets, place = np.unique(whose[lo:hi], return_inverse=True)
+            out.append((int(bucket[lo]), sets, seven[lo:hi].tobytes() + place.astype("<u2").tobytes(), None))
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["bucket", "sets", "codes", "counts"])
 
@@ -224,10 +217,8 @@ def _shared_of_bucket(t: pa.Table) -> pa.Table:
             if codes[i].is_valid:
                 raw = np.frombuffer(codes[i].as_buffer(), dtype=np.uint8)
                 n = len(raw) // 9
-                eight = np.zeros((n, 8), dtype=np.uint8)
-                eight[:, :7] = raw[: 7 * n].reshape(n, 7)
-                key.append(eight.view("<u8").ravel())
-                own.append(name[raw[7 * n :].view("<u2")])
+                key.append(W.from_seven(raw[: 7 * n]))
+                own.append(name[np.frombuffer(raw[7 * n :].tobytes(), dtype="<u2")])
             else:
                 who.append(name)
                 many.append(np.frombuffer(counts[i].as_buffer(), dtype="<u4").astype(np.int64))

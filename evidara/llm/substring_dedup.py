@@ -4,7 +4,7 @@ A window can only repeat if its anchor, the least hash of the 8-word runs inside
 equal windows have equal anchors. So anchors are counted first (a few per hundred words), and windows are counted and
 compared in Spark only where the anchor occurs in two documents or more; no repeated window is lost by
 this, and windows elsewhere are not sent. They are compared by hashes to two bases, 96 bits in all. What repeats among the SETTLED windows that a task gathers is settled there, so a
-passage in very many documents sends a row for each such lot, not for each document, and a line that fills a document one row, not one for each place. Repeated windows then merge into
+passage in very many documents goes on once for each such lot, not for each document. Repeated windows then merge into
 maximal intervals of words, document by document."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm import words as W
@@ -48,65 +48,114 @@ def _anchors(window: int, run: int):
     return go
 
 
-#: Windows that a task gathers before it settles what repeats among them.
-SETTLED = 1 << 20
+#: Windows that a task gathers before it settles what repeats among them, and windows of a bucket, about.
+SETTLED, BUCKET = 1 << 20, 500_000
 
 
-def _settled(g: np.ndarray, g2: np.ndarray, o: np.ndarray, v: np.ndarray, p: np.ndarray):
-    """Batches (w, w2, doc_id, version, place, more): of windows that repeat here only the smallest document's go on, one row for each, with further
-    places in ``more``; the others are found at once and have no hash."""
-    order = np.lexsort((p, v, o, g2, g))
-    g, g2, o, v, p = g[order], g2[order], o[order], v[order], p[order]
+DEALT = "bucket long, docs array<long>, versions array<long>, codes binary, places array<int>"
+
+
+def _settled(g: np.ndarray, g2: np.ndarray, k: np.ndarray, p: np.ndarray, ids: np.ndarray, versions: np.ndarray, bits: int) -> pa.RecordBatch:
+    """What repeats among these windows of documents ``k`` is found at once: a row of places for each document. The smallest document's windows, and those
+    that occur once, are dealt to buckets by their hash, many to a row: seven bytes and four of the hashes, two for the document by its place in ``docs``, four for the place."""
+    o = ids[k]
+    order = np.lexsort((o, g2, g))
+    g, g2, k, p, o = g[order], g2[order], k[order], p[order], o[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])
     known = o > o[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
-    again = np.zeros(len(g), dtype=bool)
-    again[1:] = ~new[1:] & ~known[1:] & (o[1:] == o[:-1]) & (v[1:] == v[:-1])
-    head = np.flatnonzero(~again)
-    n = np.diff(np.append(head, len(g))) - 1  # what follows a row is what repeats it
-    ends = np.concatenate([[0], np.cumsum(n)])
-    rest = p[again]
-    for lo in range(0, len(head), 1 << 16):
-        i = head[lo : lo + (1 << 16)]
-        off = ends[lo : lo + len(i) + 1]
-        more = pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32), pa.int32()), pa.array(rest[off[0] : off[-1]], pa.int32()), mask=pa.array(n[lo : lo + len(i)] == 0))
-        yield pa.RecordBatch.from_arrays([pa.array(g[i].view(np.int64), mask=known[i]), pa.array(g2[i], mask=known[i]), pa.array(o[i]), pa.array(v[i]), pa.array(p[i]), more], names=["w", "w2", "doc_id", "version", "place", "more"])
-
-
-def _candidates(window: int, run: int):
-    """Two hashes and the place of each window whose anchor is shared."""
+    out = []
+    mine = np.lexsort((p[known], k[known]))
+    whose, places = k[known][mine], p[known][mine]
+    for lo, hi in W.runs(whose):
+        d = whose[lo]
+        out.append((int(ids[d]) & ((1 << bits) - 1), [ids[d]], [versions[d]], None, places[lo:hi]))
+    g, g2, k, p = g[~known], g2[~known], k[~known], p[~known]
+    order, bucket, seven = W.bucketed(g, bits)
+    g2, k, p = g2[order].astype("<u4"), k[order], p[order].astype("<u4")
+    for lo, hi in W.runs(bucket):
+        docs, place = np.unique(k[lo:hi], return_inverse=True)
+        codes = b"".join(x.tobytes() for x in (seven[lo:hi], g2[lo:hi], p[lo:hi], place.astype("<u2")))
+        out.append((int(bucket[lo]), ids[docs], versions[docs], codes, None))
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["bucket", "docs", "versions", "codes", "places"])
+
+
+def _candidates(window: int, run: int, bits: int):
+    """Two hashes and the place of each window whose anchor is shared, settled and dealt."""
 
     def go(batches):
-        held, size = [], 0
+        held, ids, versions, size = [], [], [], 0
+
+        def lot():
+            return _settled(*(np.concatenate(x) for x in zip(*held, strict=True)), np.array(ids, dtype=np.int64), np.array(versions, dtype=np.int64), bits)
+
         for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
             h, anchors, count = _windows(w, window, run)
             r, r2 = W.rolling(h, window), W.rolling(h, window, 1)
-            ids, version, shared = b.column("doc_id").to_numpy(), b.column("version").to_numpy(), b.column("anchors")
+            doc, version, shared = b.column("doc_id").to_pylist(), b.column("version").to_pylist(), b.column("anchors")
             for d in np.flatnonzero(count):
                 first, n = int(w.first[d]), int(count[d])
                 mine = np.unique(shared[int(d)].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 a = anchors[first : first + n]
                 hit = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, a), len(mine) - 1)] == a)
-                held.append((r[first + hit], (r2[first + hit] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(hit), ids[d]), np.full(len(hit), version[d]), hit.astype(np.int32)))
+                held.append((r[first + hit], (r2[first + hit] >> np.uint64(32)).astype(np.uint32), np.full(len(hit), len(ids), dtype=np.int32), hit.astype(np.int32)))
+                ids.append(doc[d])
+                versions.append(version[d])
                 size += len(hit)
-            if size >= SETTLED:
-                yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
-            yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if size >= SETTLED or len(ids) > 50_000:
+                yield lot()
+                held, ids, versions, size = [], [], [], 0
+        if ids:
+            yield lot()
         W.give_back()
 
     return go
 
 
+def _repeated(t: pa.Table) -> pa.Table:
+    """(doc_id, version, places) of the windows of one bucket that also start in a document with a smaller id; what was found before passes through."""
+    g, g2, p, o, v = ([np.zeros(0, dtype=kind)] for kind in (np.uint64, np.uint32, np.uint32, np.int64, np.int64))
+    doc, version, places = [], [], []
+    for b in t.to_batches():
+        docs, versions, codes, found = (b.column(c) for c in ("docs", "versions", "codes", "places"))
+        for i in range(b.num_rows):
+            ids, of = docs[i].values.to_numpy(), versions[i].values.to_numpy()
+            if not codes[i].is_valid:
+                doc.append(ids[0]), version.append(of[0]), places.append(found[i].values.to_numpy())
+                continue
+            raw = np.frombuffer(codes[i].as_buffer(), dtype=np.uint8)
+            n = len(raw) // 17
+            g.append(W.from_seven(raw[: 7 * n]))
+            g2.append(np.frombuffer(raw[7 * n : 11 * n].tobytes(), dtype="<u4"))
+            p.append(np.frombuffer(raw[11 * n : 15 * n].tobytes(), dtype="<u4"))
+            place = np.frombuffer(raw[15 * n :].tobytes(), dtype="<u2")
+            o.append(ids[place]), v.append(of[place])
+    g, g2, p, o, v = (np.concatenate(x) for x in (g, g2, p, o, v))
+    order = np.lexsort((o, g2, g))
+    g, g2, o = g[order], g2[order], o[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])
+    again = order[o > o[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]] if len(g) else order
+    o = o[np.argsort(order)][again]  # back in the order of v and p
+    v, p = v[again], p[again]
+    by = np.lexsort((p, v, o))
+    o, v, p = o[by], v[by], p[by].astype(np.int32)
+    for lo, hi in W.runs(o):
+        for a, z in W.runs(v[lo:hi]):
+            doc.append(o[lo]), version.append(v[lo + a]), places.append(p[lo + a : lo + z])
+    W.give_back()
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "version": pa.array(version, pa.int64()), "places": pa.array(places, pa.list_(pa.int32()))})
+
+
 def _remove(window: int, keep_text: bool):
     """Counts, digest of the kept words, removed intervals as word positions, and the text that is left."""
 
     def go(batches):
         for b in W.chunks(W.unsqueezed(batches), "text"):
             w = W.layout(b.column("text"))
-            places, more = b.column("places"), b.column("more")
+            places = b.column("places")
             valid = b.column("text").is_valid().to_numpy(zero_copy_only=False)
             n_words, n_removed, sha, starts, ends, left = [], [], [], [], [], []
             for d in range(b.num_rows):
@@ -114,7 +163,7 @@ def _remove(window: int, keep_text: bool):
                 a = e = np.zeros(0, dtype=np.int64)
                 kept, text = raw.split(), raw
                 if places[d].is_valid and len(places[d].values):
-                    p = np.unique(np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in (places[d], more[d]) if x.is_valid]).astype(np.int64))
+                    p = np.unique(places[d].values.to_numpy(zero_copy_only=False).astype(np.int64))
                     new = np.flatnonzero(np.diff(p) > window)
                     a, e = p[np.concatenate([[0], new + 1])], p[np.concatenate([new, [len(p) - 1]])] + window
                     base = int(w.offsets[d])
@@ -154,22 +203,21 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc_id, version, places, more): starts of the windows that also start in a document with a smaller doc_id, in two lists."""
+    """(doc_id, version, places): starts of the windows that also start in a document with a smaller doc_id."""
     docs = docs.where("doc_id is not null and text is not null")
     anchors = staged(docs.mapInArrow(_anchors(window, run), "anchor long, doc_id long, version long"), "anchors")
+    bits = max(8, (anchors.count() * (window - run) // 2 // BUCKET).bit_length())  # an anchor stands for so many windows
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     held = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
-    found = W.squeeze(docs).join(held, ["doc_id", "version"]).mapInArrow(_candidates(window, run), "w long, w2 int, doc_id long, version long, place int, more array<int>")
-    key = F.coalesce("w", F.xxhash64("doc_id", "place"))  # those found already only have to be spread
-    least = F.min(F.when(F.col("w").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("key", "w2"))
-    found = found.withColumn("key", key).withColumn("least", least).where("w is null or doc_id > least")
-    return found.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"), F.flatten(F.collect_list("more")).alias("more"))
+    found = W.squeeze(docs).join(held, ["doc_id", "version"]).mapInArrow(_candidates(window, run, bits), DEALT)
+    found = found.groupBy("bucket").applyInArrow(_repeated, "doc_id long, version long, places array<int>")
+    return found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     """The result for each row of ``docs`` (doc_id, version, text)."""
     schema = "doc_id long, version long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>" + ", kept_text string" * keep_text
-    joined = W.squeeze(docs).join(repeated_places(docs, window), ["doc_id", "version"], "left").select("doc_id", "version", "z", "places", "more")
+    joined = W.squeeze(docs).join(repeated_places(docs, window), ["doc_id", "version"], "left").select("doc_id", "version", "z", "places")
     return joined.mapInArrow(_remove(window, keep_text), schema)
 
 

@@ -105,6 +105,28 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def bucketed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bucket, rest): an order by bucket, the lowest ``bits`` (8 or more) of each hash in it, and seven bytes that with the bucket are the whole hash."""
+    key = (h & np.uint64((1 << bits) - 1)) << np.uint64(64 - bits) | h >> np.uint64(bits)
+    order = np.argsort(key)
+    key = key[order]
+    rest = (key & np.uint64((1 << (64 - bits)) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+    return order, (key >> np.uint64(64 - bits)).astype(np.int64), np.ascontiguousarray(rest)
+
+
+def from_seven(raw: np.ndarray) -> np.ndarray:
+    """Seven bytes each as numbers."""
+    eight = np.zeros((len(raw) // 7, 8), dtype=np.uint8)
+    eight[:, :7] = raw.reshape(-1, 7)
+    return eight.view("<u8").ravel()
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal neighbours."""
+    cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(lo, hi) for lo, hi in zip(cut[:-1], cut[1:], strict=True) if hi > lo]
+
+
 def layout(texts: pa.Array, lower: bool = False) -> Words:
     """The words of an Arrow string array; null texts have none."""
     a = texts.cast(pa.large_string()).fill_null("")
