@@ -90,5 +90,22 @@ def split_audit(samples: DataFrame, exposure: DataFrame | None = None, windows:
     return out if access is None else out.unionByName(information_access(access))
 
 
+def _shared_counts(samples: DataFrame, key: str, code: str) -> DataFrame:
+    """(code, severity, n, n_samples) of the keys in two splits or more, counted without gathering their members."""
+    t = samples.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), "sample_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    t = t.groupBy("key").agg(F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    return t.agg(F.count("*").alias("n"), F.sum("k").alias("n_samples")).where("n > 0").select(F.lit(code).alias("code"), F.lit("error").alias("severity"), "n", "n_samples")
+
+
+def split_audit_counts(samples: DataFrame, exposure: DataFrame | None = None, windows: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
+    """``summary`` of ``split_audit``; a key with very many members costs a count."""
+    out = _shared_counts(samples.select("sample_id", "split", F.explode("group_ids").alias("g")), "g", "group_across_splits")
+    out = out.unionByName(_shared_counts(samples, "fingerprint", "duplicate_target_text"))
+    rest = duplicate_and_missing(samples).unionByName(pretraining_overlap(samples, exposure))
+    if windows is not None:
+        rest = rest.unionByName(overlap_across_splits(windows))
+    return out.unionByName(summary(rest if access is None else rest.unionByName(information_access(access))))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code", "severity").agg(F.count("*").alias("n"), F.sum(F.size("sample_ids")).alias("n_samples"))

@@ -110,11 +110,20 @@ def typed_events(events: DataFrame) -> DataFrame:
 
 
 def typed_event_plan(events: DataFrame) -> DataFrame:
-    """Events by modality, zero-filled, only if no event violates a rule."""
+    """Events by modality, zero-filled, and the digest of their schema (subject, recording and modality of every event, in any order), only if no event violates a rule.
+
+    Equal rows are counted before they are hashed together, in 256 parts by their own hash and then those parts."""
     bad = typed_events(events).agg(F.count("*").alias("bad"))
     every = events.sparkSession.createDataFrame([("eeg",), ("meg",)], "modality string")
     n = events.groupBy("modality").agg(F.count("*").alias("n"))
-    return every.join(n, "modality", "left").crossJoin(F.broadcast(bad)).where("bad = 0").select("modality", F.coalesce("n", F.lit(0)).alias("n"))  # one row
+    return every.join(n, "modality", "left").crossJoin(F.broadcast(bad)).where("bad = 0").select("modality", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(schema_digest(events)))  # one row each
+
+
+def schema_digest(events: DataFrame) -> DataFrame:
+    h = F.sha2(F.concat_ws("\x1f", "subject_id", "recording_id", "modality"), 256)
+    h = events.groupBy(h.alias("h")).agg(F.count("*").alias("n")).select(F.substring("h", 1, 2).alias("part"), F.concat_ws(":", "h", "n").alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    return h.groupBy("part").agg(joined("h").alias("d")).select(F.concat_ws(":", "part", "d").alias("d")).agg(joined("d").alias("schema_digest"))
 
 
 def descriptors(rows: DataFrame) -> DataFrame:

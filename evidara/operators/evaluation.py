@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.plans.ranks import by_value
+
 
 def pairing_findings(p: DataFrame) -> DataFrame:
     """(run_id, control, code, sample_id): duplicates in a control, and ids that a control has more or less than the full condition."""
@@ -93,7 +95,7 @@ def risk_coverage(c: DataFrame) -> DataFrame:
 def cluster_bootstrap(scores: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: str = "boot") -> DataFrame:
     """Mean of the cluster means, and a percentile interval over seeded resamples of clusters with replacement."""
     m = scores.groupBy("cluster").agg(F.avg("score").alias("m"))
-    m = m.withColumn("i", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long"))  # a row per cluster
+    m = by_value(m, "cluster", "i").withColumn("i", (F.col("i") - 1).cast("long"))
     n = m.agg(F.count("*").alias("n"), F.avg("m").alias("estimate"))
     spark = scores.sparkSession
     draws = spark.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(n.select("n"))).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
@@ -107,8 +109,8 @@ def cluster_bootstrap(scores: DataFrame, resamples: int = 200, confidence: float
 def paired_permutation(diffs: DataFrame, permutations: int = 500, seed: str = "perm", exact_up_to: int = 16) -> DataFrame:
     """(n, observed, p_greater, p_two_sided) of paired differences (pair, diff): all sign vectors for few pairs, else seeded draws."""
     spark = diffs.sparkSession
-    d = diffs.withColumn("i", (F.row_number().over(Window.orderBy("pair")) - 1).cast("int"))  # a row per pair
-    n = d.count()
+    n = diffs.count()
+    d = by_value(diffs, "pair", "i").withColumn("i", (F.col("i") - 1).cast("int")) if n <= exact_up_to else diffs
     obs = d.agg(F.round(F.avg("diff"), 9).alias("observed"))
     exact = n <= exact_up_to
     masks = spark.range(1 << n if exact else permutations).select(F.col("id").alias("m"))

@@ -20,8 +20,9 @@ def units(windows: DataFrame, key: str | None = None) -> DataFrame:
     w = w.withColumn("head", first)
     if key is None:
         return w.select("event_id", F.col("head").alias("unit"))
-    lead = F.min("head").over(Window.partitionBy(key))
-    edges = w.select("head", lead.alias("lead")).where("head <> lead").distinct()
+    heads = w.select(F.col(key).alias("key"), "head").distinct()  # a key that very many windows have is counted, not gathered
+    least = heads.where("key is not null").groupBy("key").agg(F.min("head").alias("lead"))
+    edges = heads.join(least, "key").where("head <> lead").select("head", "lead").distinct()
     parts = connected_components(edges, "head", "lead").select(F.col("node").alias("head"), "component")
     return w.join(parts, "head", "left").select("event_id", F.coalesce("component", "head").alias("unit"))
 

@@ -26,6 +26,13 @@ def by_hash(df: DataFrame, hexadecimal: Column, *ties: str, name: str = "place")
     return ranked(df.withColumn("hash_", hexadecimal), F.conv(F.substring("hash_", 1, 3), 16, 10), ["hash_", *ties], name).drop("hash_")
 
 
+def by_value(df: DataFrame, column: str, name: str = "place") -> DataFrame:
+    """Places in the order of a column: in two steps for whole numbers; other values are sorted in one task."""
+    if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return by_number(df, column, name)
+    return df.withColumn(name, F.row_number().over(Window.orderBy(column)))
+
+
 def by_number(df: DataFrame, column: str, name: str = "place") -> DataFrame:
     """Places in the order of a column of whole numbers, dealt to buckets of equal width between its extremes."""
     low, high = df.agg(F.min(column), F.max(column)).first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidara.operators import audit as A
 from evidara.operators import splits as S
 from evidara.operators import text as T
+from evidara.plans.storage import staged
 from evidara.plans.views import DUCK, view
 from evidara.queries.registry import query
 
@@ -232,7 +233,8 @@ _ACCESS_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, dat
     UNION ALL SELECT code, severity, count(*), 0 FROM ({_ACCESS_ROWS}) GROUP BY code, severity""",
 )
 def split_audit(spark, d):
-    return A.summary(A.split_audit(samples(spark, d), view(spark, d, "exposure"), view(spark, d, "windows"), access(spark, d)))
+    s = staged(samples(spark, d).drop("text"), "samples")  # texts are hashed once for all audits
+    return A.split_audit_counts(s, view(spark, d, "exposure"), view(spark, d, "windows"), access(spark, d))
 
 
 @query("information_access_check", (), f"WITH {_ACCESS} {_ACCESS_ROWS}")
@@ -331,6 +333,23 @@ def recording_inventory(spark, d):
     return p.groupBy("task").agg(F.count("*").alias("files"), F.count_distinct(F.nullif("subject", F.lit(""))).alias("subjects"), F.count_if(F.col("subject") == "").alias("unparsable"), (F.count("*") - F.count_distinct("host", "subject")).alias("duplicates"))
 
 
+@query(
+    "recording_inventory_findings",
+    (),
+    """WITH p AS (SELECT url, regexp_extract(url, '^https?://([^/]+)', 1) AS version, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS task, regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS subject FROM pages)
+    SELECT 'unparsable_subject' AS code, url AS key FROM p WHERE subject = '' UNION ALL SELECT 'duplicate_subject', concat_ws('/', task, version, subject) FROM p WHERE subject <> '' GROUP BY task, version, subject HAVING count(*) > 1
+    UNION ALL SELECT 'several_versions', task FROM p GROUP BY task HAVING count(DISTINCT version) > 1
+    UNION ALL SELECT 'partial_task_set', subject FROM p WHERE subject <> '' GROUP BY subject HAVING count(DISTINCT task) < (SELECT count(DISTINCT task) FROM p)""",
+)
+def recording_inventory_findings(spark, d):
+    """Hosts stand for versions, languages for tasks, page numbers for subjects."""
+    from evidara.sources.files import inventory_findings
+
+    at = lambda pattern: F.regexp_extract("url", pattern, 1)
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"), at("^https?://[^/]+/([a-z]+)/").alias("task"), at("^https?://([^/]+)").alias("version"), at("^https?://[^/]+/[a-z]+/([0-9]+)").alias("subject"))
+    return inventory_findings(p)
+
+
 @query(
     "data_quality_summary",
     ("samples",),

@@ -487,7 +487,14 @@ def typed_event_check(spark, d):
     return C.typed_events(typed(spark, d))
 
 
-@query("typed_event_plan", (), "SELECT 'eeg' AS modality, count(*) FILTER (user_id % 2 = 0) AS n FROM events UNION ALL SELECT 'meg', count(*) FILTER (user_id % 2 <> 0) FROM events")
+@query(
+    "typed_event_plan",
+    (),
+    """WITH h AS (SELECT sha256(concat_ws(chr(31), user_id::VARCHAR, user_id::VARCHAR, CASE WHEN user_id % 2 = 0 THEN 'eeg' ELSE 'meg' END)) AS h FROM events),
+    g AS (SELECT substr(h, 1, 2) AS part, h || ':' || count(*) AS h FROM h GROUP BY h), d AS (SELECT part || ':' || sha256(string_agg(h, '' ORDER BY h)) AS d FROM g GROUP BY part),
+    x AS (SELECT sha256(coalesce(string_agg(d, '' ORDER BY d), '')) AS schema_digest FROM d)
+    SELECT m AS modality, count(*) FILTER (user_id IS NOT NULL) AS n, schema_digest FROM (VALUES ('eeg', 0), ('meg', 1)) t(m, k) LEFT JOIN events ON user_id % 2 = k, x GROUP BY m, schema_digest""",
+)
 def typed_event_plan(spark, d):
     """Every event: one modality for each recording, which ends after the last event's window, and its own time."""
     m = F.when(F.pmod(F.col("recording_id").cast("long"), F.lit(2)) == 0, "eeg").otherwise("meg")

@@ -97,3 +97,17 @@ def table_digest(df: DataFrame, row: Column, key: str) -> DataFrame:
     """Digest of a table whatever the order of its rows, per key and per first two digits of the row hashes, so that no group is all of a key."""
     h = df.select(F.col(key).alias("k"), F.sha2(row, 256).alias("h")).select(F.concat("k", F.lit("/"), F.substring("h", 1, 2)).alias(key), "h")
     return h.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+
+
+def inventory_findings(files: DataFrame) -> DataFrame:
+    """(code, key) of a listing (path, task, version, subject): paths without a subject, subjects that a task has twice in a version, tasks with several versions,
+    and subjects that lack a task which others have."""
+    named = files.where("coalesce(subject, '') <> ''")
+    code = lambda df, name, key: df.select(F.lit(name).alias("code"), key.alias("key"))
+    blank = code(files.where("coalesce(subject, '') = ''"), "unparsable_subject", F.col("path"))
+    twice = named.groupBy("task", "version", "subject").agg(F.count("*").alias("n")).where("n > 1")
+    versions = files.groupBy("task").agg(F.count_distinct("version").alias("n")).where("n > 1")
+    tasks = files.agg(F.count_distinct("task").alias("due"))
+    partial = named.groupBy("subject").agg(F.count_distinct("task").alias("n")).crossJoin(F.broadcast(tasks)).where("n < due")  # one row
+    out = blank.unionByName(code(twice, "duplicate_subject", F.concat_ws("/", "task", "version", "subject")))
+    return out.unionByName(code(versions, "several_versions", F.col("task"))).unionByName(code(partial, "partial_task_set", F.col("subject")))

@@ -42,3 +42,9 @@ def test_adapter_as_a_data_source(spark):
     rows = {r["sample_id"]: r for r in d.collect()}
     assert sorted(rows) == [f"s{s}-t{t}" for s in range(5) for t in range(2)] and d.rdd.getNumPartitions() == 3
     assert rows["s2-t1"]["values"] == [[(42 + 34 + 1 + 3 * t) % 23 / 23 for t in range(4)], [(42 + 34 + 1 + 5 * t + 11) % 29 / 29 for t in range(4)]]
+
+
+def test_inventory(spark):
+    rows = [("p1", "a", "v1", "1"), ("p2", "a", "v1", "1"), ("p3", "b", "v1", "1"), ("p4", "a", "v2", "2"), ("p5", "b", "v1", "")]
+    got = {tuple(r) for r in S.inventory_findings(spark.createDataFrame(rows, "path string, task string, version string, subject string")).collect()}
+    assert got == {("unparsable_subject", "p5"), ("duplicate_subject", "a/v1/1"), ("several_versions", "a"), ("partial_task_set", "2")}
