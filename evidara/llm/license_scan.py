@@ -106,7 +106,7 @@ RULES = (
     ("reserved", "proprietary", ("reserved",)),
 )
 #: Every known sentence holds one of these words, so texts without any are not cut up.
-TRIGGERS = ("licen", "permission", "redistribut", "distributed", "reserved", "mpl", "public domain")
+TRIGGERS = ("licen", "permission", "redistribut", "distributed", "reserved", "mpl", "unencumbered", "dedicated")
 
 
 WORD = re.compile("[a-z0-9]+")
