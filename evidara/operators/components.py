@@ -35,8 +35,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """(node, component) for every node of an edge; component is the smallest reachable node.
 
     Null ends and self-loops are ignored, repeated edges count once, an empty table gives
-    an empty table. Every round keeps at most as many edges as it got and only takes minima per node, so a
-    node with very many neighbours is pre-aggregated before its shuffle; each round is
+    an empty table. Every round keeps at most as many edges as it got. Minima per node are pre-aggregated; the joins after them have one row of the
+    minimum for each node, so where a node has very many neighbours Spark can split its rows (skew join). Each round is
     written to the shared folder, which cuts the lineage. Rounds that have not settled after ``max_rounds``
     raise an error, as their components would be wrong."""
     e = (
