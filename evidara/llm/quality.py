@@ -171,25 +171,26 @@ def judged(docs: DataFrame) -> DataFrame:
     columns are ignored, whatever their names."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = t.select("doc_id", "text", words(F.col("text")).alias("ws"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
-    lost = lambda rule: F.aggregate(F.filter("failed", lambda x: x["rule"] == rule), F.lit(0), lambda a, x: a + x["n"]).cast("long")
-    clean = F.array_join(F.transform(F.filter(line_verdicts(F.col("text")), lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")
-    out = t.select(
-        "doc_id",
-        "text",
+    figures = F.struct(
         F.size("ws").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", WS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("ws")).alias("n_repeat_words"),
-        F.filter(line_verdicts(F.col("text")), lambda x: x["rule"].isNotNull()).alias("failed"),
+        line_verdicts(F.col("text")).alias("verdicts"),
         F.size("lines").cast("long").alias("n_lines"),
     )
+    # A generated row: what follows reads the figures, and no filter on them makes them be worked out twice.
+    out = t.select("doc_id", "text", F.explode(F.array(figures)).alias("f")).select("doc_id", "text", "f.*")
+    out = out.select("*", F.filter("verdicts", lambda x: x["rule"].isNotNull()).alias("failed"))
+    lost = lambda rule: F.aggregate(F.filter("failed", lambda x: x["rule"] == rule), F.lit(0), lambda a, x: a + x["n"]).cast("long")
+    clean = F.array_join(F.transform(F.filter("verdicts", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")
     out = out.select("*", F.size("failed").cast("long").alias("n_failed_lines"), *[lost(r).alias(f"{r}_words") for r in ("punctuation", "navigation", "boilerplate")])
     gone = F.col("punctuation_words") + F.col("navigation_words") + F.col("boilerplate_words")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("lost_words", gone).withColumn("base_failed", base)
     kept = ~F.col("base_failed") & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words"))
-    return out.withColumn("kept", kept).withColumn("clean_text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(clean)).drop("failed")
+    return out.withColumn("kept", kept).withColumn("clean_text", F.when(F.col("n_failed_lines") == 0, F.col("text")).otherwise(clean)).drop("failed", "verdicts")
 
 
 def keep_good_documents(docs: DataFrame) -> DataFrame:
