@@ -36,7 +36,7 @@ COUNTED, COUNTERS = 1 << 20, 1 << 15
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket: both bound the memory of a task.
 FLUSH, BUCKET = 600_000, 500_000
 #: Shingles that a task joins in one trie, about; only a single text may be longer.
-LIMIT = 1_200_000
+LIMIT = 800_000
 #: Up to so many ids of candidates (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 NOBODY = np.iinfo(np.int64).min
@@ -531,7 +531,12 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, limit: int
         able = staged(able.dropDuplicates(["doc_id", "d1"]), "candidates")
 
     heads = able.select("doc_id", "n", F.explode("heads").alias("gram"))
-    join = lambda groups: groups.join(able.select("doc_id", "d1", "z"), "doc_id").groupBy("group").applyInArrow(_join_group(k, percent, shared), "u long, v long")
+
+    def join(groups: DataFrame) -> DataFrame:
+        """The links of each group, written before they go on, so that a task that joins has one Python worker."""
+        held = groups.join(able.select("doc_id", "d1", "z"), "doc_id")
+        return staged(held.groupBy("group").applyInArrow(_join_group(k, percent, shared), "u long, v long"), "links")
+
     known = connected_components(join(_pivot_groups(able, heads, limit))).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     known = staged(known, "labels")
     late = join(_late_groups(heads, known, limit))

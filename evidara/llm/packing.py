@@ -176,6 +176,7 @@ def _frequencies(size: int):
                 total[np.unique(np.frombuffer(x.as_buffer(), dtype="<u4"))] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        W.give_back()
 
     return run
 
@@ -290,7 +291,10 @@ def _pack(shared, mean_length: float, window: int):
                 rows.append((ids[i], base[i] + start, n, zlib.crc32(raw[i][4 * start : 4 * (start + n)]), total[i], (shard << 32) + s, offset))
                 offset += n
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)})
+        out = pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)})
+        del units, raw, rows
+        W.give_back()
+        return out
 
     return run
 
@@ -363,6 +367,7 @@ def _leaves(shared, planes):
         for b in batches:
             leaf = planes.value.leaf(directions([np.frombuffer(x.as_buffer(), dtype="<u4") for x in b.column("ids")], shared.value))
             yield b.append_column("leaf", pa.array(leaf, pa.int64()))
+        W.give_back()
 
     return run
 
