@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evidara.llm import embedding_join, html_text, langid, license_scan, mixing, ngram_join, packing, quality, sharding, substring_dedup
+from evidara.llm import conversation_repair, embedding_join, html_text, langid, license_scan, mixing, neighbour_quality, ngram_join, packing, quality, sharding, substring_dedup, token_alignment
 from evidara.llm.session import table
 
 
@@ -23,6 +23,9 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": langid.op9_language_id,
         "op10_embedding_join": embedding_join.op10_embedding_join,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_neighbour_quality": neighbour_quality.op13_neighbour_quality,
         "pipeline": corpus_pipeline.run,
     }
 
