@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from evidara.plans.folding import folded
 from evidara.plans.views import SPACES
 
 #: Special tokens and their ids.
@@ -21,7 +22,7 @@ PAD, BOS, EOS, UNK = range(4)
 
 def norm_split(text: Column) -> Column:
     """The audit form: case folded, white space collapsed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), SPACES, " "))
+    return F.trim(F.regexp_replace(folded(text), SPACES, " "))
 
 
 def fingerprint(text: Column) -> Column:

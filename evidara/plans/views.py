@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidara.plans.folding import duck_sql, spark_sql
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: White space as Python's str.split() sees it, for Java and RE2.
@@ -16,7 +18,7 @@ SPARK = {
     "seconds": lambda x: f"(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {x}) / 1e6)",
     "div": lambda a, b: f"(({a}) div ({b}))",
     "str": lambda x: f"cast({x} as string)",
-    "norm": lambda x: f"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), r'{SPACES}', ' '))",
+    "norm": lambda x: f"trim(regexp_replace({spark_sql(x)}, r'{SPACES}', ' '))",
     "sha": lambda x: f"sha2({x}, 256)",
     "words": lambda x: f"filter(split({x}, r'[\\x20\\x09-\\x0D]+'), w -> w <> '')",
     "drop_fifth": lambda ws, k: f"array_join(filter(transform({ws}, (w, i) -> if((i + {k}) % 5 = 0, '', w)), w -> w <> ''), ' ')",
@@ -32,7 +34,7 @@ DUCK = SPARK | {
     "seconds": lambda x: f"(epoch_us({x}) / 1e6)",
     "div": lambda a, b: f"(({a}) // ({b}))",
     "str": lambda x: f"({x})::VARCHAR",
-    "norm": lambda x: f"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '{SPACES}', ' ', 'g'))",
+    "norm": lambda x: f"trim(regexp_replace({duck_sql(x)}, '{SPACES}', ' ', 'g'))",
     "sha": lambda x: f"sha256({x})",
     "words": lambda x: f"list_filter(string_split_regex({x}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')",
     "drop_fifth": lambda ws, k: f"array_to_string(list_filter({ws}, lambda w, i: (i - 1 + {k}) % 5 <> 0), ' ')",
