@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.operators.intervals import overlap_pairs
+
 COLUMNS = ["code", "severity", "key", "sample_ids", "splits"]
 
 
@@ -34,22 +36,6 @@ def duplicate_and_missing(samples: DataFrame) -> DataFrame:
     return _finding(row(again), "duplicate_sample", "error").unionByName(_finding(row(samples.where("split is null")), "missing_split", "error"))
 
 
-def overlap_pairs(windows: DataFrame, tolerance: float = 0.0, bin_s: float = 86400.0) -> DataFrame:
-    """(recording_id, left_id, right_id, left_split, right_split) of overlapping windows, left before right in (start, id) order.
-
-    Windows are dealt to time bins they touch, so a recording with very many windows is split up; a pair
-    counts in the first bin that both touch."""
-    lo, hi = F.floor(F.col("start_s") / bin_s), F.floor((F.col("end_s") + tolerance) / bin_s)
-    w = windows.select("recording_id", "event_id", "start_s", "end_s", "split", lo.alias("lo"), F.explode(F.sequence(lo, hi)).alias("bin"))
-    left = w.select("recording_id", "bin", *[F.col(c).alias(f"l_{c}") for c in ("event_id", "start_s", "end_s", "split", "lo")])
-    right = w.select("recording_id", "bin", *[F.col(c).alias(f"r_{c}") for c in ("event_id", "start_s", "end_s", "split", "lo")])
-    t = F.lit(tolerance)
-    before = (F.col("l_start_s") < F.col("r_start_s")) | (F.col("l_start_s") == F.col("r_start_s")) & (F.col("l_event_id") < F.col("r_event_id"))
-    j = left.join(right, ["recording_id", "bin"]).where(before & (F.col("l_start_s") < F.col("r_end_s") + t) & (F.col("r_start_s") < F.col("l_end_s") + t))
-    j = j.where(F.col("bin") == F.greatest("l_lo", "r_lo"))
-    return j.select("recording_id", F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), F.col("l_split").alias("left_split"), F.col("r_split").alias("right_split"))
-
-
 def overlap_across_splits(windows: DataFrame, tolerance: float = 0.0) -> DataFrame:
     p = overlap_pairs(windows, tolerance).where("left_split <> right_split")
     ids = F.array(F.col("left_id").cast("string"), F.col("right_id").cast("string"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.operators.audit import overlap_pairs
 from evidara.operators.components import connected_components
-from evidara.operators.intervals import islands
+from evidara.operators.intervals import islands, overlap_pairs
 from evidara.plans.ranks import by_hash
 
 
@@ -16,8 +15,7 @@ def units(windows: DataFrame, key: str | None = None) -> DataFrame:
 
     Components are those of the graph between islands and keys, islands standing for their members."""
     w = islands(windows)
-    first = F.min("event_id").over(Window.partitionBy("recording_id", "island"))
-    w = w.withColumn("head", first)
+    w = w.join(w.groupBy("recording_id", "island").agg(F.min("event_id").alias("head")), ["recording_id", "island"])
     if key is None:
         return w.select("event_id", F.col("head").alias("unit"))
     heads = w.select(F.col(key).alias("key"), "head").distinct()  # a key that very many windows have is counted, not gathered

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidara.operators import audit as A
 from evidara.operators import intervals as I
 from evidara.operators import splits as S
 from evidara.plans.views import view
@@ -26,7 +25,7 @@ _COVER = f"""{_REACH}, cov AS (SELECT recording_id, sum(greatest(0, end_s - grea
 
 @query("interval_overlap_pairs", ("windows",), _PAIRS)
 def interval_overlap_pairs(spark, d):
-    return A.overlap_pairs(windows(spark, d)).where("left_split <> right_split").select("recording_id", "left_id", "right_id")
+    return I.overlap_pairs(windows(spark, d)).where("left_split <> right_split").select("recording_id", "left_id", "right_id")
 
 
 @query("overlap_islands", ("windows",), f"WITH {_ISLANDS} SELECT event_id, island::BIGINT AS island FROM isl")
@@ -40,6 +39,11 @@ def coverage_gaps(spark, d):
     return c.select("recording_id", *[F.round(x, 3).alias(x) for x in ("union_s", "overlap_s", "gap_s")], "gaps", "windows")
 
 
+@query("coverage_gap_list", ("windows",), f"WITH {_REACH} SELECT recording_id, round(reach, 3) AS gap_start_s, round(start_s, 3) AS gap_end_s FROM reach WHERE start_s > reach")
+def coverage_gap_list(spark, d):
+    return I.gaps(windows(spark, d)).select("recording_id", F.round("gap_start_s", 3).alias("gap_start_s"), F.round("gap_end_s", 3).alias("gap_end_s"))
+
+
 @query("assemble_drop_earlier", ("windows",), "SELECT event_id FROM (SELECT event_id, end_s, lead(start_s) OVER (PARTITION BY recording_id ORDER BY start_s, end_s, event_id) AS nxt FROM windows) WHERE nxt IS NULL OR nxt >= end_s")
 def assemble_drop_earlier(spark, d):
     return I.drop_earlier(windows(spark, d)).select("event_id")
