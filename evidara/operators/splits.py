@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.operators.components import connected_components
 from evidara.operators.intervals import islands, overlap_pairs
-from evidara.plans.ranks import by_hash
+from evidara.plans.ranks import by_hash, lowest
+from evidara.plans.storage import staged
 
 
 def units(windows: DataFrame, key: str | None = None) -> DataFrame:
@@ -27,7 +28,11 @@ def units(windows: DataFrame, key: str | None = None) -> DataFrame:
 
 def seeded_rank(df: DataFrame, column: str, seed: str) -> DataFrame:
     """Place of each row in the order of a seeded hash of ``column``, which does not depend on partitions."""
-    return by_hash(df, F.sha2(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")), 256), column)
+    return by_hash(df, _seeded(column, seed), column)
+
+
+def _seeded(column: str, seed: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")), 256)
 
 
 def assign(unit_of: DataFrame, seed: str = "0", validation: float = 0.1, test: float = 0.2) -> DataFrame:
@@ -48,20 +53,21 @@ def leave_one_out(samples: DataFrame, held_out: str, unique_text: bool = False,
     """(sample_id, split): the held-out subject is test, other subjects' texts go to validation and train by text units.
 
     With ``unique_text`` samples of others whose text occurs for the held-out subject are 'excluded'."""
-    samples = samples.drop("split")
+    samples = staged(samples.select("sample_id", "subject_id", "fingerprint"), "fingerprints")  # texts are read once
     mine = F.col("subject_id") == held_out
     test = samples.where(mine).select("sample_id", F.lit("test").alias("split"))
     rest = samples.where(~mine)
     seen = samples.where(mine).select("fingerprint").distinct()
     out = test
     if unique_text:
-        out = out.unionByName(rest.join(seen, "fingerprint", "left_semi").select("sample_id", F.lit("excluded").alias("split")))
-        rest = rest.join(seen, "fingerprint", "left_anti")
+        rest = rest.join(seen.withColumn("seen_", F.lit(True)), "fingerprint", "left")
+        out = out.unionByName(rest.where("seen_").select("sample_id", F.lit("excluded").alias("split")))
+        rest = rest.where("seen_ is null").drop("seen_")
     u = rest.select("fingerprint").distinct()
     n = u.agg(F.count("*").alias("n")).select(F.least(F.greatest(F.lit(1), F.bround(F.col("n") * validation).cast("long")), F.col("n") - 1).alias("v"))
-    ranked = seeded_rank(u, "fingerprint", seed).crossJoin(F.broadcast(n))  # one row of counts
-    split = F.when(F.col("place") <= F.col("v"), "validation").otherwise("train")
-    return out.unionByName(rest.join(ranked.select("fingerprint", split.alias("split")), "fingerprint").select("sample_id", "split"))
+    chosen = lowest(u, _seeded("fingerprint", seed), n, "chosen", "fingerprint")
+    split = F.when(F.col("chosen"), "validation").otherwise("train")
+    return out.unionByName(rest.join(chosen.select("fingerprint", split.alias("split")), "fingerprint").select("sample_id", "split"))
 
 
 def materialize(samples: DataFrame, plan: DataFrame) -> DataFrame:

@@ -40,3 +40,18 @@ def by_number(df: DataFrame, column: str, name: str = "place") -> DataFrame:
         return df.withColumn(name, F.lit(None).cast("long"))
     width = max(1, -(-(high - low + 1) // BUCKETS))
     return ranked(df, F.floor((F.col(column) - low) / width), [column], name)
+
+
+def lowest(df: DataFrame, hexadecimal: Column, n: DataFrame, name: str, *ties: str) -> DataFrame:
+    """``df`` with ``name``, whether a row is one of the first ``n`` (a table of one number) in the order of a hash in hexadecimal.
+
+    Buckets below the one in which the n-th row lies are whole; only the rows of that bucket are ordered."""
+    d = df.withColumn("hash_", hexadecimal).withColumn("bucket_", F.conv(F.substring("hash_", 1, 3), 16, 10).cast("int"))
+    k = d.groupBy("bucket_").agg(F.count("*").alias("n_"))  # BUCKETS rows at most
+    w = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    k = k.select("bucket_", "n_", F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("base_")).crossJoin(F.broadcast(n.toDF("due_")))
+    k = k.select("bucket_", F.when(F.col("base_") + F.col("n_") <= F.col("due_"), True).when(F.col("base_") >= F.col("due_"), False).alias("whole_"), (F.col("due_") - F.col("base_")).alias("left_"))
+    d = d.join(F.broadcast(k), "bucket_")
+    inside = d.where("whole_ is null").withColumn("place_", F.row_number().over(Window.partitionBy("bucket_").orderBy("hash_", *ties)))
+    out = d.where("whole_ is not null").withColumn(name, F.col("whole_")).unionByName(inside.withColumn(name, F.col("place_") <= F.col("left_")).drop("place_"))
+    return out.drop("hash_", "bucket_", "whole_", "left_")
