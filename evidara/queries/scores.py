@@ -61,16 +61,11 @@ _SCORED = f"""q AS (SELECT * FROM vectors WHERE vec_id % 50 = 0), c AS (SELECT *
 
 def scored(spark, d):
     """All candidates of the stated queries (ids divisible by 50) with a positive and a mask."""
-    from pyspark.sql import Window
-
     q, c = query_side(spark, d)
-    n = c.count()
-    s = R.top_k(q, c, n, digits=None).select("q_id", "c_id", F.round("score", 6).alias("score"))
-    lab = view(spark, d, "vectors").select("vec_id", "label")
-    s = s.join(lab.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(lab.select(F.col("vec_id").alias("c_id"), F.col("label").alias("cl")), "c_id")
-    low = F.min(F.when(F.col("ql") == F.col("cl"), F.col("c_id"))).over(Window.partitionBy("q_id"))
+    low = c.groupBy("grp").agg(F.min("id").alias("low")).withColumnRenamed("grp", "ql")
+    q_, c_ = q.select(F.col("id").alias("q_id"), F.col("grp").alias("ql")), c.select(F.col("id").alias("c_id"), F.col("grp").alias("cl"))
+    s = R.top_k(q, c, c.count(), digits=6).select("q_id", "c_id", "score").join(q_.join(low, "ql", "left"), "q_id").join(c_, "c_id")
     same = F.col("ql") == F.col("cl")
-    s = s.withColumn("low", low)
     return s.select("q_id", "c_id", "score", F.coalesce(same & (F.col("c_id") == F.col("low")), F.lit(False)).alias("positive"), ((F.col("c_id") % 3 != 0) | same).alias("allowed"))
 
 
@@ -92,7 +87,9 @@ def candidate_ranking(spark, d):
 
 @query("candidate_ce", ("vectors",), f"WITH {_SCORED} SELECT q_id, round(ln(sum(exp(score / 0.07))) - max(score / 0.07) FILTER (positive), 5) AS ce FROM s WHERE allowed GROUP BY q_id")
 def candidate_ce(spark, d):
-    return R.candidate_ce(scored(spark, d)).select("q_id", F.round("ce", 5).alias("ce"))
+    """The mask of the other candidate queries: ids that three does not divide, and the query's group."""
+    ce = R.candidate_cross_entropy(*query_side(spark, d), allowed=lambda ids, same: (ids % 3 != 0)[None, :] | same)
+    return ce.select("q_id", F.round("ce", 5).alias("ce"))
 
 
 @query("factorized_scores", ("vectors",), f"WITH {_SCORED} SELECT q_id, c_id, round(0.6 * score + 0.3 * (c_id % 11) / 11 + 0.1 * (c_id % 5) / 5, 6) AS total FROM s WHERE allowed")
