@@ -123,15 +123,33 @@ def stream_drop_later(spark, d):
 
 @query("stream_audit", ("samples",), "SELECT 'cross_split_text' AS code, fingerprint AS key, count(DISTINCT split) AS n FROM samples GROUP BY fingerprint HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'duplicate_sample', sample_id, count(*) FROM samples GROUP BY sample_id HAVING count(*) > 1")
 def stream_audit(spark, d):
+    """A document arrives each second; what is known of a text or an id is kept for the lateness of the stream."""
     from evidara.operators.text import fingerprint
 
     docs = W.read_stream(spark, f"{d}/documents.parquet")
     k = F.col("doc_id") % 10
     split = F.when(F.col("doc_id") % 97 == 0, F.lit(None)).when(k <= 6, "train").when(k == 7, "validation").otherwise("test")
-    leaks = W.drain(W.split_leaks(docs.select(fingerprint(F.col("text")).alias("fingerprint"), split.alias("split"))), "complete")
-    again = W.drain(W.repeated_ids(docs.select(F.col("doc_id").cast("string").alias("sample_id"))), "complete")
-    leaks = leaks.select(F.lit("cross_split_text").alias("code"), F.col("fingerprint").alias("key"), F.col("n_splits").cast("long").alias("n"))
-    return leaks.unionByName(again.select(F.lit("duplicate_sample").alias("code"), F.col("sample_id").alias("key"), "n"))
+    docs = docs.select(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("at"), split.alias("split"), fingerprint(F.col("text")).alias("fingerprint"), F.col("doc_id").cast("string").alias("sample_id"))
+    leaks, again = (W.settled(W.drain(W.seen(docs, key))) for key in ("fingerprint", "sample_id"))
+    leaks = leaks.where("n_splits > 1").select(F.lit("cross_split_text").alias("code"), "key", F.col("n_splits").alias("n"))
+    return leaks.unionByName(again.where("n > 1").select(F.lit("duplicate_sample").alias("code"), "key", "n"))
+
+
+_LATE = """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s, value FROM events), w AS (SELECT event_id, user_id, unnest([s - s % 10800, s - s % 10800 - 10800]) AS start_s, value FROM e),
+ m AS (SELECT max(s) FILTER (event_id % 3 <> 0) - 604800 AS first, max(s) - 604800 AS last FROM e), c AS (SELECT w.*, event_id % 3 = 0 AND start_s + 21600 <= first AS late FROM w, m)
+ SELECT CASE WHEN late THEN 'late' ELSE 'chunk' END AS kind, user_id, start_s, count(*) AS n, round(sum(value), 4) AS total FROM c, m WHERE late OR start_s + 21600 <= last GROUP BY ALL"""
+
+
+@query("stream_chunk_late", (), _LATE)
+def stream_chunk_late(spark, d):
+    """Two thirds of the events arrive first, the others after them: those that are behind the watermark then are counted as late."""
+    path = fresh(spark, "arrivals")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", W.instant().alias("at"), "value")
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(path)
+    with W.rocks_db(spark):
+        out = W.drain(W.chunks_and_late(W.read_stream(spark, path, files_per_batch=1)))
+    return out.select("kind", "user_id", "start_s", "n", F.round("total", 4).alias("total"))
 
 
 def generate(cells, function):

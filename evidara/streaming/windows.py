@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evidara.plans.storage import shared_dir
 
@@ -25,15 +28,100 @@ def chunks(samples: DataFrame, duration: str = "6 hours", stride: str = "3 hours
     return g.select("user_id", F.unix_seconds("w.start").alias("start_s"), "n", F.round("total", 4).alias("total"))
 
 
-def split_leaks(samples: DataFrame) -> DataFrame:
-    """(fingerprint, n_splits) of texts that arrive in more than one split: a set of splits per text is the state."""
-    g = samples.where("split is not null").groupBy("fingerprint").agg(F.size(F.collect_set("split")).alias("n_splits"))
-    return g.where("n_splits > 1")
+class Chunks(StatefulProcessor):
+    """The open windows of a user: a count and a sum for each, until the watermark passes its end.
+
+    A row for a window that has been passed is late: it is written as such and changes nothing."""
+
+    def __init__(self, length: int, stride: int):
+        self.length, self.stride = length, stride
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start_s long", "n long, total double")
+
+    def _rows(self, kind: str, key, rows: list) -> pd.DataFrame:
+        return pd.DataFrame([(kind, key[0], *r) for r in rows], columns=["kind", "user_id", "start_s", "n", "total"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs()
+        new: dict = {}
+        for f in rows:
+            for s, value in zip(f["s"].tolist(), f["value"].tolist(), strict=True):
+                first = s - s % self.stride
+                for start in range(first, first - self.length, -self.stride):
+                    n, total = new.get(start, (0, 0.0))
+                    new[start] = n + 1, total + value
+        late = {start: x for start, x in new.items() if (start + self.length) * 1000 <= mark}
+        for start, (n, total) in new.items():
+            if start in late:
+                continue
+            if self.open.containsKey((start,)):
+                m, before = self.open.getValue((start,))
+                n, total = n + m, total + before
+            else:
+                self.handle.registerTimer((start + self.length) * 1000)
+            self.open.updateValue((start,), (n, total))
+        yield self._rows("late", key, [(start, *x) for start, x in sorted(late.items())])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        start = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.length
+        n, total = self.open.getValue((start,))
+        self.open.removeKey((start,))
+        yield self._rows("chunk", key, [(start, n, total)])
+
+    def close(self) -> None:
+        pass
+
+
+def chunks_and_late(samples: DataFrame, length: int = 6 * 3600, stride: int = 3 * 3600) -> DataFrame:
+    """(kind, user_id, start_s, n, total) from a stream (user_id, at, value): 'chunk' for windows (of seconds) that the watermark has closed, 'late' for what came after that.
+
+    Every row counts once for each of its windows: in a chunk, as late, or in the state of a window that is still open. The state of a user is its open windows. Needs the state store of RocksDB."""
+    s = samples.withWatermark("at", LATENESS).select("user_id", F.unix_seconds("at").alias("s"), F.col("value").cast("double").alias("value"))
+    kind = samples.schema["user_id"].dataType.simpleString()
+    return s.groupBy("user_id").transformWithStateInPandas(Chunks(length, stride), f"kind string, user_id {kind}, start_s long, n long, total double", "Append", "EventTime")
+
+
+SEEN = "newest long, n long, splits array<string>"
+
+
+def _seen(key, frames, state):
+    """What has been seen of a key: a row whenever it has come again, or in another split; forgotten when the watermark has passed its last row by the lateness."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    mark = state.getCurrentWatermarkMs()
+    newest, n, splits = state.get if state.exists else (0, 0, [])
+    if newest < mark:  # it would have been forgotten in this batch
+        n, splits = 0, []
+    before = n, len(splits)
+    for f in frames:
+        n += len(f)
+        newest = max(newest, int(f["at_ms"].max()))
+        splits = sorted({*splits, *f["split"].dropna().tolist()})
+    state.update((newest, n, splits))
+    state.setTimeoutTimestamp(max(newest, mark) + 1)
+    if (n, len(splits)) != before and (n > 1 or len(splits) > 1):
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "n_splits": [len(splits)]})
+
+
+def seen(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, n_splits) of keys that come more than once, from a stream (``key``, split, at); a row each time that a key's figures grow, so the last one counts.
+
+    A key is kept until the watermark, LATENESS behind the newest row, has passed its last row: the state holds the keys of the last LATENESS. Late rows are dropped."""
+    k = rows.withWatermark("at", LATENESS).select(F.col(key).alias("key"), F.col("split").cast("string").alias("split"), F.unix_millis("at").alias("at_ms"), "at")
+    return k.groupBy("key").applyInPandasWithState(_seen, "key string, n long, n_splits long", SEEN, "append", "EventTimeTimeout")
+
 
+def first_copies(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """The first row of each id within LATENESS of it."""
+    return samples.withWatermark("at", LATENESS).dropDuplicatesWithinWatermark([key])
 
-def repeated_ids(samples: DataFrame) -> DataFrame:
-    """(sample_id, n) of sample ids that arrive more than once: a count per id is the state."""
-    return samples.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1")
+
+def settled(found: DataFrame) -> DataFrame:
+    """The last word of ``seen`` on each key."""
+    return found.groupBy("key").agg(F.max("n").alias("n"), F.max("n_splits").alias("n_splits"))
 
 
 STATE = "reach double, starts array<double>, ends array<double>, ids array<long>"
@@ -41,8 +129,6 @@ STATE = "reach double, starts array<double>, ends array<double>, ids array<long>
 
 def _released(key, frames, state):
     """Of one recording: windows that began before the watermark are decided in order, the others wait."""
-    import pandas as pd
-
     reach, starts, ends, ids = state.get if state.exists else (float("-inf"), [], [], [])
     rows = list(zip(starts, ends, ids, strict=True))
     for f in frames:
@@ -70,8 +156,8 @@ def drop_later(windows: DataFrame) -> DataFrame:
     return w.applyInPandasWithState(_released, "event_id long", STATE, "append", "EventTimeTimeout")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, and return what it wrote.
+def drain(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run a stream over what is there now, and return what it wrote; ``progress`` gets Spark's report of each batch.
 
     Append streams go to Parquet; others, which revise rows, write each batch whole and the last one counts."""
     spark = stream.sparkSession
@@ -81,12 +167,27 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = writer.format("parquet").option("path", f"{base}/out")
     else:
         writer = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out"))
-    writer.start().awaitTermination()
+    run = writer.start()
+    run.awaitTermination()
+    if progress is not None:
+        progress += run.recentProgress
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+@contextlib.contextmanager
+def rocks_db(spark: SparkSession):
+    """The state store that processors with timers need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
     """The Parquet files at ``path``, a folder or one file, as a stream; a stream takes one file by a pattern only."""
-    folder, _, name = path.rpartition("/")
+    folder, _, name = path.rstrip("/").rpartition("/")
     pattern = f"{folder}/[{name[0]}]{name[1:]}"
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
