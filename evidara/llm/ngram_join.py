@@ -32,11 +32,11 @@ from evidara.plans.storage import staged
 #: more than (all shingles) / MAX_FREQUENT holders. 8 bytes each.
 MAX_FREQUENT = 1 << 20
 #: Shingles that a task meets before it counts them, and counters that it keeps.
-COUNTED, COUNTERS = 1 << 20, 1 << 15
+COUNTED, COUNTERS = 1 << 19, 1 << 15
 #: Shingles that a task gathers before it deals them out, and shingles of a bucket: both bound the memory of a task.
-FLUSH, BUCKET = 600_000, 500_000
+FLUSH, BUCKET = 250_000, 250_000
 #: Shingles that a task joins in one trie, about; only a single text may be longer.
-LIMIT = 800_000
+LIMIT = 500_000
 #: Up to so many ids of candidates (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 NOBODY = np.iinfo(np.int64).min
