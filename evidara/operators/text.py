@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from evidara.plans.folding import folded
 from evidara.plans.views import SPACES
@@ -89,6 +90,15 @@ def decoded(ids: DataFrame, vocab: DataFrame) -> DataFrame:
 
 WORD = re.compile(r"[\w']+")
 
+#: A user's tokenizer: any function of a text column to an array of words.
+Tokenizer = Callable[[Column], Column]
+
+
+def _by_words(predictions: DataFrame, tokenizer: Tokenizer | None, of_texts, of_words) -> Column:
+    """A measure of each pair, over the metric's own words or those of ``tokenizer``."""
+    hyp, ref = F.col("prediction_text"), F.col("reference_text")
+    return of_texts(hyp, ref) if tokenizer is None else of_words(tokenizer(hyp), tokenizer(ref))
+
 
 def edit_distance(a, b) -> int:
     """Levenshtein distance of two strings or lists, a whole row of the table in the bits of one number."""
@@ -153,21 +163,26 @@ def corpus_error_rate(predictions: DataFrame) -> DataFrame:
 ORDERS = 4
 
 
-def _clipped(h: str, r: str) -> list[int]:
+def _clipped(a: list, b: list) -> list[int]:
     """Of each order the n-grams that both have and those of the hypothesis, then both lengths in words."""
-    a, b, out = WORD.findall(h), WORD.findall(r), []
+    out = []
     for n in range(1, ORDERS + 1):
         x, y = Counter(zip(*(a[i:] for i in range(n)))), Counter(zip(*(b[i:] for i in range(n))))  # noqa: B905
         out += [sum((x & y).values()), sum(x.values())]
     return [*out, len(a), len(b)]
 
 
-clipped_ngrams = _pairs(_clipped)
+clipped_ngrams = _pairs(lambda h, r: _clipped(WORD.findall(h), WORD.findall(r)))
 
 
-def corpus_bleu(predictions: DataFrame) -> DataFrame:
+@F.pandas_udf(ArrayType(LongType()))
+def _clipped_words(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or r is None else _clipped(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)])
+
+
+def corpus_bleu(predictions: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Corpus BLEU of effective order per run and control, without smoothing. N-grams are counted within a row, so only ten sums of a row are shuffled."""
-    p = predictions.select("run_id", "control", clipped_ngrams("prediction_text", "reference_text").alias("c"))
+    p = predictions.select("run_id", "control", _by_words(predictions, tokenizer, clipped_ngrams, _clipped_words).alias("c"))
     sums = p.groupBy("run_id", "control").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(2 * ORDERS + 2)])
     pairs = [(F.col(f"c{2 * n}"), F.col(f"c{2 * n + 1}")) for n in range(ORDERS)]
     used = [t > 0 for _, t in pairs]
@@ -224,6 +239,12 @@ def rouge_l_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def rouge_l(predictions: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(run_id, control, sample_id, rouge_l) of each example."""
+    words = tokenizer or metric_words
+    return predictions.select("run_id", "control", "sample_id", rouge_l_f1(words(F.col("prediction_text")), words(F.col("reference_text"))).alias("rouge_l"))
+
+
 #: Rows of the edit table kept apart; the rows between two of them are worked out again on the way back.
 KEPT_ROWS = 256
 
@@ -273,6 +294,17 @@ def word_edit_ops(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_path(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)], columns=["deletions", "insertions", "substitutions"])
 
 
+@F.pandas_udf(BooleanType())
+def repeats_more(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Whether a word comes more than once in the prediction, and more often than in the reference."""
+
+    def one(h, r) -> bool:
+        r = Counter(r)
+        return any(n > 1 and n > r[w] for w, n in Counter(h).items())
+
+    return pd.Series([one(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="bool")
+
+
 #: The error categories.
 CATEGORIES = ("exact", "empty", "omission", "substitution", "repetition", "hallucination")
 
@@ -280,16 +312,14 @@ CATEGORIES = ("exact", "empty", "omission", "substitution", "repetition", "hallu
 def error_categories(predictions: DataFrame) -> DataFrame:
     """(run_id, control, sample_id, category) by rule precedence; word edits decide what the rules leave."""
     p = predictions.select("run_id", "control", "sample_id", metric_words(F.col("prediction_text")).alias("h"), metric_words(F.col("reference_text")).alias("r"))
-    p = p.select("*", word_edit_ops("h", "r").alias("ops"))
+    p = p.select("*", word_edit_ops("h", "r").alias("ops"), repeats_more("h", "r").alias("repeated"))
     d, i, s = F.col("ops.deletions"), F.col("ops.insertions"), F.col("ops.substitutions")
-    times = lambda c, w: F.size(F.filter(c, lambda x: x == w))
-    repeated = F.exists(F.array_distinct("h"), lambda w: (times("h", w) > 1) & (times("h", w) > times("r", w)))
     category = (
         F.when(F.size("h") == 0, "empty")
         .when(F.array_join("h", " ") == F.array_join("r", " "), "exact")
         .when(F.size("r") == 0, "hallucination")
         .when(~F.arrays_overlap("h", "r"), "hallucination")
-        .when(repeated, "repetition")
+        .when(F.col("repeated"), "repetition")
         .when((d > 0) & (i == 0) & (s == 0), "omission")
         .when((i > 0) & (d == 0) & (s == 0), "hallucination")
         .when((s > 0) & (d == 0) & (i == 0), "substitution")
@@ -309,20 +339,40 @@ def taxonomy_summary(categories: DataFrame) -> DataFrame:
     return out.select("run_id", "control", "category", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("rate"))
 
 
-def meteor_unigram(predictions: DataFrame) -> DataFrame:
-    """Greedy exact unigram METEOR per example: the k-th occurrence of a word matches the k-th."""
-    p = predictions.select("run_id", "control", "sample_id", metric_words(F.col("prediction_text")).alias("h"), metric_words(F.col("reference_text")).alias("r"))
-    keys = ["run_id", "control", "sample_id"]
-
-    def side(s: str, pos: str) -> DataFrame:
-        e = p.select(*keys, F.posexplode(s).alias(pos, "w"))
-        return e.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "w").orderBy(pos)))
-
-    m = side("h", "i").join(side("r", "j"), [*keys, "w", "k"])
-    w = Window.partitionBy(*keys).orderBy("i")
-    m = m.withColumn("new", F.when((F.col("i") == F.lag("i").over(w) + 1) & (F.col("j") == F.lag("j").over(w) + 1), 0).otherwise(1))
-    m = m.groupBy(*keys).agg(F.count("*").alias("m"), F.sum("new").alias("chunks"))
-    out = p.join(m, keys, "left").select("*", (F.col("m") / F.size("h")).alias("p"), (F.col("m") / F.size("r")).alias("q"))
-    score = 10 * F.col("p") * F.col("q") / (F.col("q") + 9 * F.col("p")) * (1 - 0.5 * F.pow(F.col("chunks") / F.col("m"), 3))
-    both_empty = (F.size("h") == 0) & (F.size("r") == 0)
-    return out.select(*keys, F.when(both_empty, 1.0).when(F.col("m").isNull(), 0.0).otherwise(score).alias("meteor"))
+def _meteor(h: list, r: list) -> float:
+    """The k-th occurrence of a word on one side matches the k-th on the other, so a row is matched in one pass over positions."""
+    if not h and not r:
+        return 1.0
+    places: dict = {}
+    for j, w in enumerate(r):
+        places.setdefault(w, []).append(j)
+    used: dict = {}
+    m = chunks = 0
+    last = (-2, -2)
+    for i, w in enumerate(h):
+        k = used.get(w, 0)
+        if k < len(places.get(w, ())):
+            used[w], j = k + 1, places[w][k]
+            m += 1
+            chunks += (i, j) != (last[0] + 1, last[1] + 1)
+            last = (i, j)
+    if not m:
+        return 0.0
+    p, q = m / len(h), m / len(r)
+    return 10 * p * q / (q + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
+
+
+@F.pandas_udf(DoubleType())
+def _meteor_texts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or r is None else _meteor(WORD.findall(metric_form(h)), WORD.findall(metric_form(r))) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _meteor_words(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or r is None else _meteor(list(h), list(r)) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+
+
+def meteor_unigram(predictions: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Greedy exact unigram METEOR per example: the k-th occurrence of a word matches the k-th. Nothing is shuffled."""
+    score = _by_words(predictions, tokenizer, _meteor_texts, _meteor_words)
+    return predictions.select("run_id", "control", "sample_id", score.alias("meteor"))

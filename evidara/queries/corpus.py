@@ -108,12 +108,26 @@ def char_edit_distance(spark, d):
     return view(spark, d, "predictions").select("sample_id", "control", T.char_distance(F.col("prediction_text"), F.col("reference_text")).alias("distance"))
 
 
-@query("word_edit_distance")
+#: Words that both sides have become one byte each, others one of two bytes that match nothing: then DuckDB's Levenshtein, which counts bytes, counts words.
+#: Pairs that share more words than there are bytes go through the edit table, a row for each word of the reference.
+DISTANCES = f"""p AS MATERIALIZED (SELECT row_number() OVER () AS id, run_id, control, sample_id, {_NORM('prediction_text')} AS ch, {_NORM('reference_text')} AS cr, {_MWORDS('prediction_text')} AS h, {_MWORDS('reference_text')} AS r FROM predictions),
+ shared AS MATERIALIZED (SELECT *, list_intersect(list_distinct(h), list_distinct(r)) AS t, list_distinct(string_split(ch || cr, '')) AS ct FROM p),
+ far AS MATERIALIZED (SELECT id, list_transform(h, lambda w: list_position(t, w)) AS h, list_transform(r, lambda w: coalesce(list_position(t, w), -1)) AS r FROM shared WHERE len(t) > 124),
+ cells AS (SELECT id, 0 AS i, unnest(range(len(h) + 1)) AS j, unnest(range(len(h) + 1)) AS v FROM far
+  UNION ALL SELECT id, i, j, j + min(least(e, up + 1) - j) OVER (PARTITION BY id ORDER BY j)
+  FROM (SELECT c.id, c.i + 1 AS i, c.j, c.v AS up, lag(c.v) OVER (PARTITION BY c.id ORDER BY c.j) + coalesce(far.h[c.j] <> far.r[c.i + 1], true)::INT AS e FROM cells c JOIN far USING (id) WHERE c.i < len(far.r))),
+ distances AS MATERIALIZED (SELECT s.*, levenshtein({_CHARCODE.format(x='ch').replace('list_position(t,', 'list_position(ct,')}, {_CHARCODE.format(x='cr').replace('list_position(t,', 'list_position(ct,')}) AS cd, CASE WHEN len(t) > 124 THEN v
+   ELSE levenshtein(array_to_string(list_transform(h, lambda w: chr(coalesce(list_position(t, w), 125)::INT)), ''), array_to_string(list_transform(r, lambda w: chr(coalesce(list_position(t, w), 126)::INT)), '')) END AS wd
+  FROM shared s LEFT JOIN (SELECT c.id, c.v FROM cells c JOIN far f USING (id) WHERE c.i = len(f.r) AND c.j = len(f.h)) c USING (id)),
+ rates AS (SELECT run_id, control, CASE WHEN sum(length(cr)) > 0 THEN sum(cd) / sum(length(cr)) WHEN sum(cd) > 0 THEN 1 ELSE 0 END AS cer, CASE WHEN sum(len(r)) > 0 THEN sum(wd) / sum(len(r)) WHEN sum(wd) > 0 THEN 1 ELSE 0 END AS wer, count(*) AS examples FROM distances GROUP BY run_id, control)"""
+
+
+@query("word_edit_distance", ("predictions",), f"WITH RECURSIVE {DISTANCES} SELECT sample_id, control, wd::INT AS distance FROM distances")
 def word_edit_distance(spark, d):
     return view(spark, d, "predictions").select("sample_id", "control", T.word_distance(F.col("prediction_text"), F.col("reference_text")).alias("distance"))
 
 
-@query("corpus_error_rate")
+@query("corpus_error_rate", ("predictions",), f"WITH RECURSIVE {DISTANCES} SELECT run_id, control, round(cer, 6)::DOUBLE AS cer, round(wer, 6)::DOUBLE AS wer, examples FROM rates")
 def corpus_error_rate(spark, d):
     r = T.corpus_error_rate(view(spark, d, "predictions"))
     return r.select("run_id", "control", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"), "examples")
@@ -165,12 +179,36 @@ def word_edit_ops(spark, d):
     return p.select("control", "sample_id", ops.alias("ops")).select("control", "sample_id", "ops.*")
 
 
-@query("error_category")
+#: What the rules before the edit path leave is decided by its counts: going back, a match is preferred, then substitution, deletion, insertion. Pure
+#: deletions are subsequences, and where lengths are equal there are as many deletions as insertions, so few pairs need a path.
+CATEGORIES = f"""p AS MATERIALIZED (SELECT row_number() OVER () AS id, run_id, control, sample_id, {_MWORDS('prediction_text')} AS h, {_MWORDS('reference_text')} AS r FROM predictions),
+ n AS (SELECT id, bool_or(x > 1 AND x > y) AS repeated FROM (SELECT id, w, count(*) FILTER (own) AS x, count(*) FILTER (NOT own) AS y FROM (SELECT id, unnest(h) AS w, true AS own FROM p UNION ALL SELECT id, unnest(r), false FROM p) GROUP BY id, w) GROUP BY id),
+ within AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(h, lambda w: list_position(list_concat(h, r), w)::BIGINT)), lambda pos, w: CASE WHEN pos > len(r) THEN pos ELSE pos + coalesce(nullif(list_position(r[pos + 1:], list_concat(h, r)[w]), 0), 1000000) END) <= len(r) AS deleted,
+   list_reduce(list_prepend(0::BIGINT, list_transform(r, lambda w: list_position(list_concat(h, r), w)::BIGINT)), lambda pos, w: CASE WHEN pos > len(h) THEN pos ELSE pos + coalesce(nullif(list_position(h[pos + 1:], list_concat(h, r)[w]), 0), 1000000) END) <= len(h) AS inserted FROM p),
+ ruled AS MATERIALIZED (SELECT p.*, CASE WHEN len(h) = 0 THEN 'empty' WHEN h = r THEN 'exact' WHEN len(r) = 0 OR len(list_intersect(h, r)) = 0 THEN 'hallucination' WHEN repeated THEN 'repetition'
+   WHEN deleted THEN 'omission' WHEN inserted THEN 'hallucination' WHEN len(h) = len(r) THEN 'substitution' END AS rule FROM p LEFT JOIN n USING (id) LEFT JOIN within USING (id)),
+ k AS MATERIALIZED (SELECT id, list_transform(h, lambda w: list_position(t, w)) AS h, list_transform(r, lambda w: list_position(t, w)) AS r FROM (SELECT *, list_distinct(list_concat(h, r)) AS t FROM ruled WHERE rule IS NULL)),
+ cells AS (SELECT id, 0 AS i, unnest(range(len(h) + 1)) AS j, unnest(range(len(h) + 1)) AS v, 0::BIGINT AS d, unnest(range(len(h) + 1)) AS n, 0::BIGINT AS s FROM k
+  UNION ALL SELECT id, i, j, v, coalesce(d, last_value(d IGNORE NULLS) OVER o), coalesce(n, last_value(n - j IGNORE NULLS) OVER o + j), coalesce(s, last_value(s IGNORE NULLS) OVER o)
+  FROM (SELECT id, i, j, v, CASE WHEN v = e THEN de WHEN v = up + 1 THEN d + 1 END AS d, CASE WHEN v = e THEN ne WHEN v = up + 1 THEN n END AS n, CASE WHEN v = e THEN se + x WHEN v = up + 1 THEN s END AS s
+   FROM (SELECT *, j + min(least(e, up + 1) - j) OVER (PARTITION BY id ORDER BY j) AS v
+    FROM (SELECT c.id, c.i + 1 AS i, c.j, c.v AS up, c.d, c.n, c.s, (k.h[c.j] <> k.r[c.i + 1])::INT AS x, lag(c.v) OVER w + (k.h[c.j] <> k.r[c.i + 1])::INT AS e, lag(c.d) OVER w AS de, lag(c.n) OVER w AS ne, lag(c.s) OVER w AS se
+     FROM cells c JOIN k USING (id) WHERE c.i < len(k.r) WINDOW w AS (PARTITION BY c.id ORDER BY c.j)))) WINDOW o AS (PARTITION BY id ORDER BY j)),
+ paths AS (SELECT id, CASE WHEN d > n AND d > s THEN 'omission' WHEN n > d AND n > s THEN 'hallucination' ELSE 'substitution' END AS path FROM cells JOIN k USING (id) WHERE i = len(k.r) AND j = len(k.h)),
+ categories AS MATERIALIZED (SELECT run_id, control, sample_id, coalesce(rule, path) AS category FROM ruled LEFT JOIN paths USING (id))"""
+
+
+@query("error_category", ("predictions",), f"WITH RECURSIVE {CATEGORIES} SELECT run_id, control, sample_id, category FROM categories")
 def error_category(spark, d):
     return T.error_categories(view(spark, d, "predictions"))
 
 
-@query("error_taxonomy_summary")
+@query(
+    "error_taxonomy_summary",
+    ("predictions",),
+    f"""WITH RECURSIVE {CATEGORIES}, t AS (SELECT run_id, control, count(*) AS total FROM categories GROUP BY run_id, control), c AS (SELECT unnest({list(T.CATEGORIES)}) AS category)
+    SELECT t.run_id, t.control, c.category, count(g.sample_id) AS n, count(g.sample_id) / any_value(total) AS rate FROM t CROSS JOIN c LEFT JOIN categories g ON g.run_id = t.run_id AND g.control = t.control AND g.category = c.category GROUP BY t.run_id, t.control, c.category""",
+)
 def error_taxonomy_summary(spark, d):
     return T.taxonomy_summary(T.error_categories(view(spark, d, "predictions")))
 

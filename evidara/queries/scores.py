@@ -9,6 +9,7 @@ from evidara.operators import evaluation as E
 from evidara.operators import retrieval as R
 from evidara.operators import text as T
 from evidara.plans.views import view
+from evidara.queries.corpus import CATEGORIES, DISTANCES
 from evidara.queries.registry import query
 
 
@@ -248,7 +249,13 @@ def grounding_report(spark, d):
     return g.select("run_id", "metric", "strongest", *[F.round(c, 6).alias(c) for c in ("full", "strongest_value", "gain", "contribution")])
 
 
-@query("evaluate_predictions")
+@query(
+    "evaluate_predictions",
+    ("predictions",),
+    f"""WITH RECURSIVE {DISTANCES}, m AS (SELECT run_id, control, metric, value, examples FROM rates UNPIVOT (value FOR metric IN (cer, wer))), b AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric ORDER BY value, control) AS place FROM m WHERE control <> 'full'),
+    g AS (SELECT f.run_id, f.metric, b.control AS strongest, round(b.value - f.value, 6)::DOUBLE AS gain, round(s.value - f.value, 6)::DOUBLE AS contribution FROM m f JOIN b ON b.run_id = f.run_id AND b.metric = f.metric AND b.place = 1 LEFT JOIN m s ON s.run_id = f.run_id AND s.metric = f.metric AND s.control = 'shuffled' WHERE f.control = 'full')
+    SELECT run_id, control, metric, round(value, 6)::DOUBLE AS value, examples, strongest, gain, contribution, 0::BIGINT AS findings FROM m JOIN g USING (run_id, metric)""",
+)
 def evaluate_predictions(spark, d):
     return evaluated(predictions(spark, d))
 
@@ -263,7 +270,12 @@ def evaluated(p):
     return r.join(n, ["run_id", "control"], "full_outer").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
 
 
-@query("failure_explorer")
+@query(
+    "failure_explorer",
+    ("predictions",),
+    f"""WITH RECURSIVE {CATEGORIES}, v AS (SELECT run_id, sample_id, max(reference_text) FILTER (control = 'full') AS reference, max(prediction_text) FILTER (control = 'full') AS full_text, count(*) FILTER (control <> 'full') AS controls FROM predictions GROUP BY run_id, sample_id)
+    SELECT run_id, sample_id, md5(reference) AS reference, md5(full_text) AS "full", controls::INT AS controls, category FROM v LEFT JOIN (SELECT run_id, sample_id, category FROM categories WHERE control = 'full') USING (run_id, sample_id)""",
+)
 def failure_explorer(spark, d):
     p = predictions(spark, d)
     f = E.failure_explorer(p, T.error_categories(p.where("control = 'full'")))
