@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.plans.ranks import by_value
+from evidara.plans.storage import staged
 
 
 def pairing_findings(p: DataFrame) -> DataFrame:
@@ -39,18 +40,39 @@ def resolved_pairs(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings, good.join(resolved.where("code is null").select("run_id", "control", "sample_id", F.col("reference").alias("reference_text")), ["run_id", "control", "sample_id"])
 
 
+def retrieval_by_control(scores: DataFrame, predictions: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> tuple[DataFrame, DataFrame]:
+    """(findings, metrics) of candidate scores (run_id, control, sample_id, score, positive) that go with predictions.
+
+    Metrics are (run_id, control, metric, value, examples): retrieval_mrr, retrieval_mean_rank and retrieval_recall_at_k; ties get the worst rank. A prediction without
+    scores, scores without a prediction, and a query without exactly one positive are findings and do not count. Controls without any scores have no metrics."""
+    keys = ["run_id", "control", "sample_id"]
+    own = scores.where("positive").groupBy(*keys).agg(F.max("score").alias("own"), F.count("*").alias("positives"))
+    rank = scores.join(own.where("positives = 1"), keys).groupBy(*keys).agg(F.count_if(F.col("score") >= F.col("own")).alias("rank"))
+    asked = scores.select(*keys).distinct()
+    code = lambda df, name: df.select("run_id", "control", F.lit(name).alias("code"), "sample_id")
+    some = predictions.join(scores.select("run_id", "control").distinct(), ["run_id", "control"], "left_semi")
+    found = code(some.join(asked, keys, "left_anti"), "no_scores").unionByName(code(asked.join(predictions, keys, "left_anti"), "no_prediction")).unionByName(code(asked.join(rank, keys, "left_anti"), "bad_positive"))
+    r = rank.join(found.select(*keys).distinct(), keys, "left_anti").groupBy("run_id", "control")
+    cuts = sorted(set(ks))
+    m = r.agg(F.avg(1 / F.col("rank")).alias("retrieval_mrr"), F.avg("rank").alias("retrieval_mean_rank"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"retrieval_recall_at_{k}") for k in cuts], F.count("*").alias("examples"))
+    return found, m.unpivot(["run_id", "control", "examples"], ["retrieval_mrr", "retrieval_mean_rank", *[f"retrieval_recall_at_{k}" for k in cuts]], "metric", "value")
+
+
 def control_aggregate(metrics: DataFrame) -> DataFrame:
     """Per control and metric the example-weighted mean over the rows that have it, runs and examples."""
     return metrics.groupBy("control", "metric").agg((F.sum(F.col("value") * F.col("examples")) / F.sum("examples")).alias("value"), F.count_distinct("run_id").alias("runs"), F.sum("examples").alias("examples"))
 
 
-def lower_is_better(metric: Column) -> Column:
-    return metric.rlike("(cer|wer)$") | (metric == "retrieval_mean_rank")
+def lower_is_better(metric: Column, directions: dict[str, bool] | None = None) -> Column:
+    """Whether less of a metric is better: as ``directions`` (name to whether more is better) say, else by its name."""
+    by_name = metric.rlike("(cer|wer)$") | (metric == "retrieval_mean_rank")
+    told = directions or {}
+    return F.when(metric.isin([k for k, v in told.items() if not v]), True).when(metric.isin([k for k, v in told.items() if v]), False).otherwise(by_name) if told else by_name
 
 
-def grounding(metrics: DataFrame) -> DataFrame:
+def grounding(metrics: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
     """(run_id, metric, full, strongest, strongest_value, gain, contribution): the full condition against its strongest control and against shuffled."""
-    sign = F.when(lower_is_better(F.col("metric")), -1.0).otherwise(1.0)
+    sign = F.when(lower_is_better(F.col("metric"), directions), -1.0).otherwise(1.0)
     m = metrics.withColumn("signed", sign * F.col("value"))
     full = m.where("control = 'full'").select("run_id", "metric", F.col("value").alias("full"), F.col("signed").alias("fs"))
     w = Window.partitionBy("run_id", "metric").orderBy(F.desc("signed"), "control")
@@ -94,7 +116,7 @@ def risk_coverage(c: DataFrame) -> DataFrame:
 
 def cluster_bootstrap(scores: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: str = "boot") -> DataFrame:
     """Mean of the cluster means, and a percentile interval over seeded resamples of clusters with replacement."""
-    m = scores.groupBy("cluster").agg(F.avg("score").alias("m"))
+    m = staged(scores.groupBy("cluster").agg(F.avg("score").alias("m")), "clusters")  # the scores are read once
     m = by_value(m, "cluster", "i").withColumn("i", (F.col("i") - 1).cast("long"))
     n = m.agg(F.count("*").alias("n"), F.avg("m").alias("estimate"))
     spark = scores.sparkSession
@@ -106,6 +128,21 @@ def cluster_bootstrap(scores: DataFrame, resamples: int = 200, confidence: float
     return n.crossJoin(ci).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.col("n").alias("clusters"))  # one row each
 
 
+def subject_bootstrap(scores: DataFrame, subject: str = "subject_id", **how) -> DataFrame:
+    """Every subject counts alike; (unit, estimate, low, high, clusters)."""
+    return _of_unit(scores, subject, "subject", how)
+
+
+def stimulus_bootstrap(scores: DataFrame, stimulus: str = "stimulus_id", **how) -> DataFrame:
+    """Every stimulus (a text, an item) counts alike; (unit, estimate, low, high, clusters)."""
+    return _of_unit(scores, stimulus, "stimulus", how)
+
+
+def _of_unit(scores: DataFrame, column: str, unit: str, how: dict) -> DataFrame:
+    s = scores.where(F.col(column).isNotNull() & F.col("score").isNotNull()).select(F.col(column).alias("cluster"), "score")
+    return cluster_bootstrap(s, **how).select(F.lit(unit).alias("unit"), "*")
+
+
 def paired_permutation(diffs: DataFrame, permutations: int = 500, seed: str = "perm", exact_up_to: int = 16) -> DataFrame:
     """(n, observed, p_greater, p_two_sided) of paired differences (pair, diff): all sign vectors for few pairs, else seeded draws."""
     spark = diffs.sparkSession
@@ -125,11 +162,11 @@ def paired_permutation(diffs: DataFrame, permutations: int = 500, seed: str = "p
     return k.select(F.lit(n).cast("long").alias("n"), "observed", p("g").alias("p_greater"), p("t").alias("p_two_sided"))
 
 
-def occlusion_drop(scores: DataFrame) -> DataFrame:
+def occlusion_drop(scores: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
     """(metric, variant, drop, mean_drop): baseline minus score, turned round where lower is better."""
     base = scores.where("variant = 'baseline'").select("metric", F.col("value").alias("b"))
     s = scores.where("variant <> 'baseline'").join(base, "metric")
-    drop = F.when(lower_is_better(F.col("metric")), F.col("value") - F.col("b")).otherwise(F.col("b") - F.col("value"))
+    drop = F.when(lower_is_better(F.col("metric"), directions), F.col("value") - F.col("b")).otherwise(F.col("b") - F.col("value"))
     s = s.select("metric", "variant", drop.alias("drop"))
     return s.withColumn("mean_drop", F.avg("drop").over(Window.partitionBy("metric")))
 
@@ -164,10 +201,10 @@ def multiseed_findings(results: DataFrame, planned: DataFrame, expected: DataFra
     )
 
 
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
     """(metric, delta, code) of two runs' metrics: right minus left, positive is better; metrics that one lacks are findings."""
     j = left.select("metric", F.col("value").alias("l")).join(right.select("metric", F.col("value").alias("r")), "metric", "full_outer")
-    delta = F.when(lower_is_better(F.col("metric")), F.col("l") - F.col("r")).otherwise(F.col("r") - F.col("l"))
+    delta = F.when(lower_is_better(F.col("metric"), directions), F.col("l") - F.col("r")).otherwise(F.col("r") - F.col("l"))
     return j.select("metric", delta.alias("delta"), F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").alias("code"))
 
 
@@ -239,7 +276,9 @@ def failure_explorer(p: DataFrame, categories: DataFrame) -> DataFrame:
     return by.join(categories.where("control = 'full'").select("run_id", "sample_id", "category"), ["run_id", "sample_id"], "left")
 
 
-FORBIDDEN = "(target|label|gold|oracle|reference|stimulus_text)"
+#: Parts of names that give the answer away.
+FORBIDDEN_PARTS = ("target", "label", "gold", "oracle", "reference", "stimulus_text")
+FORBIDDEN = f"({'|'.join(FORBIDDEN_PARTS)})"
 
 
 def evidence_schema(catalog: DataFrame) -> DataFrame:

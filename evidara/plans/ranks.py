@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.plans.slices import sliced
+
 #: Buckets of the first step: so many rows at most are ordered in one task to get their bases.
 BUCKETS = 4096
 
@@ -26,11 +28,19 @@ def by_hash(df: DataFrame, hexadecimal: Column, *ties: str, name: str = "place")
     return ranked(df.withColumn("hash_", hexadecimal), F.conv(F.substring("hash_", 1, 3), 16, 10), ["hash_", *ties], name).drop("hash_")
 
 
+#: So many rows are ordered in one task.
+FEW = 1 << 16
+
+
 def by_value(df: DataFrame, column: str, name: str = "place") -> DataFrame:
-    """Places in the order of a column: in two steps for whole numbers; other values are sorted in one task."""
-    if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return by_number(df, column, name)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(column)))
+    """Places in the order of a column of any kind; a table of more than FEW rows is cut into slices by range first."""
+    if df.count() <= FEW:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(column)))
+    d = sliced(df, [column])
+    n = d.groupBy("slice").agg(F.count("*").alias("n_"))
+    n = n.select("slice", F.coalesce(F.sum("n_").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    inside = F.row_number().over(Window.partitionBy("slice").orderBy(column))
+    return d.join(F.broadcast(n), "slice").withColumn(name, F.col("base_") + inside).drop("slice", "base_")  # a row for each slice
 
 
 def by_number(df: DataFrame, column: str, name: str = "place") -> DataFrame:

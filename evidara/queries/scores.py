@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from evidara.operators import checks as C
 from evidara.operators import evaluation as E
 from evidara.operators import retrieval as R
+from evidara.operators import suites as U
 from evidara.operators import text as T
+from evidara.plans.storage import staged
 from evidara.plans.views import view
 from evidara.queries.corpus import CATEGORIES, DISTANCES
 from evidara.queries.registry import query
@@ -182,7 +184,19 @@ def ridge_predict(spark, d):
     return R.ridge_predict(t, ["q"], R.ridge(t, ["q"], "y", 0.1)).groupBy("l_suppkey").agg(F.round(F.avg("predicted"), 2).alias("predicted"))
 
 
-@query("score_weight_fit")
+_W = "w AS (SELECT l_quantity::DOUBLE / 50 AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_extendedprice::DOUBLE / 100000 AS y FROM lineitem), g AS (SELECT sum(a * a) + 1e-4 AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) + 1e-4 AS bb, sum(b * c) AS bc, sum(c * c) + 1e-4 AS cc, sum(a * y) AS ay, sum(b * y) AS \"by\", sum(c * y) AS cy FROM w)"
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_COLUMNS = (("aa", "ab", "ac"), ("ab", "bb", "bc"), ("ac", "bc", "cc"))
+_RIGHT = ("ay", '"by"', "cy")
+
+
+def _cramer(k: int) -> str:
+    """The k-th solution of the normal equations by determinants."""
+    cells = [[_RIGHT[i] if j == k else _COLUMNS[i][j] for j in range(3)] for i in range(3)]
+    return f"round({_DET.format(*sum(cells, []))} / {_DET.format(*sum(_COLUMNS, ()))}, 6)"
+
+
+@query("score_weight_fit", (), f"WITH {_W} SELECT {_cramer(0)} AS neural, {_cramer(1)} AS lm, {_cramer(2)} AS length FROM g")
 def score_weight_fit(spark, d):
     t = table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 50).alias("a"), F.col("l_discount").cast("double").alias("b"), F.col("l_tax").cast("double").alias("c"), (F.col("l_extendedprice").cast("double") / 100000).alias("y"))
     w = R.ridge(t, ["a", "b", "c"], "y", 1e-4, intercept=False)
@@ -260,16 +274,62 @@ def evaluate_predictions(spark, d):
     return evaluated(predictions(spark, d))
 
 
-def evaluated(p):
-    """Scores and grounding over paired samples with one reference, with the number of findings of each run and control."""
-    findings, p = E.resolved_pairs(p)
+def evaluated(p, retrieval=None, ks=(1, 5, 10)):
+    """Scores and grounding over paired samples with one reference, with the number of findings of each run and control; retrieval metrics where candidate scores are given."""
+    findings, p = E.resolved_pairs(staged(p, "predictions"))
+    findings, p = staged(findings, "findings"), staged(p, "pairs")  # each is read several times
     r = T.corpus_error_rate(p).unpivot(["run_id", "control", "examples"], ["cer", "wer"], "metric", "value")
+    if retrieval is not None:
+        more, found = E.retrieval_by_control(retrieval, p, ks)
+        findings, r = findings.unionByName(more), r.unionByName(found.select(r.columns))
+    r = staged(r, "metrics")
     g = E.grounding(r).select("run_id", "metric", "strongest", F.round("gain", 6).alias("gain"), F.round("contribution", 6).alias("contribution"))
     r = r.select("run_id", "control", "metric", F.round("value", 6).alias("value"), "examples").join(g, ["run_id", "metric"])
     n = findings.groupBy("run_id", "control").agg(F.count("*").alias("findings"))
     return r.join(n, ["run_id", "control"], "full_outer").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
 
 
+_CANDIDATES = """c AS (SELECT run_id, control, sample_id, i AS c_id, round(('0x' || substr(sha256(concat_ws(':', sample_id, control, i::VARCHAR)), 1, 8))::BIGINT % 1000 / 1000 + CASE WHEN control = 'full' AND i = length(sample_id) % 10 THEN 0.4 ELSE 0 END, 3) AS score, i = length(sample_id) % 10 AS positive
+  FROM predictions, (SELECT unnest(range(10)) AS i) WHERE control <> 'length'),
+ k AS (SELECT c.run_id, c.control, c.sample_id, count(*) FILTER (c.score >= p.score) AS rank FROM c JOIN c p ON p.run_id = c.run_id AND p.control = c.control AND p.sample_id = c.sample_id AND p.positive GROUP BY ALL),
+ t AS (SELECT run_id, control, avg(1 / rank) AS retrieval_mrr, avg(rank) AS retrieval_mean_rank, avg((rank <= 1)::INT) AS retrieval_recall_at_1, avg((rank <= 5)::INT) AS retrieval_recall_at_5, count(*) AS examples FROM k GROUP BY run_id, control)"""
+
+
+@query(
+    "evaluate_retrieval",
+    ("predictions",),
+    f"""WITH {_CANDIDATES}, m AS (SELECT run_id, control, metric, value, examples FROM t UNPIVOT (value FOR metric IN (retrieval_mrr, retrieval_mean_rank, retrieval_recall_at_1, retrieval_recall_at_5))), s AS (SELECT *, CASE WHEN metric = 'retrieval_mean_rank' THEN -value ELSE value END AS signed FROM m),
+    b AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric ORDER BY signed DESC, control) AS place FROM s WHERE control <> 'full'),
+    g AS (SELECT f.run_id, f.metric, b.control AS strongest, round(f.signed - b.signed, 6) AS gain, round(f.signed - h.signed, 6) AS contribution FROM s f JOIN b ON b.run_id = f.run_id AND b.metric = f.metric AND b.place = 1 JOIN s h ON h.run_id = f.run_id AND h.metric = f.metric AND h.control = 'shuffled' WHERE f.control = 'full')
+    SELECT m.run_id, control, metric, round(value, 6) AS value, examples, strongest, gain, contribution, 0::BIGINT AS findings FROM m JOIN g USING (run_id, metric)""",
+)
+def evaluate_retrieval(spark, d):
+    """The retrieval part of an evaluation: ten scored candidates for each prediction, of every control but one."""
+    p = predictions(spark, d)
+    hashed = F.conv(F.substring(F.sha2(F.concat_ws(":", "sample_id", "control", F.col("c_id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    c = p.where("control <> 'length'").select("run_id", "control", "sample_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("c_id")).withColumn("positive", F.col("c_id") == F.length("sample_id") % 10)
+    c = c.withColumn("score", F.round(hashed % 1000 / 1000 + F.when((F.col("control") == "full") & F.col("positive"), 0.4).otherwise(0), 3))
+    return evaluated(p, c, ks=(1, 5)).where("metric like 'retrieval%'")
+
+
+_USER = """u AS (SELECT run_id, control, avg((prediction_text = reference_text)::INT) AS exact, sum(abs(length(prediction_text) - length(reference_text))) / sum(length(reference_text)) AS length_gap, count(*) AS examples FROM predictions GROUP BY run_id, control),
+ m AS (SELECT run_id, control, metric, value, examples FROM u UNPIVOT (value FOR metric IN (exact, length_gap)))"""
+
+
+@query(
+    "user_metrics",
+    ("predictions",),
+    f"""WITH {_USER}, s AS (SELECT *, CASE WHEN metric = 'length_gap' THEN -value ELSE value END AS signed FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric ORDER BY signed DESC, control) AS place FROM s WHERE control <> 'full')
+    SELECT m.run_id, m.control, m.metric, round(m.value, 6)::DOUBLE AS value, m.examples, b.control AS strongest, round(f.signed - b.signed, 6)::DOUBLE AS gain FROM m JOIN s f ON f.run_id = m.run_id AND f.metric = m.metric AND f.control = 'full' JOIN b ON b.run_id = m.run_id AND b.metric = m.metric AND b.place = 1""",
+)
+def user_metrics(spark, d):
+    """Two metrics of a user, one of which is better when it is less, which its name does not tell."""
+    ms = [U.Metric("exact", lambda h, r: [h == r]), U.Metric("length_gap", lambda h, r: [abs(len(h) - len(r)), len(r)], lambda s, n: s[0] / s[1] if s[1] else 0.0, width=2, higher_is_better=False)]
+    s = U.scores(predictions(spark, d), ms)
+    g = E.grounding(s, U.directions(ms)).select("run_id", "metric", "strongest", F.round("gain", 6).alias("gain"))
+    return s.select("run_id", "control", "metric", F.round("value", 6).alias("value"), "examples").join(g, ["run_id", "metric"])
+
+
 @query(
     "failure_explorer",
     ("predictions",),
@@ -330,6 +390,24 @@ def cluster_bootstrap(spark, d):
     return b.select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "clusters")
 
 
+_UNIT_SQL = "WITH s AS (SELECT {column} AS cluster, quality::DOUBLE AS score FROM labels JOIN samples ON idx = doc_id), {boot}"
+
+
+@query("subject_bootstrap", ("samples",), "SELECT 'subject' AS unit, * FROM (" + _UNIT_SQL.format(column="subject_id", boot=_BOOT) + ") WHERE clusters > 0")
+def subject_bootstrap(spark, d):
+    return of_unit(spark, d, E.subject_bootstrap, "subject_id")
+
+
+@query("stimulus_bootstrap", ("samples",), "SELECT 'stimulus' AS unit, * FROM (" + _UNIT_SQL.format(column="fingerprint", boot=_BOOT) + ") WHERE clusters > 0")
+def stimulus_bootstrap(spark, d):
+    return of_unit(spark, d, E.stimulus_bootstrap, "fingerprint")
+
+
+def of_unit(spark, d, bootstrap, column):
+    s = view(spark, d, "samples").join(table(spark, d, "labels"), F.col("idx") == F.col("doc_id")).select(column, F.col("quality").cast("double").alias("score"))
+    return bootstrap(s, **{"subject": column} if column == "subject_id" else {"stimulus": column}).select("unit", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "clusters")
+
+
 @query(
     "paired_permutation",
     (),

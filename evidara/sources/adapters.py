@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = "sample_id string, subject_id string, session_id string, text string, start_s double, end_s double, values array<array<double>>"
 
@@ -13,9 +13,9 @@ SCHEMA = "sample_id string, subject_id string, session_id string, text string, s
 class Subjects(InputPartition):
     """The subjects that one task reads."""
 
-    def __init__(self, first: int, last: int):
-        super().__init__(first)
-        self.first, self.last = first, last
+    def __init__(self, subjects: list[int]):
+        super().__init__(tuple(subjects))
+        self.subjects = subjects
 
 
 class Adapter(DataSource):
@@ -29,21 +29,35 @@ class Adapter(DataSource):
     def samples(self, subject: int) -> Iterator[tuple]:
         raise NotImplementedError
 
+    def subject_id(self, subject: int) -> str:
+        """The id that the samples of a subject carry."""
+        return f"s{subject}"
+
     def reader(self, schema) -> DataSourceReader:
         return Reader(self)
 
 
 class Reader(DataSourceReader):
+    """Filters on subject_id choose the subjects before any is read; Spark applies all other filters itself."""
+
     def __init__(self, adapter: Adapter):
         self.adapter = adapter
+        self.subjects = list(range(int(adapter.options.get("subjects", 1))))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("subject_id",):
+                asked = set(f.value) if isinstance(f, In) else {f.value}
+                self.subjects = [i for i in self.subjects if self.adapter.subject_id(i) in asked]
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        n, parts = int(self.adapter.options.get("subjects", 1)), int(self.adapter.options.get("partitions", 8))
-        step = max(1, -(-n // parts))
-        return [Subjects(i, min(n, i + step)) for i in range(0, n, step)]
+        step = max(1, -(-len(self.subjects) // int(self.adapter.options.get("partitions", 8))))
+        return [Subjects(self.subjects[i : i + step]) for i in range(0, len(self.subjects), step)] or [Subjects([])]
 
     def read(self, partition: Subjects) -> Iterator[tuple]:
-        for subject in range(partition.first, partition.last):
+        for subject in partition.subjects:
             yield from self.adapter.samples(subject)
 
 
@@ -63,6 +77,7 @@ class SyntheticAdapter(Adapter):
 
 
 def read(spark: SparkSession, adapter: type[Adapter], **options) -> DataFrame:
-    """The samples of an adapter, which is registered with the session under its name."""
+    """The samples of an adapter, which is registered with the session under its name. Filters reach its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(adapter)
     return spark.read.format(adapter.name()).options(**options).load()

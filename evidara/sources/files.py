@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidara.plans.storage import staged
+
 SAMPLE_SCHEMA = (
     "sample_id string, dataset_id string, subject_id string, modality string, split string, session_id string, run_id string, trial_id string, task string, "
     "group_ids array<string>, metadata map<string,string>, signal struct<uri:string,recording_id:string,array_key:string,checksum_sha256:string,sampling_rate_hz:double,channel_count:int,channel_names:array<string>>, "
@@ -13,26 +15,46 @@ SAMPLE_SCHEMA = (
 PREDICTION_SCHEMA = "run_id string, sample_id string, control string, prediction_text string, reference_text string, target_free boolean, evidence_score double"
 
 
-def _lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    return spark.read.text(paths).where(F.trim("value") != "")
+def _classified(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(value, path, place, what, s): every non-blank line is a 'header', a 'sample' with its fields in ``s``, or the code of a finding.
+
+    ``place`` orders the lines of a part of a file; its first part begins at 0."""
+    t = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("place"))
+    t = t.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    t = t.withColumn("s", F.from_json("value", SAMPLE_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})).withColumn("kind", F.get_json_object("value", "$.kind"))
+    what = (
+        F.when(F.coalesce(F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))), F.lit(0)) != 1, "invalid_json")  # nothing may stand behind the value
+        .when(~F.col("value").rlike(r"^\s*\{"), "not_an_object")
+        .when(F.col("kind") == "manifest", "header")
+        .when(F.col("kind").isNotNull(), "unknown_kind")
+        .when(F.col("s._corrupt").isNotNull(), "wrong_type")
+        .when(F.trim(F.coalesce("s.sample_id", F.lit(""))) == "", "missing_sample_id")
+        .otherwise("sample")
+    )
+    return t.withColumn("what", what)
 
 
 def read_manifest(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Sample rows of JSONL manifests; header lines (those with ``kind``) and blank lines are left out, defaults filled in."""
-    t = _lines(spark, paths).where(F.get_json_object("value", "$.kind").isNull() & F.col("value").rlike(r"^\s*\{"))
-    s = t.select(F.from_json("value", SAMPLE_SCHEMA).alias("s")).select("s.*")
+    """Sample rows of JSONL manifests, defaults filled in; headers and blank lines are left out, and what is neither is one of ``manifest_findings``."""
+    s = _classified(spark, paths).where("what = 'sample'").select("s.*").drop("_corrupt")
     target = F.when(F.col("target").isNotNull(), F.col("target").withField("language", F.coalesce("target.language", F.lit("en"))))
-    return s.withColumn("target", target).withColumn("task", F.coalesce("task", F.lit("unknown"))).where("sample_id is not null")
+    return s.withColumn("target", target).withColumn("task", F.coalesce("task", F.lit("unknown")))
 
 
 def manifest_findings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(code, key): lines that are no object, samples without an id, repeated ids, several datasets."""
-    t = _lines(spark, paths)
-    bad = t.where(~F.col("value").rlike(r"^\s*\{")).select(F.lit("not_an_object").alias("code"), F.md5("value").alias("key"))
-    s = read_manifest(spark, paths)
-    again = s.groupBy("sample_id").count().where("count > 1").select(F.lit("duplicate_sample").alias("code"), F.col("sample_id").alias("key"))
-    sets = s.select("dataset_id").distinct().agg(F.count("*").alias("n")).where("n > 1").select(F.lit("several_datasets").alias("code"), F.lit("").alias("key"))
-    return bad.unionByName(again).unionByName(sets)
+    """(code, key): lines that are no header and no sample (invalid JSON, no object, an unknown kind, a field of a wrong type, no sample id), a header that is missing or stands
+    behind other lines of its file, repeated ids, several datasets."""
+    t = _classified(spark, paths)
+    code = lambda df, name, key: df.select(F.lit(name).alias("code"), key.alias("key"))
+    bad = t.where(~F.col("what").isin("header", "sample")).select(F.col("what").alias("code"), F.md5("value").alias("key"))
+    first = t.groupBy("path").agg(F.min(F.struct("part", "place")).alias("first"))
+    late = t.where("what = 'header'").join(first, "path").where(F.col("first") < F.struct("part", "place"))
+    none = t.agg(F.count_if(F.col("what") == "header").alias("n")).where("n = 0")
+    s = t.where("what = 'sample'").select("s.sample_id", "s.dataset_id")
+    again = s.groupBy("sample_id").count().where("count > 1")
+    sets = s.select("dataset_id").distinct().agg(F.count("*").alias("n")).where("n > 1")
+    out = bad.unionByName(code(late, "header_not_first", F.col("path"))).unionByName(code(none, "missing_header", F.lit("")))
+    return out.unionByName(code(again, "duplicate_sample", F.col("sample_id"))).unionByName(code(sets, "several_datasets", F.lit("")))
 
 
 def write_manifest(samples: DataFrame, path: str, dataset_id: str) -> None:
@@ -99,6 +121,25 @@ def table_digest(df: DataFrame, row: Column, key: str) -> DataFrame:
     return h.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
 
 
+def tree_digest(df: DataFrame, row: Column, key: str, leaf: int = 4096) -> DataFrame:
+    """(key, n, digest): one digest of each key's rows whatever their order, from a tree over the first digits of the row hashes.
+
+    A leaf holds the rows of a key that share so many digits that ``leaf`` rows would be there if the largest key's hashes were even; its digest is that of its sorted hashes, and a
+    node's that of its children's digests in order, sixteen at most. So no task gathers more than a leaf, however many rows there are. Rows that
+    repeat are counted in the leaf, not listed."""
+    h = df.select(F.col(key).alias("key"), F.sha2(row, 256).alias("h")).groupBy("key", "h").agg(F.count("*").alias("copies"))
+    h = staged(h, "hashes")
+    most = h.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = 0
+    while most > leaf * 16**digits:
+        digits += 1
+    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ","), 256)
+    t = h.select("key", F.col("h").alias("p"), F.concat_ws(":", "h", F.col("copies").cast("string")).alias("d"), F.col("copies").alias("n"))
+    for size in range(digits, -1, -1):
+        t = t.groupBy("key", F.substring("p", 1, size).alias("q")).agg(node.alias("d"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return t.select(F.col("key").alias(key), "n", F.col("d").alias("digest"))
+
+
 def inventory_findings(files: DataFrame) -> DataFrame:
     """(code, key) of a listing (path, task, version, subject): paths without a subject, subjects that a task has twice in a version, tasks with several versions,
     and subjects that lack a task which others have."""

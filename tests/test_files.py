@@ -48,3 +48,51 @@ def test_inventory(spark):
     rows = [("p1", "a", "v1", "1"), ("p2", "a", "v1", "1"), ("p3", "b", "v1", "1"), ("p4", "a", "v2", "2"), ("p5", "b", "v1", "")]
     got = {tuple(r) for r in S.inventory_findings(spark.createDataFrame(rows, "path string, task string, version string, subject string")).collect()}
     assert got == {("unparsable_subject", "p5"), ("duplicate_subject", "a/v1/1"), ("several_versions", "a"), ("partial_task_set", "2")}
+
+
+def test_every_line_of_a_manifest(spark, tmp_path):
+    """Broken objects, rows without an id and rows of a wrong type are findings; no line vanishes."""
+    a, b, none = tmp_path / "a.jsonl", tmp_path / "b.jsonl", tmp_path / "none.jsonl"
+    a.write_text('\n{"kind": "manifest"}\n{"sample_id": "a"}\n{"sample_id": "b", "interval": "soon"}\n{"sample_id": "c"\n{"text": "x"}\n{"sample_id": " "}\n"text"\n{"kind": "list"}\n \t \n{"sample_id": "e"} tail\n')
+    b.write_text('{"sample_id": "d", "dataset_id": "x"}\n{"kind": "manifest"}\n')
+    none.write_text('{"sample_id": "f"}\n')
+    both = [str(a), str(b)]
+    codes = sorted(r["code"] for r in S.manifest_findings(spark, both).collect())
+    assert codes == sorted(["wrong_type", "invalid_json", "invalid_json", "missing_sample_id", "missing_sample_id", "not_an_object", "unknown_kind", "header_not_first", "several_datasets"])
+    assert sorted(r["sample_id"] for r in S.read_manifest(spark, both).collect()) == ["a", "d"]
+    lines = [x for f in (a, b) for x in f.read_text().splitlines() if x.strip()]
+    assert len(lines) == 2 + 2 + len(codes) - 2  # headers, samples, findings of a line
+    assert [r["code"] for r in S.manifest_findings(spark, str(none)).collect()] == ["missing_header"]
+
+
+def test_tree_digest(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"k{i % 2}", f"v{i}") for i in range(500)] + [("k0", "again")] * 300
+    d = spark.createDataFrame(rows, "k string, v string")
+    digest = lambda df, leaf: {r["k"]: (r["n"], r["digest"]) for r in S.tree_digest(df, F.col("v"), "k", leaf).collect()}
+    one = digest(d, 4)
+    assert one == digest(d.repartition(7), 4) and one["k0"][0] == 550 and one["k1"][0] == 250
+    less = spark.createDataFrame(rows[:-1], d.schema)
+    assert digest(less, 4)["k0"] != one["k0"] and digest(less, 4)["k1"] == one["k1"]
+    other = d.withColumn("v", F.when(F.col("v") == "v7", "v8").otherwise(F.col("v")))
+    assert digest(other, 4)["k1"] != one["k1"] and digest(other, 4)["k0"] == one["k0"]
+    assert digest(d.where("false"), 4) == {}
+
+
+def test_adapter_reads_the_subjects_that_are_asked_for(spark, tmp_path):
+    from evidara.sources import adapters
+
+    class Counted(adapters.SyntheticAdapter):
+        @classmethod
+        def name(cls):
+            return "counted_signals"
+
+        def samples(self, subject):
+            (tmp_path / f"read-{subject}").touch()
+            yield from super().samples(subject)
+
+    d = adapters.read(spark, Counted, subjects=40, partitions=8, trials=2, steps=4)
+    assert sorted(r["sample_id"] for r in d.where("subject_id in ('s3', 's17') and start_s > 0").collect()) == ["s17-t1", "s3-t1"]
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["read-17", "read-3"]
+    assert d.where("subject_id = 's5'").count() == 2 and d.where("subject_id = 'nobody'").count() == 0 and d.count() == 80
