@@ -204,10 +204,11 @@ def overlap_pairs(windows: DataFrame, tolerance: float = 0.0) -> DataFrame:
     names = ("recording_id", "event_id", "start_s", "end_s", "split")
     times = {c: F.col(c).cast("double") for c in ("start_s", "end_s")}
     d = sliced(windows.where("recording_id is not null").select(*names).withColumns(times), ["recording_id", "start_s", "event_id"])
-    d = carried(d, "recording_id", after={"next_": (F.min("start_s"), F.lead)})
-    low = d.groupBy("recording_id", "slice").agg(F.min("start_s").alias("low_"))
-    low = low.join(d.where("next_ is not null").select("recording_id").distinct(), "recording_id", "left_semi").withColumnRenamed("slice", "other_")
-    far = d.where(F.col("next_") < F.col("end_s") + tolerance).join(low, "recording_id").where((F.col("other_") > F.col("slice")) & (F.col("low_") < F.col("end_s") + tolerance))
+    bounds = d.groupBy("recording_id", "slice").agg(F.min("start_s").alias("low_"), F.max("end_s").alias("high_"))  # a row for each slice of a recording
+    beyond = F.lead("low_").over(Window.partitionBy("recording_id").orderBy("slice")) < F.col("high_") + tolerance
+    reach = bounds.withColumn("beyond_", beyond).where("beyond_").select("recording_id", "slice")
+    others = bounds.select("recording_id", F.col("slice").alias("other_"), "low_")
+    far = d.join(reach, ["recording_id", "slice"]).join(others, "recording_id").where((F.col("other_") > F.col("slice")) & (F.col("low_") < F.col("end_s") + tolerance))
     rows = d.select(*names, "slice", F.lit(0).alias("probe")).unionByName(far.select(*names, F.col("other_").alias("slice"), F.lit(1).alias("probe")))
     rows = rows.repartition("recording_id", "slice").sortWithinPartitions("recording_id", "slice", "probe", "start_s", "event_id")
     kind = {c: windows.schema[c].dataType.simpleString() for c in names}

@@ -9,7 +9,7 @@ from evidara.operators import text as T
 from evidara.plans import folding
 from evidara.plans.views import DUCK, SPARK
 
-WORDS = ["ΟΔΟΣ", "οδοσ", "οδος", "5 µm", "5 μm", "ﬁne", "fine", "ſo", "so", "STRASSE", "straße", "ẞ", "İstanbul", "ŉ", "ᾈΙ", "ἀιι", "ᏸ", "Ᏸ", "𐐀𐐨", "Ǆ ǅ ǆ", "plain ASCII", "", "Σ Σ.", "aΣ", "😀Ⓐ"]
+WORDS = ["Ünïté ÀÉÎÖÞ ß µ", "Ünïté ÀÉÎÖÞß\n×÷ÿ", "ΟΔΟΣ", "οδοσ", "οδος", "5 µm", "5 μm", "ﬁne", "fine", "ſo", "so", "STRASSE", "straße", "ẞ", "İstanbul", "ŉ", "ᾈΙ", "ἀιι", "ᏸ", "Ᏸ", "𐐀𐐨", "Ǆ ǅ ǆ", "plain ASCII", "", "Σ Σ.", "aΣ", "😀Ⓐ"]
 
 
 @pytest.fixture(scope="module")
