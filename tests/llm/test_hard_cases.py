@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,31 @@ PAGES = (
     (f"<main><p>Caf&eacute; &#x41; &lt;b&gt;</p><svg><text>no</text></svg><style>p{{}}</style><p>{P}</p></main>", ["Café A <b>", P]),
 )
 
+#: More such pages: quotes by the states of a tokenizer, names that mislead, short lines, links inside articles, blocks inside links.
+PAGES += (
+    (f"<div data-x=it's><p>{P}</p></div><p>It's {P}</p>", [P, f"It's {P}"]),
+    (f'<p class="x>{P}</p><p>{P}</p>', [P, P]),
+    (f"<p title='a > b' data-y=\"</p>\">{P}</p><!--><p>{P}</p><!-- <p>no --!><p>{P}</p></ p>", [P, P, P]),
+    (f'<article><div class="reply"><p>{P}</p></div><p class="login-history">{P}</p><div class="menu-of-the-day"><p>{P}</p></div></article>', [P, P, P]),
+    (f"<article><h1>A heading</h1><p>{P}</p><ul><li><a href=/1>One more piece</a><li><a href=/2>And another one</a><li><a href=/3>Third piece here</a></ul><p>{P}</p></article>", ["A heading", P, P]),
+    (f"<nav><a href=/>Home</a></nav><main><h2><a href=/p>A title that links to itself</a></h2><p>{P}</p><p>Why?</p><p>{P}</p><p>No.</p></main><footer>Us</footer>", ["A title that links to itself", P, "Why?", P, "No."]),
+    (f"<main><p>{P}</p></main><div><a href=/1><div>A teaser of the other text</div></a><a href=/2><div>And one of the next</div></a><a href=/3><div>More to read in here</div></a></div>", [P]),
+    (f"<main><table><tr><td class=sidebar>Left<td><p>{P}</p><tr><td>{P}</table></main>", [P, P]),
+    (f"<a name=top><p>{P}</p><p>{P}</p>", [P, P]),
+    (f"<div class='post'><p>{P}</p><div class='comment-list'><p>{P}</p><p>{P}</p></div></div><div class='c-ad__box'><p>{P}</p></div>", [P]),
+)
+
+
+def test_long_pages_take_time_by_their_length():
+    tree = html_text.fitted_tree()
+    n = 60_000
+    for page, want in (("<div>" * n + P, P), ("<a " * n + '"', ""), ("<b y='>" * n + "x", "x"), ('<a x="' * n + "x", ""), ("<button>" * n + P, P), (f"<div class=ad>{'<span class=ad>' * n}x", "")):
+        began = time.monotonic()
+        assert html_text.main_text(page, tree) == want, page[:20]
+        assert time.monotonic() - began < 10  # half a second; hours if it grew with the square
+    long = "".join(f"<p>{P}</p>" for _ in range(20_000))
+    assert html_text.main_text(long, tree) == "\n".join([P] * 20_000)
+
 
 def test_pages_not_learned_from():
     tree = html_text.fitted_tree()
