@@ -1,11 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Texts are lower-cased, runs of other characters than letters become one space, and grams of up to
-ORDER characters are coded in ORDER * 13 bits over a bounded alphabet. The models lie in sorted arrays of gram hashes,
+ORDER characters are coded in ORDER * 16 bits, a UTF-16 unit each, so that no two letters share a code. The models lie in sorted arrays of gram hashes,
 one array per order with a column per language. The language with the lowest cross-entropy per
 character wins; a threshold per language, calibrated on labelled texts that the model did not learn from, marks rejections.
 
-What goes through the driver is bounded: a model of MAX_GRAMS grams by the number of languages (a few hundred at most is assumed), and one number per language."""
+What goes through the driver is bounded: the distinct grams of the training sample by the number of languages (a few hundred at most is assumed), and one number per language.
+All grams of the sample are kept."""
 
 from __future__ import annotations
 
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.session import few, plain, prepare, table
-from evidara.plans.storage import staged
 
 ORDER, DISCOUNT = 4, 0.75
 #: The training sample: at most this many documents of a language, the first in hash order, each read whole.
@@ -25,20 +25,18 @@ TRAIN_DOCS = 400
 BROADCAST_IDS = 1_000_000
 #: The share of a language's calibration texts, which the model has not learned from, that its rejection threshold lets pass.
 PASS_SHARE = 0.995
-#: Grams kept: beyond it those of the highest order that occur least are left out.
-MAX_GRAMS = 4_000_000
-BITS = 13  # of a character's code; rarer code points share codes by their remainder
+BITS = 16  # of a character's code
 CHUNK_CHARS = 1 << 20
 
 
 def _classes() -> np.ndarray:
-    """A code for every UTF-16 unit: letters (and marks) their lower-case code point modulo 2**13, anything else 0, a space."""
+    """A code for every UTF-16 unit: letters their lower-case form, surrogates themselves, anything else 0, a space."""
     out = np.zeros(1 << 16, dtype=np.uint16)
     for c in range(1 << 16):
         x = chr(c)
         if x.isalpha() or 0xD800 <= c < 0xE000:
             low = x.lower() if x.isalpha() else x
-            out[c] = (ord(low[0]) % ((1 << BITS) - 1)) + 1
+            out[c] = ord(low[0])
     return out
 
 
@@ -59,7 +57,7 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
     keep[marks] = True
     place = np.cumsum(keep) - 1
-    return c[keep].astype(np.int64), place[marks]
+    return c[keep].astype(np.uint64), place[marks]
 
 
 def grams(c: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +89,7 @@ def _count(batches):
                 start = np.arange(len(g))
                 inner = total[np.minimum(start + n - 2, len(c))] - total[start] if n > 2 else np.zeros(len(g), dtype=np.int64)
                 u, k = np.unique(g[inner == 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), n, dtype=np.int8)), pa.array(u), pa.array(k.astype(np.int64))], names=["lang", "n", "gram", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), n, dtype=np.int8)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int64))], names=["lang", "n", "gram", "k"])
 
 
 class Model:
@@ -103,7 +101,7 @@ class Model:
         raw: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(1, ORDER + 1):
             part = counts[counts["n"] == n]
-            u, at = np.unique(part["gram"].to_numpy(), return_inverse=True)
+            u, at = np.unique(part["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
             m = np.zeros((len(u), len(self.langs)))
             np.add.at(m, (at, part["lang"].map(col).to_numpy()), part["k"].to_numpy())
             raw[n] = u, m
@@ -146,16 +144,18 @@ class Model:
         return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
-        """Bits per character of every text in every language; no text may be without a letter."""
+        """Bits per character of every text in every language, each text by itself; no text may be without a letter."""
         c, marks = codes(texts)
-        c = np.concatenate([np.zeros(ORDER - 1, dtype=np.int64), c])  # spaces before the first
+        pad = ORDER - 2  # spaces more between texts, so that no gram reaches from one into the next
+        c = np.insert(c, np.repeat(marks, pad), 0)
         code, u = pd.factorize(grams(c, ORDER))
         bits = -np.log2(self._at(ORDER, u))
         n = np.maximum(np.diff(marks), 1)
+        marks = marks + pad * np.arange(1, len(marks) + 1)
         total = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
             s = np.concatenate([[0.0], np.cumsum(bits[code, k])])
-            total[:, k] = s[marks[1:] + 1] - s[marks[:-1] + 1]
+            total[:, k] = s[marks[1:] - 2 * pad] - s[marks[:-1] - pad]
         return total / n[:, None]
 
 
@@ -183,9 +183,6 @@ def fitted(docs: DataFrame) -> tuple[Model, np.ndarray]:
     """The model and each language's rejection threshold in bits per character; a language without calibration texts rejects nothing."""
     rows = training_rows(docs).select("lang", "text", "fitting")
     counts = rows.where("fitting").select("lang", "text").mapInArrow(_count, "lang string, n byte, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    counts = staged(counts, "grams")
-    if counts.count() > MAX_GRAMS:  # lower orders first, so that what is kept finds its ends among them
-        counts = counts.orderBy("n", F.desc("k"), "lang", "gram").limit(MAX_GRAMS)
     counts = counts.toPandas()
     if counts.empty:
         return None, np.zeros(0)
@@ -211,7 +208,7 @@ def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_char, rejected) of every row.
 
     A null text and a text without a letter are 'und' with score 0 and rejected, as is everything if no
-    row can be learned from. Very long texts are read whole. held_out is false for a null doc_id. Rows that repeat give the same
+    row can be learned from. Very long texts are read whole. Of languages with equal entropies the first by name wins. held_out is false for a null doc_id. Rows that repeat give the same
     prediction; an empty table gives an empty table; other columns are ignored."""
     spark = docs.sparkSession
     prepare(spark)

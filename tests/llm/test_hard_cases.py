@@ -201,6 +201,57 @@ def test_pages_not_learned_from():
     assert html_text.predict(tree_own, x).tolist() == [False, True]
 
 
+def _plain_kneser_ney(texts: dict[str, list[str]], asked: list[str]) -> list[list[float]]:
+    """Bits per character of each text asked by each language's interpolated Kneser-Ney model, by dictionaries of strings."""
+
+    def line(x: str) -> str:
+        out = ""
+        for ch in x:
+            ch = ch.lower()[0] if ch.isalpha() else " "
+            if ch != " " or out and out[-1] != " ":
+                out += ch
+        return f" {out} "
+
+    alphabet = {ch for ts in texts.values() for t in ts for ch in line(t)}
+    floor = 1 / max(2, len(alphabet) + 1)
+    result = []
+    for lang in sorted(texts):
+        count = {n: collections.Counter(x[i : i + n] for x in map(line, texts[lang]) for i in range(len(x) - n + 1)) for n in range(1, langid.ORDER + 1)}
+        for n in range(1, langid.ORDER):
+            count[n] = collections.Counter(g[1:] for g in count[n + 1])
+
+        def p(g: str, count=count) -> float:
+            if not g:
+                return floor
+            same = {x: k for x, k in count[len(g)].items() if x[:-1] == g[:-1]}
+            if not same:
+                return p(g[1:])
+            total = sum(same.values())
+            return max(same.get(g, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(same) / total * p(g[1:])
+
+        bits = []
+        for x in map(line, asked):
+            padded = " " * (langid.ORDER - 2) + x
+            bits.append(sum(-math.log2(p(padded[i - langid.ORDER : i])) for i in range(langid.ORDER, len(padded) + 1)) / (len(x) - 1))
+        result.append(bits)
+    return [list(b) for b in zip(*result, strict=True)]
+
+
+def test_entropies_against_plain_kneser_ney():
+    texts = {"aa": ["The cat sat, on the mat.", "A dog! and 2 cats", "  so it goes "], "bb": ["Der Hund saß auf der Matte", "und die Katze schlief"], "cc": ["一丁七万丈三上下", "丁一 万七", "Ꙁ 𝒳𝒴 𝒳"]}
+    asked = ["the dog", "Die Matte ", "丁七万", "zzz", "x" * 300, "ascii 一 ß", "𝒳"]
+    batch = pa.RecordBatch.from_pydict({"lang": [x for x, ts in texts.items() for _ in ts], "text": [t for ts in texts.values() for t in ts]})
+    counts = pa.Table.from_batches(langid._count([batch])).to_pandas()
+    model = langid.Model(counts)
+    within = [t for t in asked if all(ord(ch) < 0x10000 for ch in t)]
+    plain = {k: [t for t in ts if all(ord(ch) < 0x10000 for ch in t)] for k, ts in texts.items()}
+    small = langid.Model(pa.Table.from_batches(langid._count([pa.RecordBatch.from_pydict({"lang": [x for x, ts in plain.items() for _ in ts], "text": [t for ts in plain.values() for t in ts]})])).to_pandas())
+    assert np.allclose(small.entropies(within), _plain_kneser_ney(plain, within), atol=1e-9)
+    together = model.entropies(asked)
+    assert np.allclose(together, np.concatenate([model.entropies([t]) for t in asked]), atol=1e-12)
+    assert together.argmin(axis=1).tolist()[:3] == [0, 1, 2]
+
+
 def test_scores_and_choice_against_plain_bm25():
     rng = np.random.default_rng(3)
     units = [rng.integers(0, 60, rng.integers(5, 40)) for _ in range(40)]
