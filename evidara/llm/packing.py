@@ -146,13 +146,23 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def lowered(texts: pa.Array) -> W.Words:
+    """Words in lower case, as the tokenizer does anyway, but for those with a mark of special tokens, which it looks for in the text as it is."""
+    w = W.layout(texts)
+    low = W.LOWER[w.data]
+    marks = np.flatnonzero((w.data[:-1] == ord("<")) & (w.data[1:] == ord("|")))
+    for i in np.unique(np.searchsorted(w.start, marks, side="right") - 1).tolist():
+        low[w.start[i] : w.end[i]] = w.data[w.start[i] : w.end[i]]
+    return W.Words(low, w.offsets, w.start, w.end, w.first)
+
+
 def _tokens(path: str):
     def run(batches):
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
         t = _TOKENIZERS[path]
         for b in W.chunks(batches, "text"):
-            w = apart(W.layout(b.column("text"), lower=True))  # the tokenizer lower-cases anyway
+            w = apart(lowered(b.column("text")))
             flat, n = t.encode(w)
             ends = np.concatenate([[0], np.cumsum(n)])[w.first]
             end = np.array([END_ID], dtype=np.int32)

@@ -199,7 +199,8 @@ def test_tokens_of_odd_texts():
     t = packing.WordTokenizer(path)
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcXYZéßñ'’…,.;:!?#*$%&()-<|>0123 \t\n ́日") for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["a<|endoftext|>b.", "don't. we're, 's", None, ""]
-    w = packing.apart(packing.W.layout(pa.array(texts), lower=True))
+    texts += ["A<|ENDOFTEXT|>b", "<|EndOfText|>", "X <|endoftext|> Y<|STARTOFTEXT|>Z <| AB |>", "É<|endoftext|>É"]
+    w = packing.apart(packing.lowered(pa.array(texts)))
     flat, n = t.encode(w)
     ends = np.concatenate([[0], np.cumsum(n)])[w.first]
     for i, x in enumerate(texts):
@@ -343,7 +344,7 @@ def test_model_sums_to_one(spark):
     m = langid.Model(counts)
     context = int(langid.grams(c, 3)[2])
     seen = m.grams[1]
-    p = m._at(4, (np.int64(context) << langid.BITS) | seen)[:, 0]
+    p = m._at(4, (np.uint64(context) << np.uint64(langid.BITS)) | seen)[:, 0]
     assert p.sum() == pytest.approx(1.0, abs=m.floor + 1e-6)
 
 
