@@ -114,15 +114,21 @@ def risk_coverage(c: DataFrame) -> DataFrame:
     return j.select("run_id", "doc_id", i.alias("i"), ((F.col("e") + F.col("be")) / i).alias("risk"), (i / F.col("total")).alias("coverage"), F.col("confidence").alias("threshold"))
 
 
+#: Draws of one task of a bootstrap.
+DRAWS = 1 << 21
+
+
 def cluster_bootstrap(scores: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: str = "boot") -> DataFrame:
     """Mean of the cluster means, and a percentile interval over seeded resamples of clusters with replacement."""
     m = staged(scores.groupBy("cluster").agg(F.avg("score").alias("m")), "clusters")  # the scores are read once
     m = by_value(m, "cluster", "i").withColumn("i", (F.col("i") - 1).cast("long"))
     n = m.agg(F.count("*").alias("n"), F.avg("m").alias("estimate"))
-    spark = scores.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(n.select("n"))).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    spark, clusters = scores.sparkSession, m.count()
+    every = resamples * clusters  # a range over all draws: its size is known to the planner, which would broadcast the rows of an exploded sequence as if they were few
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // DRAWS))
+    draws = spark.range(0, every, 1, parts).select(F.expr(f"id div {max(1, clusters)}L").alias("r"), (F.col("id") % max(1, clusters)).alias("slot"))
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("slot").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    means = draws.select("r", (h % F.col("n")).alias("i")).join(m, "i").groupBy("r").agg(F.round(F.avg("m"), 9).alias("b"))
+    means = draws.select("r", (h % max(1, clusters)).alias("i")).join(m.select("i", "m"), "i").groupBy("r").agg(F.round(F.avg("m"), 9).alias("b"))
     a = (1 - confidence) / 2
     ci = means.agg(F.percentile("b", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
     return n.crossJoin(ci).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.col("n").alias("clusters"))  # one row each
