@@ -30,3 +30,11 @@ def test_draws_of_a_bootstrap_are_not_broadcast(spark, clusters):
         assert r["low"] <= r["estimate"] <= r["high"]
     else:
         assert r["estimate"] is None and r["low"] is None
+
+
+def test_draws_of_a_unit_bootstrap_are_not_broadcast(spark):
+    s = spark.range(9000).select(F.sha2((F.col("id") % 3000).cast("string"), 256).alias("stimulus_id"), F.when(F.col("id") % 3 < 2, F.col("id") * 0.5).alias("score"))
+    b = E.stimulus_bootstrap(s, resamples=20)
+    assert not [p for p in broadcast_parts(b) if "Range (" in p or "explode" in p]
+    r = b.first()
+    assert (r["unit"], r["clusters"]) == ("stimulus", s.where("score is not null").select("stimulus_id").distinct().count())
