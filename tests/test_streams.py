@@ -54,3 +54,13 @@ def test_seen_keys_and_the_end_of_their_state(spark, tmp_path):
 def test_first_copies(spark, tmp_path):
     stream = arrive(spark, tmp_path / "in", [[("a", 1), ("b", 5), ("a", 9)], [("a", DAY), ("c", DAY)], [("b", 2 * DAY)]], "sample_id string, s long")
     assert sorted(r["sample_id"] for r in W.drain(W.first_copies(stream())).collect()) == ["a", "b", "c"]
+
+
+def test_open_windows_of_a_user_are_one_value(spark, tmp_path):
+    hours = [(1, h * 3600, 1.0) for h in range(0, 900, 2)]
+    stream = arrive(spark, tmp_path / "in", [hours, [(1, 100 * DAY, 1.0)]], "user_id long, s long, value double")
+    progress: list = []
+    with W.rocks_db(spark):
+        out = W.drain(W.chunks_and_late(stream()), progress=progress).collect()
+    assert sum(r["n"] for r in out) == 2 * len(hours)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) < 10
