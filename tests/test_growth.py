@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from evidara import catalog
 from evidara.operators import evaluation as E
 
 
@@ -38,3 +39,11 @@ def test_draws_of_a_unit_bootstrap_are_not_broadcast(spark):
     assert not [p for p in broadcast_parts(b) if "Range (" in p or "explode" in p]
     r = b.first()
     assert (r["unit"], r["clusters"]) == ("stimulus", s.where("score is not null").select("stimulus_id").distinct().count())
+
+
+def test_checksums_of_long_texts_do_not_overflow(spark, tmp_path):
+    n = 60_000
+    spark.createDataFrame([(1, " ".join(f"w{i:05d}" for i in range(n)), "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = catalog.queries()["encode_tokens"](spark, str(tmp_path)).first()
+    ids = [1, *range(4, n + 4), 2]
+    assert (r["n"], r["unknown"], r["checksum"]) == (n + 2, 0, sum(x * (i + 1) for i, x in enumerate(ids)))
