@@ -197,9 +197,7 @@ def sensor_graph_weights(spark, d):
 
 @query("masked_neighbor_mean", (), f"WITH {_SENSORS}, {_W} SELECT s.name, round(CASE WHEN s.ok THEN m.m ELSE 0 END, 6)::DOUBLE AS value FROM sensors s LEFT JOIN (SELECT a, sum(w * n.x) AS m FROM w JOIN sensors n ON n.name = w.b WHERE n.ok GROUP BY a) m ON m.a = s.name")
 def masked_neighbor_mean(spark, d):
-    s = sensors(spark, d)
-    f = s.select(F.lit(0).alias("vec_id"), "name", F.col("x").alias("value"), "ok")
-    return G.neighbor_mean(f, G.graph_weights(s)).select("name", F.round("value", 6).alias("value"))
+    return G.graph_mean(sensors(spark, d).withColumn("value", F.col("x"))).select("name", F.round("value", 6).alias("value"))
 
 
 @query("mask_positions", ("cells",), f"WITH c AS (SELECT vec_id, t, count(*) OVER (PARTITION BY vec_id) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY {_U('mask', 'vec_id', 't')}, t) AS r FROM (SELECT DISTINCT vec_id, t FROM cells WHERE time_ok)) SELECT vec_id, t::INT AS t FROM c WHERE r <= least(n, greatest(1, ceil(n * 0.3)))")
