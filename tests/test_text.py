@@ -114,3 +114,49 @@ def test_distances_and_paths_of_long_pairs(monkeypatch):
         assert len(h) - i == len(r) - d and s <= min(len(h), len(r))
     many = [f"w{i}" for i in range(60_000)]  # more words than a character set has letters
     assert T.edit_distance(many, many[1:] + ["x"]) == 2
+
+
+def test_an_edit_distance_steps_over_the_shorter_side():
+    class Counted(str):
+        steps = 0
+
+        def __iter__(self):
+            for x in str.__iter__(self):
+                Counted.steps += 1
+                yield x
+
+        def __getitem__(self, k):
+            return Counted(str.__getitem__(self, k)) if isinstance(k, slice) else str.__getitem__(self, k)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(old[j] + (x != y), old[j + 1] + 1, row[-1] + 1))
+        return row[-1]
+
+    for a, b in [("the", "quite another text, and a longer one " * 20), ("x " * 30, "abxba xx" * 17), ("", "abc"), ("kitten", "sitting")]:
+        Counted.steps = 0
+        assert T.edit_distance(Counted(a), Counted(b)) == T.edit_distance(b, a) == plain(a, b)
+        assert Counted.steps <= len(a) + len(b)
+
+
+def test_predictions_are_not_ordered_by_run_in_one_task(spark):
+    from evidara.plans import views
+
+    spread, template = (f(spark, "/root/testdata/sf0.001", "predictions") for f in (views.view, views.templated))
+    assert spread.schema == template.schema
+    assert spread.exceptAll(template).count() == template.exceptAll(spread).count() == 0
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    orders = [x for x in plan.splitlines() if "Sort [" in x and "hash_" in x]
+    assert orders and all("bucket_" in x for x in orders)
+
+
+def test_categories_of_missing_texts_and_of_long_ones(spark):
+    long = " ".join(f"w{i}" for i in range(600))
+    rows = [("a", None, "x y"), ("b", "x x", None), ("c", "", None), ("d", long + " z", long), ("e", long.replace("w300 ", ""), long), ("f", "b a", "a b"), ("g", "the the", "the cat")]
+    p = spark.createDataFrame([("r", "full", i, h, r) for i, h, r in rows], "run_id string, control string, sample_id string, prediction_text string, reference_text string")
+    got = {r["sample_id"]: r["category"] for r in T.error_categories(p).collect()}
+    assert got == {"a": None, "b": "repetition", "c": "empty", "d": "hallucination", "e": "omission", "f": "substitution", "g": "repetition"}
+    assert T._path(long.split(), long.split()[:-300]) == (0, 300, 0)
