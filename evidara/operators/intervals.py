@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.plans.slices import carried, sliced
+from evidara.plans.storage import staged
 
 ORDER = ["start_s", "end_s", "event_id"]
 
@@ -95,26 +96,52 @@ def _entries(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"recording_id": p["recording_id"], "slice": p["slice"], "reach": out})
 
 
-def _kept(p: pd.DataFrame) -> pd.DataFrame:
-    p = p.sort_values(ORDER, ignore_index=True)
-    start, _, follows = _ordered(p)
-    i, kept = int(np.searchsorted(start, p["reach"].iloc[0], side="left")), []
-    while i < len(p):
-        kept.append(i)
-        i = int(follows[i])
-    return p.iloc[kept][["recording_id", "event_id"]]
+def _groups(batches):
+    """Batches that end with a whole slice of a recording, and where its slices begin and end; rows come in order. A slice may lie in several batches."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        same = pc.and_(*(pc.equal(b.column(c)[1:], b.column(c)[:-1]) for c in ("recording_id", "slice"))).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        held = b.slice(cuts[-1])
+        if len(cuts) > 1:
+            yield b.slice(0, cuts[-1]), cuts
+    if held is not None:
+        yield held, [0, held.num_rows]
+
+
+def _kept(batches):
+    """The windows kept of each slice, from the end of the last one kept before it; very many short recordings cost some calls of numpy each."""
+    for b, cuts in _groups(batches):
+        start, end, reach = (b.column(c).to_numpy(zero_copy_only=False) for c in ("start_s", "end_s", "reach"))
+        kept = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            s = start[lo:hi]
+            follows = np.maximum(np.searchsorted(s, end[lo:hi], side="left"), np.arange(1, hi - lo + 1)).tolist()
+            i = int(np.searchsorted(s, reach[lo], side="left"))
+            while i < hi - lo:
+                kept.append(lo + i)
+                i = follows[i]
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("recording_id", "event_id")], names=["recording_id", "event_id"])
 
 
 def drop_later(windows: DataFrame) -> DataFrame:
     """(recording_id, event_id), greedy in order: a window stays if it starts at or after the end of the last that stayed.
 
-    What a slice does to that end is a step function; a fold over the functions of a recording tells each slice where it begins."""
+    What a slice does to that end is a step function; a fold over the functions of a recording tells each slice where it begins. Only recordings that lie in
+    several slices need this, at most one for each slice; the others begin with nothing kept."""
     id_, event = (windows.schema[c].dataType.simpleString() for c in ("recording_id", "event_id"))
-    d = _slices(windows.select("recording_id", *[F.col(c).cast("double").alias(c) for c in ORDER[:2]], "event_id"))
-    by = d.groupBy("recording_id", "slice")
-    steps = by.applyInPandas(_steps, f"recording_id {id_}, slice int, until array<double>, leaves array<double>")
-    entries = steps.groupBy("recording_id").applyInPandas(_entries, f"recording_id {id_}, slice int, reach double")
-    return d.join(entries, ["recording_id", "slice"]).groupBy("recording_id", "slice").applyInPandas(_kept, f"recording_id {id_}, event_id {event}")
+    d = _slices(windows.where("recording_id is not null").select("recording_id", *[F.col(c).cast("double").alias(c) for c in ORDER[:2]], "event_id"))
+    several = d.groupBy("recording_id").agg(F.min("slice").alias("low_"), F.max("slice").alias("high_")).where("low_ < high_").select("recording_id")
+    steps = d.join(several, "recording_id", "left_semi").groupBy("recording_id", "slice").applyInPandas(_steps, f"recording_id {id_}, slice int, until array<double>, leaves array<double>")
+    entries = staged(steps.groupBy("recording_id").applyInPandas(_entries, f"recording_id {id_}, slice int, reach double"), "entries")
+    rows = d.join(entries, ["recording_id", "slice"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
+    order = ["recording_id", "slice", *[F.asc_nulls_last(c) for c in ORDER]]
+    return rows.repartition("recording_id", "slice").sortWithinPartitions(*order).mapInArrow(_kept, f"recording_id {id_}, event_id {event}")
 
 
 def _texts(*columns: str):

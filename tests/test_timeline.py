@@ -124,3 +124,15 @@ def test_alignment_records(spark):
     v, clean = C.alignment_records(spark.createDataFrame([good, gap], schema))
     assert sorted(r["code"] for r in v.collect()) == ["bad_fixation", "word_index_gap"]
     assert [r["record_id"] for r in clean.collect()] == ["1"]
+
+
+def test_short_recordings_are_assembled_in_batches(spark):
+    rows = [(None if i % 97 == 0 else i % 700, i, float(i * 37 % 101), float(i * 37 % 101 + 1 + i % 23)) for i in range(4000)]
+    got = I.drop_later(spark.createDataFrame(rows, "recording_id long, event_id long, start_s double, end_s double"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a group for each recording before
+    want, reach = set(), {}
+    for r, e, s, z in sorted((x for x in rows if x[0] is not None), key=lambda x: (x[0], x[2], x[3], x[1])):
+        if s >= reach.get(r, float("-inf")):
+            reach[r] = z
+            want.add((r, e))
+    assert {(r["recording_id"], r["event_id"]) for r in got.collect()} == want
