@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.plans.slices import carried, sliced
+from evidara.plans.slices import carried, sliced, tasks
 from evidara.plans.storage import staged
 
 ORDER = ["start_s", "end_s", "event_id"]
@@ -141,7 +141,7 @@ def drop_later(windows: DataFrame) -> DataFrame:
     entries = staged(steps.groupBy("recording_id").applyInPandas(_entries, f"recording_id {id_}, slice int, reach double"), "entries")
     rows = d.join(entries, ["recording_id", "slice"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
     order = ["recording_id", "slice", *[F.asc_nulls_last(c) for c in ORDER]]
-    return rows.repartition("recording_id", "slice").sortWithinPartitions(*order).mapInArrow(_kept, f"recording_id {id_}, event_id {event}")
+    return rows.repartition(tasks(d), "recording_id", "slice").sortWithinPartitions(*order).mapInArrow(_kept, f"recording_id {id_}, event_id {event}")
 
 
 def _texts(*columns: str):
@@ -237,6 +237,6 @@ def overlap_pairs(windows: DataFrame, tolerance: float = 0.0) -> DataFrame:
     others = bounds.select("recording_id", F.col("slice").alias("other_"), "low_")
     far = d.join(reach, ["recording_id", "slice"]).join(others, "recording_id").where((F.col("other_") > F.col("slice")) & (F.col("low_") < F.col("end_s") + tolerance))
     rows = d.select(*names, "slice", F.lit(0).alias("probe")).unionByName(far.select(*names, F.col("other_").alias("slice"), F.lit(1).alias("probe")))
-    rows = rows.repartition("recording_id", "slice").sortWithinPartitions("recording_id", "slice", "probe", "start_s", "event_id")
+    rows = rows.repartition(tasks(d), "recording_id", "slice").sortWithinPartitions("recording_id", "slice", "probe", "start_s", "event_id")
     kind = {c: windows.schema[c].dataType.simpleString() for c in names}
     return rows.mapInArrow(_swept(tolerance), f"recording_id {kind['recording_id']}, left_id {kind['event_id']}, right_id {kind['event_id']}, left_split {kind['split']}, right_split {kind['split']}")

@@ -14,10 +14,14 @@ from evidara.plans.storage import staged
 SLICE_ROWS = 1 << 16
 
 
+def tasks(df: DataFrame, rows: int | None = None) -> int:
+    """So many tasks that each has a slice's rows, about. Told to a shuffle, as one that is told none is put together by compressed bytes, which say little of the memory of a sort."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (rows or SLICE_ROWS)))
+
+
 def sliced(df: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
     """``df`` with ``slice``: all rows of a slice come before those of the next in ``order``. Rows that are equal in it share one."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (rows or SLICE_ROWS)))
-    return staged(df.repartitionByRange(n, *order).withColumn("slice", F.spark_partition_id()), "slices")
+    return staged(df.repartitionByRange(tasks(df, rows), *order).withColumn("slice", F.spark_partition_id()), "slices")
 
 
 def carried(d: DataFrame, key: str, *, before: dict | None = None, after: dict | None = None) -> DataFrame:

@@ -107,6 +107,13 @@ def test_no_slice_is_a_recording(spark, monkeypatch):
     assert I.islands(w).agg(F.count_distinct("island")).first()[0] > 1
 
 
+def test_sweeps_are_dealt_to_a_task_for_each_slice(spark, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_ROWS", 50)
+    w = spark.createDataFrame(some(4, 1000, 300), SCHEMA)
+    for f in (I.overlap_pairs, I.drop_later):
+        assert f(w).rdd.getNumPartitions() == 20  # a shuffle that is told no number puts all of them into one
+
+
 def test_no_windows(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (I.overlap_pairs, I.islands, I.gaps, I.coverage, I.drop_later, I.drop_earlier, I.concatenated):
