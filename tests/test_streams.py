@@ -64,3 +64,14 @@ def test_open_windows_of_a_user_are_one_value(spark, tmp_path):
         out = W.drain(W.chunks_and_late(stream()), progress=progress).collect()
     assert sum(r["n"] for r in out) == 2 * len(hours)
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) < 10
+
+
+def test_keys_of_an_audit_share_values_of_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BUCKETS", 8)
+    batches = [[(f"k{i}" if i else None, "train", 1 + i) for i in range(300)], [(f"k{i}" if i else None, "test" if i % 3 else None, DAY + i) for i in range(0, 300, 2)], [("z", "test", 30 * DAY)], [("k2", "test", 31 * DAY)]]
+    stream = arrive(spark, tmp_path / "in", batches, "id string, split string, s long")
+    progress: list = []
+    out = {r["key"]: (r["n"], r["n_splits"]) for r in W.settled(W.drain(W.seen(stream(), "id"), progress=progress)).collect()}
+    assert out == {f"k{i}" if i else None: (2, 2 if i % 3 else 1) for i in range(0, 300, 2)}  # k2 came again when it was forgotten
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(kept) <= 8 and kept[-1] <= 2
