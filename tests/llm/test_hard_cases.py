@@ -375,3 +375,13 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         digest = collections.Counter((r["doc_id"], r["doc_tokens"]) for r in packed if r["start"] == 0)
         assert sum(digest.values()) == mix.count()
         assert all(r["length"] <= 4096 for r in packed) and hashlib
+
+
+def test_words_of_lines_with_odd_white_space(spark):
+    """A line's words are counted without splitting it; runs of white space, at its ends too, count once."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice([" ", "  ", "\t", "\x0b", "\f", "\r", "\n", "é ", "a", "b. ", " ", "| "]) for _ in range(60))) for i in range(60)]
+    for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).select("*", quality.line_verdicts(F.col("text")).alias("v")).collect():
+        lines = [split(x) for x in r["text"].split("\n")]
+        assert [x["n"] for x in r["v"]] == [len(x) for x in lines]
+        assert r["word_chars"] == sum(len(w) for x in lines for w in x)
