@@ -75,14 +75,28 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def read_signals(spark: SparkSession, samples: DataFrame, root: str, suffix: str = ".json") -> tuple[DataFrame, DataFrame]:
-    """(signals, findings) of the JSON matrices that ``samples`` (sample_id, uri, checksum_sha256, channel_count) name below ``root``, in files that end in ``suffix``."""
+    """(signals, findings) of the JSON matrices that ``samples`` (sample_id, uri, checksum_sha256, channel_count) name below ``root``, in files that end in ``suffix``.
+
+    A file is one matrix or, for samples with an ``array_key``, has a line ``{"key": ..., "values": matrix}`` for each of many, so that small matrices need no file each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
-    files = files.select(F.substring_index("path", below, -1).alias("uri"), F.sha2("content", 256).alias("actual"), F.from_json(F.col("content").cast("string"), "array<array<double>>").alias("values"))
-    j = samples.join(files, "uri", "left")
+    files = files.withColumn("uri", F.substring_index("path", below, -1))
+    keyed, matrix = "array_key" in samples.columns, "array<array<double>>"
+    parts = F.array(F.col("content").cast("string"))
+    parts = F.when(F.col("content").cast("string").rlike(r"^\s*\{"), F.split(F.col("content").cast("string"), "\n")).otherwise(parts) if keyed else parts
+    arrays = files.select("uri", F.sha2("content", 256).alias("actual"), F.explode(parts).alias("text"))
+    if not keyed:
+        j = samples.join(arrays.select("uri", "actual", F.from_json("text", matrix).alias("values")), "uri", "left").withColumns({"there": F.col("actual"), "n": F.lit(1)})
+    else:
+        line = F.from_json("text", f"key string, values {matrix}")
+        one = arrays.where(F.trim("text") != "").select("uri", "actual", F.when(F.col("text").rlike(r"^\s*\{"), line).otherwise(F.struct(F.lit(None).cast("string").alias("key"), F.from_json("text", matrix).alias("values"))).alias("a"))
+        one = one.select("uri", "actual", F.coalesce("a.key", F.lit("")).alias("key"), "a.values").groupBy("uri", "key").agg(F.first("actual").alias("actual"), F.first("values").alias("values"), F.count("*").alias("n"))
+        j = samples.withColumn("key", F.coalesce("array_key", F.lit(""))).join(one, ["uri", "key"], "left").join(files.select("uri", F.lit("").alias("there")), "uri", "left")
     code = (
         F.when(F.col("uri").rlike(r"^/|(^|/)\.\.(/|$)") | ~F.col("uri").endswith(suffix), "bad_path")
-        .when(F.col("actual").isNull(), "missing_file")
+        .when(F.col("there").isNull(), "missing_file")
+        .when(F.col("actual").isNull(), "missing_array")
+        .when(F.col("n") > 1, "repeated_array")
         .when(F.col("checksum_sha256") != F.col("actual"), "checksum_mismatch")
         .when(F.col("values").isNull() | (F.size("values") != F.col("channel_count")), "bad_channels")
         .when(F.size(F.array_distinct(F.transform("values", lambda c: F.size(c)))) > 1, "not_rectangular")
@@ -93,8 +107,9 @@ def read_signals(spark: SparkSession, samples: DataFrame, root: str, suffix: str
 
 
 def read_authorized_features(spark: SparkSession, samples: DataFrame, mapping: DataFrame, root: str, suffix: str = ".json") -> tuple[DataFrame, DataFrame]:
-    """Signals by a mapping table (sample_id, split, uri, checksum_sha256); samples without a mapping are findings."""
-    mapped = samples.select("sample_id", "channel_count").join(mapping.select("sample_id", "uri", "checksum_sha256"), "sample_id")
+    """Signals by a mapping table (sample_id, split, uri, checksum_sha256, and array_key where files hold many); samples without a mapping are findings."""
+    where = [c for c in ("uri", "array_key", "checksum_sha256") if c in mapping.columns]
+    mapped = samples.select("sample_id", "channel_count").join(mapping.select("sample_id", *where), "sample_id")
     signals, findings = read_signals(spark, mapped, root, suffix)
     unmapped = samples.join(mapping, "sample_id", "left_anti").select("sample_id", F.lit("unmapped").alias("code"))
     return signals, findings.unionByName(unmapped)

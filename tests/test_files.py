@@ -1,6 +1,9 @@
 """Sources and sinks through real files."""
 
 import json
+import pathlib
+
+from pyspark.sql import functions as F
 
 from evidara.sources import files as S
 
@@ -29,6 +32,29 @@ def test_signals(spark, tmp_path):
     assert good.count() == 1 and [r["code"] for r in bad.collect()] == ["unmapped"]
 
 
+def test_signals_of_many_samples_in_one_file(spark, tmp_path):
+    lines = [{"key": "a", "values": [[1, 2], [3, 4]]}, {"key": "b", "values": [[1, 2], [3]]}, {"key": "twice", "values": [[1], [2]]}, {"key": "twice", "values": [[1], [2]]}]
+    (tmp_path / "many.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    (tmp_path / "one.json").write_text("[[5, 6], [7, 8]]")
+    rows = [("1", "many.json", "a", None, 2), ("2", "many.json", "b", None, 2), ("3", "many.json", "none", None, 2), ("4", "many.json", "a", "0" * 64, 2), ("5", "many.json", "twice", None, 2), ("6", "one.json", None, None, 2), ("7", "other.json", "a", None, 2)]
+    want = spark.createDataFrame(rows, "sample_id string, uri string, array_key string, checksum_sha256 string, channel_count int")
+    good, bad = S.read_signals(spark, want, str(tmp_path))
+    assert {r["sample_id"]: r["values"] for r in good.collect()} == {"1": [[1, 2], [3, 4]], "6": [[5, 6], [7, 8]]}
+    assert {r["sample_id"]: r["code"] for r in bad.collect()} == {"2": "not_rectangular", "3": "missing_array", "4": "checksum_mismatch", "5": "repeated_array", "7": "missing_file"}
+    samples = spark.createDataFrame([("1", 2), ("6", 2), ("9", 2)], "sample_id string, channel_count int")
+    good, bad = S.read_authorized_features(spark, samples, want.where("sample_id in ('1', '6')").withColumn("split", F.lit("train")), str(tmp_path))
+    assert good.count() == 2 and [r["code"] for r in bad.collect()] == ["unmapped"]
+
+
+def test_signal_files_do_not_grow_one_by_one_with_the_samples(spark, tmp_path):
+    from evidara.queries import flows
+
+    e = spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i + F.col("id")).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    root, s = flows.signal_files(spark, str(tmp_path))
+    assert s.count() == 3000 and len(list(pathlib.Path(root.removeprefix("file:")).rglob("part-*.txt"))) == 3
+
+
 def test_checksums(spark):
     e = spark.createDataFrame([("a.json", "x"), ("b.txt", "0" * 64), ("c.json", "0" * 64)], "uri string, expected string")
     f = spark.createDataFrame([("a.json", bytearray(b"1")), ("b.txt", bytearray(b"1")), ("d.json", bytearray(b"1"))], "uri string, content binary")
