@@ -383,3 +383,15 @@ def test_pipeline(spark, tmp_path, docs):
         d = spark.read.parquet(f"{tmp_path}/{name}")
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() > 0
+
+
+def test_word_figures_of_a_batch_against_plain():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "é", "日本", " x", "b\tc"]) for _ in range(n)) for n in (0, 1, 7, 8, 9, 40, 40, 400)] + [None, "", " \n ", "one two three four five six seven eight nine " * 3]
+    for t, (n, chars, repeated) in zip(texts, quality._counted(pa.array(texts)).tolist(), strict=True):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
+        hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+        assert (n, chars, repeated) == (len(ws), sum(map(len, ws)), len(hit))
