@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evidara.llm.quality import words
 from evidara.llm.session import free_name, table
+from evidara.plans.storage import staged
 
 SEED, BUCKETS = "mix-1", 4096
 
@@ -58,6 +59,7 @@ def mixed(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
         F.size(words(F.col("text"))).cast("long").alias("size"),
         order_key(seed).alias("u"),
     )
+    d = staged(d, "mix_sizes")  # read several times below, the texts once
     t = targets(d.select("source", "size"), **how)
     # Prefix sums per source in hash order, in two steps: over buckets of the hash, then inside each bucket.
     d = d.withColumn("bucket", F.shiftright("u", 60 - 12).cast("int"))

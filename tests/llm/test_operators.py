@@ -395,3 +395,31 @@ def test_word_figures_of_a_batch_against_plain():
         grams = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
         hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
         assert (n, chars, repeated) == (len(ws), sum(map(len, ws)), len(hit))
+
+
+def test_line_quality_runs_no_python_and_counts_as_plain(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "é", "日本", " x", "b\tc", "d\n", "e\r\n", "f\x0b"]) for _ in range(n)) for n in (0, 1, 7, 8, 9, 15, 16, 17, 40, 400)] + [None, "", " \n ", "one two three four five six seven eight nine " * 3, "w " * 30]
+    j = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {x["doc_id"]: (x["n_words"], x["word_chars"], x["n_repeat_words"]) for x in j.collect()}
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
+        hit = {k + m for k, g in enumerate(grams) if grams.count(g) > 1 for m in range(8)}
+        assert got[i] == (len(ws), sum(map(len, ws)), len(hit)), i
+
+
+def test_every_phrase_is_found_in_its_line(spark):
+    """Also where its words lie further apart, in capitals, inside other words, and in a text whose other lines have none."""
+    forms = [lambda p: p, lambda p: p.upper(), lambda p: p.replace(" ", " \t "), lambda p: f"x{p}x", lambda p: p.replace("k", "K")]
+    good = "This line stays, as it should, with enough words to count as text for us."
+    rows = [(i, f"{good}\n{f(p)}\n{good}", p) for i, (p, f) in enumerate((p, f) for p in quality.BOILERPLATE for f in forms)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, phrase string")
+    assert [r["phrase"] for r in d.select("phrase", quality.line_verdicts(F.col("text")).alias("v")).where("v[1].rule is null or v[1].rule <> 'boilerplate' or v[0].rule is not null").collect()] == []
+
+
+def test_mixture_reads_texts_once_for_sizes(spark, docs):
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "md5(" not in plan
