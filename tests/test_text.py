@@ -160,3 +160,33 @@ def test_categories_of_missing_texts_and_of_long_ones(spark):
     got = {r["sample_id"]: r["category"] for r in T.error_categories(p).collect()}
     assert got == {"a": None, "b": "repetition", "c": "empty", "d": "hallucination", "e": "omission", "f": "substitution", "g": "repetition"}
     assert T._path(long.split(), long.split()[:-300]) == (0, 300, 0)
+
+
+def rows_of_odd_samples():
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "b", "ç", "Fish", "fish,", "(x", "y)", ".", "rare%d" % rng.randint(0, 40)])
+    rows = [(str(i), " ".join(word() for _ in range(rng.randint(0, 30))), "train" if i % 3 else "test") for i in range(40)]
+    return rows + [("40", None, "train"), ("41", "", "test"), ("42", "unseen words", None), (None, "a b zzz", "test"), ("7", "a second row of it", "test"), ("7", "b", "train"), (None, "fish", "train")]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 17])
+def test_packed_encoding_is_that_of_rows(spark, monkeypatch, hot):
+    """Whatever share of the vocabulary is told to the tasks; samples without an id, and with several rows, too."""
+    monkeypatch.setattr(T, "HOT", hot)
+    s = spark.createDataFrame(rows_of_odd_samples(), "sample_id string, text string, split string")
+    v = T.vocabulary(s)
+    plain = T.encoded(s, v)
+    packed = T.encoded_texts(s, v)
+    got = packed.select("sample_id", F.posexplode("ids").alias("pos", "token_id"))
+    key = lambda r: (r[0] or "", r[1], r[2])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((tuple(r) for r in plain.collect()), key=key)
+    assert sorted(T.decoded_texts(packed, v).collect(), key=str) == sorted(T.decoded(plain, v).collect(), key=str)
+
+
+def test_packed_encoding_shuffles_no_row_for_a_token(spark):
+    """Before, each token of a text was a row of two joins."""
+    s = spark.createDataFrame([(str(i), "one two three " * 200, "train") for i in range(20)], "sample_id string, text string, split string")
+    v = T.vocabulary(s)
+    e = T.encoded_texts(s, v)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and e.count() == 20 and T.decoded_texts(e, v).count() == 20
